@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, quality_rules, sharding, simhash, substring_dedup
 
-MODULES = [simhash, packing]
+MODULES = [simhash, packing, sharding, quality_rules, substring_dedup]
 
 
 def queries() -> dict:
