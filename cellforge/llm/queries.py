@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, sharding, simhash, substring_dedup
+from . import decontaminate, packing, quality_rules, sharding, simhash, substring_dedup
 
-MODULES = [simhash, packing, sharding, quality_rules, substring_dedup]
+MODULES = [simhash, packing, sharding, quality_rules, substring_dedup, decontaminate]
 
 
 def queries() -> dict:
