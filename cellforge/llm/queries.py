@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from . import decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 
-MODULES = [simhash, packing, sharding, quality_rules, substring_dedup, decontaminate, html_extract, language_id, quality_classifier]
+MODULES = [line_dedup, simhash, packing, sharding, quality_rules, substring_dedup, decontaminate, html_extract, language_id, quality_classifier]
 
 
 def queries() -> dict:
