@@ -1,6 +1,8 @@
-"""Named queries of the library over the fixed tables, and the SQL that checks them."""
+"""All named queries of the library over the fixed tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_grid  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
