@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellforge.functions.vec import Vec
+from cellforge.functions.vec import EPSILON, Vec
 
 from .spatial import label_points
 
@@ -85,7 +85,7 @@ def border_convexity(faces: DataFrame, centroids: DataFrame) -> DataFrame:
     a = centroids.select("mesh_id", "face_id", *[F.col(k).alias(f"a{k}") for k in "xyz"])
     b = centroids.select("mesh_id", F.col("face_id").alias("other"), *[F.col(k).alias(f"b{k}") for k in "xyz"])
     d = (Vec.cols("bx", "by", "bz") - Vec.cols("ax", "ay", "az")).dot(Vec.cols("nx", "ny", "nz"))
-    return near.join(a, ["mesh_id", "face_id"]).join(b, ["mesh_id", "other"]).select("mesh_id", "face_id", "other", (d <= 0).alias("convex"))
+    return near.join(a, ["mesh_id", "face_id"]).join(b, ["mesh_id", "other"]).select("mesh_id", "face_id", "other", (d <= EPSILON).alias("convex"))
 
 
 def most_probable(rows: DataFrame, by: list[str], label: str, probability: str) -> DataFrame:

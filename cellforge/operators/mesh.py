@@ -101,10 +101,10 @@ def tangents(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """
     at = faces.select("mesh_id", "v0", "v1", "v2")
     for n in range(3):
-        at = at.join(vertices.select("mesh_id", F.col("vertex_id").alias(f"v{n}"), *[F.col(k).alias(f"{k}{n}") for k in "xyzuv"]), ["mesh_id", f"v{n}"])
-    p = [Vec.cols(*[f"{k}{n}" for k in "xyz"]) for n in range(3)]
+        at = at.join(vertices.select("mesh_id", F.col("vertex_id").alias(f"v{n}"), *[F.col(k).alias(f"p{k}{n}") for k in "xyzuv"]), ["mesh_id", f"v{n}"])
+    p = [Vec.cols(*[f"p{k}{n}" for k in "xyz"]) for n in range(3)]
     e1, e2 = p[1] - p[0], p[2] - p[0]
-    du1, dv1, du2, dv2 = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0"), F.col("u2") - F.col("u0"), F.col("v2") - F.col("v0")
+    du1, dv1, du2, dv2 = F.col("pu1") - F.col("pu0"), F.col("pv1") - F.col("pv0"), F.col("pu2") - F.col("pu0"), F.col("pv2") - F.col("pv0")
     det = du1 * dv2 - du2 * dv1
     t = (e1 * dv2 - e2 * dv1).map(lambda c: F.when(det != 0, c / det).otherwise(0.0))
     corner = at.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"), *t.named("t"))
@@ -310,7 +310,9 @@ def simplify(vertices: DataFrame, faces: DataFrame, target: int) -> DataFrame:
         out.insert(0, "mesh_id", key[0])
         return out
 
-    return vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(run, "mesh_id long, tri_id long, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz"))
+    v = vertices.select(F.col("mesh_id").alias("mesh_id"), "vertex_id", "x", "y", "z")
+    f = faces.select(F.col("mesh_id").alias("mesh_id"), "face_id", "v0", "v1", "v2")
+    return v.groupBy("mesh_id").cogroup(f.groupBy("mesh_id")).applyInPandas(run, "mesh_id long, tri_id long, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz"))
 
 
 def signed_volume(triangles: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def ray_triangle(o: Vec, d: Vec, a: Vec, b: Vec, c: Vec, eps: float = EPSILON) -
 
 
 def traversed_cells(rays: DataFrame, lo: tuple[float, float, float], size: tuple[float, float, float], dims: tuple[int, int, int], reach: float | None = None) -> DataFrame:
-    """Rays with each cell (cx, cy, cz) of a grid that they pass, slab by slab of x, then of y, then of z.
+    """Rays with each cell (kx, ky, kz) of a grid that they pass, slab by slab of x, then of y, then of z.
 
     Rows grow with the cells on a ray's way, the sum of the dims at most, not with the cells of the grid. Cells are
     taken a hair wide, so none on an edge is missed; exact tests come after.
@@ -60,7 +60,7 @@ def traversed_cells(rays: DataFrame, lo: tuple[float, float, float], size: tuple
     t0, t1 = slab(O, D, low, high)
     out = rays.withColumn("t0", F.greatest(t0, F.lit(0.0))).withColumn("t1", t1 if reach is None else F.least(t1, F.lit(float(reach)))).where("t0 <= t1")
     for k, (o, d, a, s, n) in enumerate(zip(O, D, low, cell, dims)):
-        name = f"c{'xyz'[k]}"
+        name = f"k{'xyz'[k]}"
         p0, p1 = o + d * F.col("t0"), o + d * F.col("t1")
         hair = s * 1e-9
         first = F.greatest(F.floor((F.least(p0, p1) - hair - a) / s), F.lit(0)).cast("int")
@@ -97,9 +97,9 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, parts: int = 16, reach: floa
     for k, name in enumerate("xyz"):
         a, b, l, s = list(ta)[k], list(tb)[k], list(low)[k], list(cell)[k]
         first, last = (F.least(F.greatest(F.floor((p - l) / s + h), F.lit(0)), F.lit(parts - 1)).cast("int") for p, h in ((a, -1e-6), (b, 1e-6)))
-        tri = tri.withColumn(f"c{name}", F.explode(F.sequence(first, last)))
+        tri = tri.withColumn(f"k{name}", F.explode(F.sequence(first, last)))
     way = traversed_cells(rays, tuple(lo), tuple(size), dims, reach).drop("t0", "t1")
-    met = way.join(tri, ["cx", "cy", "cz"])
+    met = way.join(tri, ["kx", "ky", "kz"])
     t, u, v = ray_triangle(O, D, A, B, C)
     hits = met.withColumn("t", t).where("t is not null").withColumn("u", u).withColumn("v", v)
     if reach is not None:
@@ -133,7 +133,7 @@ def first_voxel(rays: DataFrame, voxels: DataFrame, dims: tuple[int, int, int])
 
     A ray that starts in an occupied cell hits it at 0. Cells are 0-based; rays without a hit are left out.
     """
-    way = traversed_cells(rays, (0, 0, 0), (1, 1, 1), dims).select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz", *[F.col(f"c{k}").alias(k) for k in "xyz"])
+    way = traversed_cells(rays, (0, 0, 0), (1, 1, 1), dims).select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz", *[F.col(f"k{k}").alias(k) for k in "xyz"])
     cells = voxels.where("value <> 0").select("x", "y", "z").distinct()
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     t0, t1 = slab(O, D, Vec(x.cast("double"), y.cast("double"), z.cast("double")), Vec(x + 1.0, y + 1.0, z + 1.0))
@@ -193,10 +193,10 @@ def octree_leaves(triangles: DataFrame, levels: int, lo: tuple, side: float) ->
     out = triangles
     for k, name in enumerate("xyz"):
         first, last = (F.least(F.greatest(F.floor((p - float(lo[k])) / step), F.lit(0)), F.lit((1 << levels) - 1)).cast("int") for p in (list(ta)[k], list(tb)[k]))
-        out = out.withColumn(f"c{name}", F.explode(F.sequence(first, last)))
+        out = out.withColumn(f"k{name}", F.explode(F.sequence(first, last)))
     from cellforge.functions.cells import morton
 
-    return out.select("tri_id", F.lit(levels).alias("level"), morton(Vec.cols("cx", "cy", "cz")).alias("code"))
+    return out.select("tri_id", F.lit(levels).alias("level"), morton(Vec.cols("kx", "ky", "kz")).alias("code"))
 
 
 def column_hits(triangles: DataFrame, axis: int, dims: tuple[int, int, int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_grid  # noqa: F401  registers its queries
+from . import queries_grid, queries_mesh  # noqa: F401  registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -180,7 +180,9 @@ def encode_binm(vertices: DataFrame, faces: DataFrame, count_bytes: int = 4) ->
         count = lambda n: struct.pack("<I", n) + b"\0" * (count_bytes - 4)
         return pd.DataFrame({"mesh_id": [key[0]], "content": [count(len(v)) + rows.tobytes() + count(len(f)) + four.tobytes()]})
 
-    return vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(run, "mesh_id long, content binary")
+    v = vertices.select(F.col("mesh_id").alias("mesh_id"), "vertex_id", "x", "y", "z")
+    f = faces.select(F.col("mesh_id").alias("mesh_id"), "face_id", "v0", "v1", "v2")
+    return v.groupBy("mesh_id").cogroup(f.groupBy("mesh_id")).applyInPandas(run, "mesh_id long, content binary")
 
 
 # point clouds

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _micros(t: Column) -> Column:
+    """Microseconds of a timestamp with or without a zone."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def stages(events: DataFrame, by: str = "user_id", kind: str = "event_type", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """(by, stage, kind, start, next_start, seconds, events): runs of equal events, and the time until the next run starts."""
     w = Window.partitionBy(by).orderBy(ts, tie)
@@ -16,7 +21,7 @@ def stages(events: DataFrame, by: str = "user_id", kind: str = "event_type", ts:
     marked = events.withColumn("stage", F.sum(changed).over(w))
     runs = marked.groupBy(by, "stage").agg(F.first(kind).alias(kind), F.min(ts).alias("start"), F.count("*").alias("events"))
     after = F.lead("start").over(Window.partitionBy(by).orderBy("stage"))
-    return runs.select(by, "stage", kind, "start", after.alias("next_start"), (F.unix_micros(after) - F.unix_micros("start")).cast("double").__truediv__(1e6).alias("seconds"), "events")
+    return runs.select(by, "stage", kind, "start", after.alias("next_start"), (_micros(after) - _micros(F.col("start"))).cast("double").__truediv__(1e6).alias("seconds"), "events")
 
 
 def samples(events: DataFrame, every: str = "10 seconds", late: str | None = None, kind: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
