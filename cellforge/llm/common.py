@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words of every contract: runs of anything but the ASCII white space \x20 \x09-\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -41,9 +40,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words(text: Column) -> Column:
-    """Array of the words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """The same table, after the session's Arrow batches are held to `rows` rows: whole texts go to Python, and Spark's
+    10,000 rows at once would need memory without bound where texts are long. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
 
 
 def fresh(taken: list[str], name: str) -> str:

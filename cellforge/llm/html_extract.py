@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -263,7 +263,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", text string, n_chars long"
-    return pages.select(*names, html_col).mapInArrow(run, schema)
+    return small_batches(pages).select(*names, html_col).mapInArrow(run, schema)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

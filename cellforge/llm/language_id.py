@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: documents of each language, and code points of each language and of all together.
@@ -207,7 +207,7 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", ou
         found += held.value.predict(part)
         return pd.DataFrame(found, columns=["lang", "score", "bits"])
 
-    return docs.withColumn("__found", of(F.col(text_col))).select(*docs.columns, *(F.col(f"__found.{a}").alias(b) for a, b in zip(("lang", "score", "bits"), out)))
+    return small_batches(docs).withColumn("__found", of(F.col(text_col))).select(*docs.columns, *(F.col(f"__found.{a}").alias(b) for a, b in zip(("lang", "score", "bits"), out)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

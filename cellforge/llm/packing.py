@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import small_batches, table
 
 #: Documents that meet in one randomised group, on average; a group is packed by one task.
 GROUP_DOCS = 4096
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, groups: int | None = None, seed: int = 0, vocabulary: str = "byte_bpe_50k", keep_ids: bool = True) -> DataFrame:

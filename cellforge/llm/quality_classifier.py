@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .language_id import held_out
 
 BUCKETS = 1 << 14
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str =
         texts = list(texts)
         return pd.Series(np.concatenate([held.value.scores(texts[i : i + 128]) for i in range(0, len(texts), 128)] or [np.zeros(0)]))
 
-    return docs.withColumn("__score", of(F.col(text_col))).select(*docs.columns, F.col("__score").alias(out[0]), (F.col("__score") >= 0.5).cast("int").alias(out[1]))
+    return small_batches(docs).withColumn("__score", of(F.col(text_col))).select(*docs.columns, F.col("__score").alias(out[0]), (F.col("__score") >= 0.5).cast("int").alias(out[1]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

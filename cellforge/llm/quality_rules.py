@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {RESULT}")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same id each appear. An empty table gives no rows; other columns are not read.
     """
     rows = cut(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col)).alias("fp"))
+        small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col)).alias("fp"))
     )
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     parts = connected_components(near_links(fps, "fp", bits))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 SENTENCE_END = re.compile(r"[.!?]+[\x20\t\x0b\x0c\r]+")
 
@@ -63,7 +63,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str, every: int = 2) ->
                     names,
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, text_hash long, unit int, start int, end int, n_words int, d1 long, d2 long"
     )
 
