@@ -5,85 +5,160 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, words, written
+from .common import WORD_GAP, fresh, table, written
 
 #: Lines of fewer words are only compared exactly: one word of a short line is too much of it.
 FUZZY_WORDS = 8
+#: Words that are hashed as one when the part of a line before or after a place is named.
+CHUNK = 64
+#: Pieces of the places of a line that its partners may differ in.
+PIECES = 4
 
 
 def _row_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _halves(w: Column, n: Column) -> list[Column]:
-    """Four keys, of which two lines at word distance 1 share one; number 2 * lacks + side.
+def _normal(line: Column) -> Column:
+    """The words of a line with single spaces; most lines are so already, and the regular expression is left to the rest."""
+    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    odd = F.contains(trimmed, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(trimmed, F.lit(c))
+    return F.when(odd, F.regexp_replace(trimmed, WORD_GAP, " ")).otherwise(trimmed)
+
+
+def _outer(n: Column, lacks) -> Column:
+    """Words at either end of a line of class n + lacks that its keys are made of: about half, in steps of four, so that
+    a line is mostly named alike whether it is the full one of a pair or lacks a word."""
+    return (F.floor((n + lacks) / 8) * 4).cast("int")
+
+
+def _ends(w: Column, n: Column) -> Column:
+    """Two keys, or four where n + 1 is a multiple of eight, of which two lines at word distance 1 share one; number
+    2 * lacks + side.
 
     A line of n words meets others as the full line of class n and as the line of class n + 1 that lacks a word. Two
-    such lines of class N differ at one of N places, so they agree on the first N div 2 words or on the last N - N div 2.
+    such lines of class N differ at one place; with k = _outer(N), at most N div 2, they agree on the first k words if
+    the place is k or later, and else on the last k.
     """
-    keys = []
-    for lacks in (0, 1):
-        size = n + lacks
-        half = F.floor(size / 2).cast("int")
-        keys.append(F.xxhash64(size, F.lit(0), F.slice(w, F.lit(1), half)))
-        keys.append(F.xxhash64(size, F.lit(1), F.slice(w, half - lacks + 1, n)))
-    return keys
+    def pair(lacks: int) -> Column:
+        k = _outer(n, lacks)
+        return F.array(F.xxhash64(k, F.lit(0), F.slice(w, F.lit(1), k)), F.xxhash64(k, F.lit(1), F.slice(w, n - k + 1, k)))
+
+    return F.when(n % 8 == 7, F.concat(pair(0), pair(1))).otherwise(pair(0))
+
+
+def _classes(n: Column, role: Column) -> Column:
+    """The values of `lacks` that a key of _ends() stands for."""
+    return F.when(n % 8 == 7, F.array(F.floor(role / 2).cast("int"))).otherwise(F.array(F.lit(0), F.lit(1)))
+
+
+def _chunks(h: Column) -> Column:
+    """A hash for each whole chunk of the word hashes."""
+    whole = F.floor(F.size(h) / CHUNK).cast("int")
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda c: F.xxhash64(F.slice(h, c * CHUNK + 1, F.lit(CHUNK))))).otherwise(F.array().cast("array<long>"))
+
+
+def _prefix(h: Column, chunks: Column, length: Column) -> list[Column]:
+    """What names the first `length` words: their whole chunks and the words beyond, so the cost is a chunk at most and a
+    sixty-fourth of the line."""
+    whole = F.floor(length / CHUNK).cast("int")
+    return [F.slice(chunks, F.lit(1), whole), F.slice(h, whole * CHUNK + 1, length % CHUNK)]
 
 
-def _variants(h: Column, n: Column, lacks: Column, side: Column) -> Column:
-    """The hashed deletion variants of one line of class N in the half that its partners may differ in.
+def _without(n: Column, lacks: Column, start: Column, end: Column) -> list[Column]:
+    """The hashed key of a line of class N without its words from place `start` to before `end`: (before, after).
 
-    `h` holds the hashes of its words. A full line without its word at place j, and a line that lacks a word there, give
-    the key (N, j, words before, words after): all lines of a key are within one edit of each other.
+    Columns h and r hold the hashes of its words from the left and from the right, hc and rc those of their chunks. For
+    a line that lacks a word, `end` counts the missing word too, so lines that agree outside the places have one key.
     """
     size = n + lacks
-    half = F.floor(size / 2).cast("int")
-    places = F.sequence(F.when(side == 0, half).otherwise(0), F.when(side == 0, size - 1).otherwise(half - 1))
-    return F.transform(
-        places,
-        lambda j: F.struct(
-            j.alias("place"),
-            F.xxhash64(size, j, F.slice(h, F.lit(1), j)).alias("before"),
-            F.xxhash64(size, j, F.slice(h, j + 2 - lacks, n)).alias("after"),
-        ),
-    )
+    return [
+        F.xxhash64(size, start, end, *_prefix(F.col("h"), F.col("hc"), start)).alias("before"),
+        F.xxhash64(size, start, end, *_prefix(F.col("r"), F.col("rc"), size - end)).alias("after"),
+    ]
+
+
+def _open(n: Column, lacks: Column, side: Column) -> tuple[Column, Column]:
+    """Places, from and to before, that a line's partners may differ in when they share the key of the given side."""
+    k = _outer(n, lacks)
+    return F.when(side == 0, k).otherwise(0), F.when(side == 0, n + lacks).otherwise(k)
+
+
+def _pieces(n: Column, lacks: Column, side: Column) -> Column:
+    """Keys without each piece of those places, as (piece, before, after)."""
+    a, b = _open(n, lacks, side)
+    at = lambda k: (a + F.floor((b - a) * k / PIECES)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.struct(k.alias("piece"), *_without(n, lacks, at(k), at(k + 1))))
+
 
+def _variants(n: Column, lacks: Column, side: Column, piece: Column) -> Column:
+    """The deletion variants of one line in a piece, as (place, before, after): all lines of a key are within one edit of
+    each other."""
+    a, b = _open(n, lacks, side)
+    at = lambda k: (a + F.floor((b - a) * k / PIECES)).cast("int")
+    first, end = at(piece), at(piece + 1)
+    return F.transform(F.when(end > first, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.struct(j.alias("place"), *_without(n, lacks, j, j + 1)))
 
-def _occurrences(rows: DataFrame, fuzzy_words: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, n, h1, h2, halves) of every line with a word; the hashes name its words."""
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, line) of every line with a word, normalised."""
     return (
         rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("doc_id", "text_hash", "line_no", words(F.col("line")).alias("w"))
-        .select("doc_id", "text_hash", "line_no", "w", F.size("w").alias("n"))
-        .where("n > 0")
-        .select("doc_id", "text_hash", "line_no", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(F.col("n") >= fuzzy_words, F.array(*_halves(F.col("w"), F.col("n")))).alias("halves"))
+        .where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
+        .select("doc_id", "text_hash", "line_no", _normal(F.col("line")).alias("line"))
     )
 
 
-def _near(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+def _base(docs: DataFrame, text_col: str) -> DataFrame:
+    """The documents with the hash of their text."""
+    return docs.withColumn("__hash", _row_hash(F.col(text_col)))
+
+
+def _near(base: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(pos, near): each distinct line that an earlier one is a word edit away from, with the earliest such line."""
-    half = distinct.where("halves is not null").select("doc_id", "line_no", F.posexplode("halves").alias("role", "key"))
-    shared = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    ends = distinct.where("ends is not null").select("doc_id", "line_no", F.posexplode("ends").alias("role", "key"))
+    shared = ends.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = (
-        half.join(shared, "key", "left_semi")
+        ends.join(shared.hint("shuffle_hash"), "key", "left_semi")
         .groupBy(F.col("doc_id").alias("__id"), "line_no").agg(F.collect_set("role").alias("roles"))
         .groupBy("__id").agg(F.collect_list(F.struct("line_no", "roles")).alias("wanted"))
     )
     lines = (
-        rows.join(wanted, rows.doc_id.eqNullSafe(F.col("__id")), "left")
+        base.join(wanted.hint("shuffle_hash"), base[id_col].eqNullSafe(F.col("__id")), "left")
         .where("wanted is not null")
-        .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), words(F.get("lines", F.col("x.line_no"))).alias("w"), "x.roles")
-        .where(F.size("w") > 0)
+        .select(base[id_col].alias("doc_id"), F.col("__hash").alias("text_hash"), F.split(base[text_col], "\n").alias("lines"), F.explode("wanted").alias("x"))
+        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(F.get("lines", F.col("x.line_no"))).alias("line"), "x.roles")
+        .where("line <> ''")
+        .select("pos", F.split("line", " ").alias("w"), "roles")
     )
     lines = written(lines)
+    lacks, side = F.col("lacks"), (F.col("role") % 2).cast("int")
+
+    def hashed(rows: DataFrame, *more: str) -> DataFrame:
+        return (
+            rows.select("pos", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), *more)
+            .select("pos", "h", F.reverse("h").alias("r"), *more)
+            .select("pos", "h", "r", _chunks(F.col("h")).alias("hc"), _chunks(F.col("r")).alias("rc"), *more)
+        )
+
+    # lines that agree with another outside one piece
+    pieces = (
+        hashed(lines, "roles").select("*", F.explode("roles").alias("role")).select("*", F.explode(_classes(F.size("h"), F.col("role"))).alias("lacks"))
+        .select("pos", "role", "lacks", F.explode(_pieces(F.size("h"), lacks, side)).alias("p")).select("pos", "role", "lacks", "p.*")
+    )
+    shared = pieces.groupBy("before", "after").agg(F.count("*").alias("c")).where("c > 1").select("before", "after")
+    spots = pieces.join(shared.hint("shuffle_hash"), ["before", "after"], "left_semi").groupBy("pos").agg(F.collect_set(F.struct("role", "lacks", "piece")).alias("spots"))
+    # and their deletion variants in that piece
     variants = (
-        lines.select("pos", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.size("w").alias("n"), F.explode("roles").alias("role"))
-        .select("pos", F.explode(_variants(F.col("h"), F.col("n"), F.floor(F.col("role") / 2).cast("int"), F.col("role") % 2)).alias("v"))
+        hashed(lines.join(spots, "pos"), "spots")
+        .select("*", F.explode("spots").alias("s")).select("pos", "h", "r", "hc", "rc", "s.role", "s.lacks", "s.piece")
+        .select("pos", F.explode(_variants(F.size("h"), lacks, side, F.col("piece"))).alias("v"))
         .select("pos", "v.*")
     )
-    earliest = variants.groupBy("before", "after").agg(F.min("pos").alias("kept"), F.max("pos").alias("last")).where("kept <> last").drop("last")
-    pairs = variants.join(earliest, ["before", "after"]).where("pos <> kept").groupBy("pos", "kept").agg(F.min("place").alias("place"))
+    earliest = variants.groupBy("before", "after").agg(F.min("pos").alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = variants.join(earliest.hint("shuffle_hash"), ["before", "after"]).where("pos <> kept").groupBy("pos", "kept").agg(F.min("place").alias("place"))
     text = lines.select("pos", "w")
     both = pairs.join(text, "pos").join(text.select(F.col("pos").alias("kept"), F.col("w").alias("v")), "kept")
     w, v, at = F.col("w"), F.col("v"), F.col("place")
@@ -101,24 +176,24 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (id, hash of the text, line number) of a line's first occurrence, null ids first. Lines without a word always stay.
     Rows equal in id and text count as one document.
 
-    Lines that share neither half with another line have no neighbour, so only the others emit deletion variants. All
-    lines under one variant are a word edit apart at most, so the earliest of them stands for all: rows grow with the
+    Lines that share neither end with another line have no neighbour, nor have lines that agree with no other outside
+    one piece of what lies between; only what is left emits deletion variants, in that piece. All lines under one variant are a word edit apart at most, so the earliest of them stands for all: rows grow with the
     lines, never with pairs.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), _row_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    occurrences = _occurrences(rows, fuzzy_words)
+    base = _base(docs, text_col)
+    lines = _lines(base.select(F.col(id_col).alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text")))
     place = F.struct("doc_id", "text_hash", "line_no")
+    w = F.split("line", " ")
+    ends = F.when(F.size("w") >= fuzzy_words, _ends(F.col("w"), F.size("w")))
+    named = written(lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), w.alias("w")).select("*", ends.alias("ends")).drop("w"))
     distinct = written(
-        occurrences.groupBy("h1", "h2", "n").agg(F.min(place).alias("pos"), F.max(place).alias("last"), F.first("halves").alias("halves"))
-        .select("h1", "h2", "n", "pos.*", (F.col("pos") != F.col("last")).alias("many"), "halves")
-    )
-    near = _near(rows, distinct)
-    going = (
-        distinct.select("h1", "h2", "n", place.alias("pos"), "many").join(near, "pos", "left").where("many or near is not null")
-        .select("h1", "h2", "n", F.col("pos").alias("first"), "near")
+        named.groupBy("h1", "h2").agg(F.min(place).alias("pos"), F.count("*").alias("c"), F.first("ends").alias("ends"))
+        .select("h1", "h2", "pos.*", (F.col("c") > 1).alias("many"), "ends")
     )
+    near = _near(base, distinct, id_col, text_col)
+    going = distinct.select("h1", "h2", place.alias("pos"), "many").join(near, "pos", "left").where("many or near is not null").select("h1", "h2", F.col("pos").alias("first"), "near")
     return (
-        occurrences.select(place.alias("pos"), "h1", "h2", "n").join(going, ["h1", "h2", "n"])
+        named.select(place.alias("pos"), "h1", "h2").join(going.hint("shuffle_hash"), ["h1", "h2"])
         .where((F.col("pos") != F.col("first")) | F.col("near").isNotNull())
         .select("pos", F.coalesce("near", "first").alias("kept"))
         .groupBy(F.col("pos.doc_id").alias("doc_id"), F.col("pos.text_hash").alias("text_hash"))
@@ -134,8 +209,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.
     """
     decided = line_decisions(docs, id_col, text_col, fuzzy_words)
-    rows = docs.withColumn("__hash", _row_hash(F.col(text_col)))
-    joined = rows.join(decided.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("removed.line_no").alias("__gone")), rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    rows = _base(docs, text_col)
+    per_id = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_hash", F.col("removed.line_no").alias("gone"))).alias("__all"))
+    joined = rows.join(per_id.hint("shuffle_hash"), rows[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = joined.withColumn("__gone", F.get(F.filter("__all", lambda x: x["text_hash"] == F.col("__hash")), F.lit(0))["gone"])
     lines = F.split(text_col, "\n")
     # what stands between removed lines stays
     edges = F.concat(F.array(F.lit(-1)), F.col("__gone"))
