@@ -57,7 +57,7 @@ def surface_table() -> tuple[tuple[int, int, int, int, int], ...]:
                 loop.append(at)
                 at = follow.pop(at)
             for k in range(1, len(loop) - 1):
-                rows.append((config, n, loop[0], loop[k], loop[k + 1]))
+                rows.append((config, n, loop[0], loop[k + 1], loop[k]))
                 n += 1
     return tuple(rows)
 
