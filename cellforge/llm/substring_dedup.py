@@ -16,21 +16,21 @@ from .common import fresh, small_batches, table
 SENTENCE_END = re.compile(r"[.!?]+[\x20\t\x0b\x0c\r]+")
 
 
-def units(text: str, every: int = 2) -> list[tuple[int, int, bytes]]:
+def units(text: str, unit_words: int = 5) -> list[tuple[int, int, bytes]]:
     """(start, end, normalised) of the units of a text, in code points.
 
-    A line is cut after about one in `every` of its sentence ends, chosen by the hash of the sentence's last word, so
-    that a passage is cut alike wherever it stands. Normalised: lower case, white space runs as one space, trimmed.
-    Units without a word are left out.
+    A line is cut at a sentence end once the unit has `unit_words` words; shorter sentences stay with the next. A longer
+    sentence always ends a unit, so a passage is cut alike from its first such sentence on wherever it stands.
+    Normalised: lower case, white space runs as one space, trimmed. Units without a word are left out.
     """
     out = []
     at = 0
     for line in text.split("\n"):
-        cuts = []
+        cuts, start = [], 0
         for m in SENTENCE_END.finditer(line):
-            word = line[line.rfind(" ", 0, m.start()) + 1 : m.start()].lower()
-            if xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % every == 0:
+            if line.count(" ", start, m.start()) >= unit_words - 1 and len(line[start : m.end()].split()) >= unit_words:
                 cuts.append(m.end())
+                start = m.end()
         for i, j in zip([0, *cuts], [*cuts, len(line)]):
             if norm := b" ".join(line[i:j].lower().encode("utf-8", "surrogatepass").split()):
                 out.append((at + i, at + j, norm))
@@ -38,7 +38,7 @@ def units(text: str, every: int = 2) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def unit_digests(docs: DataFrame, id_col: str, text_col: str, every: int = 2) -> DataFrame:
+def unit_digests(docs: DataFrame, id_col: str, text_col: str, unit_words: int = 5) -> DataFrame:
     """(doc_id, text_hash, unit, start, end, n_words, d1, d2): one row per unit; digests have 128 bits."""
     kind = dict(docs.dtypes)[id_col]
     names = ["doc_id", "text_hash", "unit", "start", "end", "n_words", "d1", "d2"]
@@ -49,7 +49,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str, every: int = 2) ->
                 part = batch.slice(at, 256)
                 row, no, start, end, n_words, digest = [], [], [], [], [], []
                 for r, text in enumerate(part.column(2).to_pylist()):
-                    for k, (i, j, norm) in enumerate(units(text or "", every)):
+                    for k, (i, j, norm) in enumerate(units(text or "", unit_words)):
                         row.append(r)
                         no.append(k)
                         start.append(i)
@@ -68,7 +68,7 @@ def unit_digests(docs: DataFrame, id_col: str, text_col: str, every: int = 2) ->
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, every: int = 2) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, unit_words: int = 5) -> DataFrame:
     """Spans to remove: (doc_id, text_hash, start, end, n_words, n_units, kept_doc_id, kept_start), offsets in code points.
 
     Units are ranked by (doc_id, text_hash, start), nulls first; the earliest of equal units stays and every later one
@@ -76,10 +76,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are returned with the place of the kept occurrence of their first unit. Shorter repeats (greetings, headings) stay.
     Null and empty texts have no units. Rows equal in id and text count as one document. An empty table gives no rows.
     """
-    all_units = unit_digests(docs, id_col, text_col, every)
+    all_units = unit_digests(docs, id_col, text_col, unit_words)
     place = F.struct("doc_id", "text_hash", "start")
-    first = all_units.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last").select("d1", "d2", "kept")
-    later = all_units.join(first, ["d1", "d2"]).where(place != F.col("kept")).drop("d1", "d2").distinct()
+    # a third key makes the small side be dealt again, so that Spark can split a passage that very many documents share
+    first = all_units.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", F.col("d1").bitwiseXOR(F.col("d2")).alias("d3"), "kept")
+    later = all_units.withColumn("d3", F.col("d1").bitwiseXOR(F.col("d2"))).join(first, ["d1", "d2", "d3"]).where(place != F.col("kept")).drop("d1", "d2", "d3").distinct()
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     run = later.withColumn("run", F.col("unit") - F.row_number().over(by_doc))
     return (
