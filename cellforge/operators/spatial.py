@@ -72,23 +72,26 @@ def traversed_cells(rays: DataFrame, lo: tuple[float, float, float], size: tuple
     return out
 
 
-def _scene(triangles: DataFrame) -> tuple[list[float], list[float]] | None:
+def _scene(triangles: DataFrame, most: int = 64) -> tuple[list[float], list[float], int]:
+    """Box of all triangles, and the cells an axis for which a cell is about as large as a triangle's box on average:
+    finer ones would repeat large triangles, coarser ones would bring too many together."""
     lo, hi = triangle_box(A, B, C)
-    r = triangles.agg(*[F.min(c) for c in lo], *[F.max(c) for c in hi]).first()
-    return None if r[0] is None else (list(r[:3]), list(r[3:]))
+    r = triangles.agg(*[F.min(c) for c in lo], *[F.max(c) for c in hi], *[F.avg(b - a) for a, b in zip(lo, hi)]).first()
+    if r[0] is None:
+        return [0.0] * 3, [1.0] * 3, 1
+    low, high, mean = list(r[:3]), list(r[3:6]), list(r[6:])
+    parts = max((b - a) / max(m, 1e-12) for a, b, m in zip(low, high, mean))
+    return low, high, int(min(most, max(1, parts)))
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, parts: int = 16, reach: float | None = None) -> DataFrame:
+def ray_hits(rays: DataFrame, triangles: DataFrame, parts: int | None = None, reach: float | None = None) -> DataFrame:
     """(ray_id, tri_id, t, u, v): every hit of a ray and a triangle in front of it.
 
-    Both go to the cells of a coarse grid over the scene and meet by cell; a pair that shares several cells is tested
-    where its hit lies, so no pair comes twice.
+    Both go to the cells of a coarse grid over the scene and meet by cell; a pair that shares several cells comes out
+    once. Without `parts` the cells follow the mean size of the triangles.
     """
-    box = _scene(triangles)
-    if box is None:
-        lo, hi = [0.0] * 3, [1.0] * 3
-    else:
-        lo, hi = box
+    lo, hi, fit = _scene(triangles)
+    parts = parts or fit
     size = [max((b - a) / parts, 1e-9) for a, b in zip(lo, hi)]
     dims = (parts,) * 3
     low, cell = Vec.of(*lo), Vec.of(*size)
@@ -107,19 +110,19 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, parts: int = 16, reach: floa
     return hits.groupBy("ray_id", "tri_id").agg(F.min("t").alias("t"), F.min("u").alias("u"), F.min("v").alias("v"))
 
 
-def nearest_hit(rays: DataFrame, triangles: DataFrame, parts: int = 16) -> DataFrame:
+def nearest_hit(rays: DataFrame, triangles: DataFrame, parts: int | None = None) -> DataFrame:
     """(ray_id, tri_id, t, u, v) of the first triangle on each ray's way; ties go to the lowest id."""
     return ray_hits(rays, triangles, parts).groupBy("ray_id").agg(F.min(F.struct("t", "tri_id", "u", "v")).alias("h")).select("ray_id", "h.tri_id", "h.t", "h.u", "h.v")
 
 
-def mesh_collisions(left: DataFrame, right: DataFrame, parts: int = 16) -> DataFrame:
+def mesh_collisions(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
     """Ids of the left mesh's faces one of whose edges passes through a face of the right mesh."""
     edges = left.select("tri_id", F.explode(F.array(*[F.struct(*[F.col(f"{p}{k}").alias(f"o{k}") for k in "xyz"], *[(F.col(f"{q}{k}") - F.col(f"{p}{k}")).alias(f"d{k}") for k in "xyz"]) for p, q in ("ab", "bc", "ca")])).alias("e"))
     rays = edges.select(F.col("tri_id").alias("face_id"), "e.*").withColumn("ray_id", F.struct("face_id", "ox", "oy", "oz"))
     return ray_hits(rays, right, parts, reach=1.0).select(F.col("ray_id.face_id").alias("tri_id")).distinct()
 
 
-def points_in_mesh(points: DataFrame, triangles: DataFrame, parts: int = 16) -> DataFrame:
+def points_in_mesh(points: DataFrame, triangles: DataFrame, parts: int | None = None) -> DataFrame:
     """Points with `inside`: for two or more of the three axes a ray crosses the mesh an odd number of times."""
     axes = F.array(*[F.struct(F.lit(k).alias("axis"), *[F.lit(float(i == k)).alias(f"d{c}") for i, c in enumerate("xyz")]) for k in range(3)])
     rays = points.select("point_id", *[F.col(c).alias(f"o{c}") for c in "xyz"], F.explode(axes).alias("a")).select(F.struct("point_id", "a.axis").alias("ray_id"), "ox", "oy", "oz", "a.dx", "a.dy", "a.dz")
