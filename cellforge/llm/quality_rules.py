@@ -19,20 +19,30 @@ class Bands:
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 9.0),
-        (64, 0.70, 1.25),
-        (128, 0.46, 1.05),
-        (256, 0.48, 0.85),
-        (512, 0.46, 0.76),
-        (1024, 0.44, 0.70),
-        (2048, 0.43, 0.66),
-        (4096, 0.415, 0.64),
-        (8192, 0.395, 0.62),
-        (16384, 0.375, 0.62),
-        (65536, 0.35, 0.62),
-        (262144, 0.30, 0.62),
+        (64, 0.72, 1.25),
+        (128, 0.66, 1.05),
+        (181, 0.60, 0.98),
+        (256, 0.56, 0.90),
+        (362, 0.515, 0.84),
+        (512, 0.505, 0.78),
+        (724, 0.485, 0.74),
+        (1024, 0.474, 0.70),
+        (1448, 0.456, 0.67),
+        (2048, 0.447, 0.65),
+        (2896, 0.440, 0.63),
+        (4096, 0.428, 0.62),
+        (5793, 0.418, 0.60),
+        (8192, 0.410, 0.58),
+        (11585, 0.405, 0.58),
+        (16384, 0.398, 0.58),
+        (23170, 0.392, 0.58),
+        (32768, 0.385, 0.58),
+        (65536, 0.375, 0.58),
+        (131072, 0.36, 0.58),
+        (524288, 0.30, 0.58),
     )
     chunk: int = 2048
-    chunk_least: float = 0.43
+    chunk_least: float = 0.445
     chunk_most: float = 0.70
     #: A document fails when more than this share of its full chunks is outside the chunk limits.
     chunk_share: float = 0.25
