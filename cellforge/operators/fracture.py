@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellforge.lineage import cut
 from cellforge.functions.cells import EMPTY, FREE
 from cellforge.functions.vec import METRICS, Vec
 
@@ -204,17 +205,17 @@ def flood_frontier(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 6,
     cells = occupied(with_grid(voxels)).select(*CELL)
     steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x, y, z in NEIGHBOURHOODS[neighbourhood]])
     front = with_grid(seeds).select("grid_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), F.col("seed_id").alias("value")).join(cells, CELL, "left_semi")
-    front = front.groupBy(*CELL).agg(F.min("value").alias("value")).withColumn("level", F.lit(0)).checkpoint()
+    front = cut(front.groupBy(*CELL).agg(F.min("value").alias("value")).withColumn("level", F.lit(0)))
     done = front
     for level in range(1, max_levels):
         free = cells.join(done.select(*CELL), CELL, "left_anti")
         to = front.select("grid_id", "x", "y", "z", "value", F.explode(steps).alias("o")).select("grid_id", (F.col("x") + F.col("o.x")).alias("x"), (F.col("y") + F.col("o.y")).alias("y"), (F.col("z") + F.col("o.z")).alias("z"), "value")
-        front = to.groupBy(*CELL).agg(F.min("value").alias("value")).join(free, CELL).withColumn("level", F.lit(level)).checkpoint()
+        front = cut(to.groupBy(*CELL).agg(F.min("value").alias("value")).join(free, CELL).withColumn("level", F.lit(level)))
         if front.isEmpty():
             return done
         done = done.union(front)
         if level % every == 0:
-            done = done.checkpoint()
+            done = cut(done)
     raise RuntimeError(f"the flood did not end in {max_levels} levels")
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellforge.lineage import cut
 from cellforge.functions.cells import cell_of, noise
 from cellforge.functions.geometry import point_in_triangle, triangle_area, triangle_box, triangle_normal
 from cellforge.functions.vec import Vec
@@ -201,7 +202,7 @@ def subdivide(triangles: DataFrame, largest: float, max_rounds: int = 32) -> Dat
         half = lambda i, x, y, z: F.struct(F.concat("path", F.lit(f".{i}")).alias("path"), *x.named("a"), *y.named("b"), *z.named("c"))
         todo = todo.select("mesh_id", F.explode(F.array(half(0, mid, b, c), half(1, mid, a, c))).alias("t")).select("mesh_id", "t.*")
         if n % 4 == 3:
-            todo, done = todo.checkpoint(), done.checkpoint()
+            todo, done = cut(todo), cut(done)
             if todo.isEmpty():
                 return done
     if not todo.isEmpty():

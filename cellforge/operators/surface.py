@@ -7,6 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellforge.lineage import cut
 from cellforge.functions.cells import morton
 from cellforge.functions.vec import Vec
 
@@ -147,7 +148,7 @@ def laplacian(vertices: DataFrame, faces: DataFrame, rounds: int = 1, weight: fl
             "mesh_id", "vertex_id", *[F.when(moves, F.col(c) + (F.col(f"m{c}") - F.col(c)) * weight).otherwise(F.col(c)).alias(c) for c in "xyz"], "is_boundary"
         )
         if n % every == every - 1:
-            vertices = vertices.checkpoint()
+            vertices = cut(vertices)
     return vertices
 
 

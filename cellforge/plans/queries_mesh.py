@@ -11,6 +11,7 @@ from cellforge.functions import geometry as G
 from cellforge.functions.cells import noise, noise_sql
 from cellforge.functions.vec import Vec, chebyshev, euclid, manhattan
 from cellforge.operators import clusters, mesh as M, metadata, seeding, spatial, surface
+from cellforge.operators.scan import global_scan
 
 from .fixtures import DIMS, LO, MESH_SQL, POINTS_SQL, RAYS_SQL, SIZE, TRIANGLES_SQL, labelled, labelled_sql, mesh, octahedra, points, rays, shell, shell_sql, table, triangles
 from .registry import query
@@ -269,7 +270,7 @@ def face_adjacency(spark, sf):
 def best_neighbours(spark, sf):
     """JN19."""
     lo, hi = G.triangle_box(A, B, C)
-    b = triangles(spark, sf).select(F.col("tri_id").alias("id"), (F.row_number().over(Window.orderBy("ax", "tri_id")) - 1).alias("place"), *lo.named("min_"), *hi.named("max_"))
+    b = global_scan(triangles(spark, sf), ["ax", "tri_id"]).select(F.col("tri_id").alias("id"), "place", *lo.named("min_"), *hi.named("max_"))
     return spatial.best_neighbours(b, 20, 64).select("id", "other", *R(("area", F.col("area"))))
 
 
@@ -608,6 +609,13 @@ def exclusive_sums(spark, sf):
     return clusters.exclusive_sum(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity").select("l_orderkey", "l_linenumber", "before")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, coalesce(sum(event_id % 1000) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM events")
+def whole_table_scan(spark, sf):
+    """WIN1, WIN2: prefix sums and ranks over a whole table, range by range."""
+    e = table(spark, sf, "events").select("event_id", "ts", (F.col("event_id") % 1000).alias("v"))
+    return global_scan(e, ["ts", "event_id"], "v").select("event_id", "place", "before")
+
+
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events")
 def filled_forward(spark, sf):
     """WIN5."""
