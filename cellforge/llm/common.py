@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellforge.lineage import checkpoint_folder, cut  # noqa: F401  operators take cut from here
+
 #: Words of every contract: runs of anything but the ASCII white space \x20 \x09-\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -15,23 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only where that is unset, as in local tests,
-    a folder of this machine is used.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellforge-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the checkpoint folder: columnar, compressed, read by column."""
     spark = df.sparkSession

@@ -167,7 +167,7 @@ def spark_broadcast(df: DataFrame, value):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """`docs` without the documents that overlap a benchmark item; all columns and other rows stay."""
     hit = contaminated(docs, benchmark, id_col, text_col, **limits).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash")), "left_anti")
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == hit["__hash"]), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: documents of each language, and code points of each language and of all together.
@@ -187,7 +187,8 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "lang_bits")) -> DataFrame:
     """`docs` with the predicted language, its score and its parse's bits a code point; `und` for texts without a letter.
 
-    Every text is parsed whole. Rows stay as they are, repeated ones included. With nothing learned all are `und`.
+    Every text is parsed whole. Rows stay as they are, repeated ones included. With nothing learned all are `und`. A new
+    column whose name is taken gets an underscore more.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,7 +208,9 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", ou
         found += held.value.predict(part)
         return pd.DataFrame(found, columns=["lang", "score", "bits"])
 
-    return small_batches(docs).withColumn("__found", of(F.col(text_col))).select(*docs.columns, *(F.col(f"__found.{a}").alias(b) for a, b in zip(("lang", "score", "bits"), out)))
+    found = fresh(docs.columns, "__found")
+    names = [fresh(docs.columns, n) for n in out]
+    return small_batches(docs).withColumn(found, of(F.col(text_col))).select(*docs.columns, *(F.col(f"{found}.{a}").alias(b) for a, b in zip(("lang", "score", "bits"), names)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

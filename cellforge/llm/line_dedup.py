@@ -111,12 +111,12 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def _base(docs: DataFrame, text_col: str) -> DataFrame:
-    """The documents with the hash of their text."""
-    return docs.withColumn("__hash", _row_hash(F.col(text_col)))
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text) of the documents."""
+    return docs.select(F.col(id_col).alias("doc_id"), _row_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
 
-def _near(base: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     """(pos, near): each distinct line that an earlier one is a word edit away from, with the earliest such line."""
     ends = distinct.where("ends is not null").select("doc_id", "line_no", F.posexplode("ends").alias("role", "key"))
     shared = ends.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -126,9 +126,8 @@ def _near(base: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
         .groupBy("__id").agg(F.collect_list(F.struct("line_no", "roles")).alias("wanted"))
     )
     lines = (
-        base.join(wanted.hint("shuffle_hash"), base[id_col].eqNullSafe(F.col("__id")), "left")
-        .where("wanted is not null")
-        .select(base[id_col].alias("doc_id"), F.col("__hash").alias("text_hash"), F.split(base[text_col], "\n").alias("lines"), F.explode("wanted").alias("x"))
+        base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["__id"]))
+        .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
         .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(F.get("lines", F.col("x.line_no"))).alias("line"), "x.roles")
         .where("line <> ''")
         .select("pos", F.split("line", " ").alias("w"), "roles")
@@ -180,8 +179,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one piece of what lies between; only what is left emits deletion variants, in that piece. All lines under one variant are a word edit apart at most, so the earliest of them stands for all: rows grow with the
     lines, never with pairs.
     """
-    base = _base(docs, text_col)
-    lines = _lines(base.select(F.col(id_col).alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text")))
+    base = _base(docs, id_col, text_col)
+    lines = _lines(base)
     place = F.struct("doc_id", "text_hash", "line_no")
     w = F.split("line", " ")
     ends = F.when(F.size("w") >= fuzzy_words, _ends(F.col("w"), F.size("w")))
@@ -190,7 +189,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         named.groupBy("h1", "h2").agg(F.min(place).alias("pos"), F.count("*").alias("c"), F.first("ends").alias("ends"))
         .select("h1", "h2", "pos.*", (F.col("c") > 1).alias("many"), "ends")
     )
-    near = _near(base, distinct, id_col, text_col)
+    near = _near(base, distinct)
     going = distinct.select("h1", "h2", place.alias("pos"), "many").join(near, "pos", "left").where("many or near is not null").select("h1", "h2", F.col("pos").alias("first"), "near")
     return (
         named.select(place.alias("pos"), "h1", "h2").join(going.hint("shuffle_hash"), ["h1", "h2"])
@@ -209,19 +208,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.
     """
     decided = line_decisions(docs, id_col, text_col, fuzzy_words)
-    rows = _base(docs, text_col)
-    per_id = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_hash", F.col("removed.line_no").alias("gone"))).alias("__all"))
-    joined = rows.join(per_id.hint("shuffle_hash"), rows[id_col].eqNullSafe(F.col("__id")), "left")
-    joined = joined.withColumn("__gone", F.get(F.filter("__all", lambda x: x["text_hash"] == F.col("__hash")), F.lit(0))["gone"])
-    lines = F.split(text_col, "\n")
+    names = {n: fresh(docs.columns, f"__{n}") for n in ("hash", "id", "all", "gone", "lines", "text")}
+    col = {n: F.col(c) for n, c in names.items()}
+    rows = docs.withColumn(names["hash"], _row_hash(F.col(text_col)))
+    per_id = decided.groupBy(F.col("doc_id").alias(names["id"])).agg(F.collect_list(F.struct("text_hash", F.col("removed.line_no").alias("gone"))).alias(names["all"]))
+    joined = rows.join(per_id.hint("shuffle_hash"), rows[id_col].eqNullSafe(per_id[names["id"]]), "left")
+    joined = joined.withColumn(names["gone"], F.get(F.filter(col["all"], lambda x: x["text_hash"] == col["hash"]), F.lit(0))["gone"])
     # what stands between removed lines stays
-    edges = F.concat(F.array(F.lit(-1)), F.col("__gone"))
-    kept = F.flatten(F.transform(edges, lambda e, i: F.slice(F.col("__lines"), e + 2, F.coalesce(F.get(F.col("__gone"), i), F.size("__lines")) - e - 1)))
-    out = joined.withColumn("__lines", lines).withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    out = out.where(F.col("__gone").isNull() | F.col("__text").rlike("[^\\x20\\x09-\\x0D]"))
-    columns = [F.col("__text").alias(c) if c == text_col else rows[c] for c in docs.columns]
+    edges = F.concat(F.array(F.lit(-1)), col["gone"])
+    kept = F.flatten(F.transform(edges, lambda e, i: F.slice(col["lines"], e + 2, F.coalesce(F.get(col["gone"], i), F.size(col["lines"])) - e - 1)))
+    out = joined.withColumn(names["lines"], F.split(text_col, "\n")).withColumn(names["text"], F.when(col["gone"].isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = out.where(col["gone"].isNull() | col["text"].rlike("[^\\x20\\x09-\\x0D]"))
+    columns = [col["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        columns.append(F.coalesce(F.size("__gone"), F.lit(0)).alias(fresh(docs.columns, count_col)))
+        columns.append(F.coalesce(F.size(col["gone"]), F.lit(0)).alias(fresh(docs.columns, count_col)))
     return out.select(*columns)
 
 

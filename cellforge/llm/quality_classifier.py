@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 from .language_id import held_out
 
 BUCKETS = 1 << 14
@@ -157,7 +157,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """`docs` with a score from 0 to 1 and the predicted label, from the whole text alone; null counts as empty."""
+    """`docs` with a score from 0 to 1 and the predicted label, from the whole text alone; null counts as empty.
+    A new column whose name is taken gets an underscore more."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -167,7 +168,9 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str =
         texts = list(texts)
         return pd.Series(np.concatenate([held.value.scores(texts[i : i + 128]) for i in range(0, len(texts), 128)] or [np.zeros(0)]))
 
-    return small_batches(docs).withColumn("__score", of(F.col(text_col))).select(*docs.columns, F.col("__score").alias(out[0]), (F.col("__score") >= 0.5).cast("int").alias(out[1]))
+    held_score = fresh(docs.columns, "__score")
+    names = [fresh(docs.columns, n) for n in out]
+    return small_batches(docs).withColumn(held_score, of(F.col(text_col))).select(*docs.columns, F.col(held_score).alias(names[0]), (F.col(held_score) >= 0.5).cast("int").alias(names[1]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

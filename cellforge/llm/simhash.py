@@ -197,7 +197,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     return docs.join(
         best,
-        docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash")),
+        docs[id_col].eqNullSafe(best["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == best["__hash"]),
         "left_semi",
     )
 

@@ -102,9 +102,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     )
     removed = fresh(docs.columns, "removed")
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash")), "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["__hash"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    spans_col = F.coalesce("__spans", none)
+    spans_col = F.coalesce(spans["__spans"], none)
     text = docs[text_col]
     before = F.transform(spans_col, lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans_col, i - 1)["end"]))
     parts = F.transform(F.arrays_zip(spans_col.alias("s"), before.alias("b")), lambda x: F.substring(text, x["b"] + 1, x["s"]["start"] - x["b"]))

@@ -33,7 +33,7 @@ def test_substitutions_blocks_and_edges(spark):
         docs.append((d, " ".join(body).upper(), d))
     docs += [(100, None, 0), (101, "", 0), (None, "İ " + " ".join(items[0][1]), 0)]
     want.add((None, 0))
-    ddf = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
+    ddf = spark.createDataFrame(docs, "doc_id long, text string, item_id long").selectExpr("*", "1 as __id", "2 as __hash", "3 as start")
     bdf = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(98, None), (99, "short")], "item_id long, text string")
     for block in (1 << 20, 2000):
         assert {(r.doc_id, r.item_id) for r in dec.contaminated(ddf, bdf, block_bytes=block).collect()} == want

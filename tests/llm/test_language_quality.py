@@ -52,8 +52,8 @@ def test_language_accuracy_and_edges(spark, sf):
     assert len(rows) == len(truth) and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     docs = spark.createDataFrame([(1, None, "en"), (1, "", "en"), (2, "12 %% 34", None), (None, "The end of it", None)], "doc_id long, text string, score string")
     model = lid.fit_language_model(spark.read.parquet(f"{sf}/documents.parquet"))
-    got = lid.identify_languages(docs, model, out=("lang_pred", "sure", "bits")).collect()
-    assert [r.lang_pred for r in got] == ["und", "und", "und", "en"] and got[0].score == "en" and all(0 <= r.sure <= 1 for r in got)
+    got = lid.identify_languages(docs, model).collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "und", "en"] and got[0].score == "en" and all(0 <= r.score_ <= 1 for r in got)
     assert lid.identify_languages(docs.limit(0), model).count() == 0
     nothing = lid.fit_language_model(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert [r.lang_pred for r in lid.identify_languages(docs.drop("score"), nothing).collect()] == ["und"] * 4

@@ -87,9 +87,10 @@ def test_edges(spark):
     line = "one two three four five six seven eight"
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(1, None, 1), (2, "", 2), (3, f"{line}\n\nshort line", 3), (4, "short line", 4), (5, "Short line\n" + line.replace("four", "4"), 5), (None, "\n \n", 6), (6, long, 7), (7, long + " more", 8), (7, long + " more", 9), (7, "other words here", 10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int").withColumn("pos", F.lit("p")).withColumn("line_no", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int").withColumn("pos", F.lit("p")).withColumn("line_no", F.lit(0)).withColumn("__gone", F.lit(1)).withColumn("__hash", F.lit("h")).withColumn("__id", F.lit(2)).withColumn("Text_hash", F.lit(3))
     got = line_dedup.dedup_lines(df, count_col="n_removed")
     assert got.columns == [*df.columns, "n_removed_"]
+    assert all((r["__gone"], r["__hash"], r["__id"], r["Text_hash"]) == (1, "h", 2, 3) for r in got.collect())
     out = sorted((str(r.doc_id), r.text) for r in got.collect())
     want = [("1", None), ("2", ""), ("3", f"{line}\n\nshort line"), ("5", "Short line"), ("None", "\n \n"), ("6", long), ("7", "other words here")]
     assert sorted(out, key=str) == sorted(want, key=str)

@@ -92,7 +92,7 @@ def test_repeated_spans_against_brute_force(spark, sf):
 def test_substring_edge_cases(spark):
     line = "É" + " ".join(f"Word{i}" for i in range(60)) + "."
     rows = [(1, f"start here now\n{line}\nend"), (2, f"other\n{line.upper()}\r\ntail é"), (3, None), (4, ""), (None, "short"), (5, "short"), (6, f"{line} {line}"), (1, f"start here now\n{line}\nend")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as removed", "7 as start")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as removed", "7 as start", "1 as __id", "2 as __hash", "3 as __spans")
     got = {(r.doc_id, r.text): r for r in substring_dedup.dedup_substrings(docs).collect()}
     assert sum(1 for _ in substring_dedup.dedup_substrings(docs).collect()) == 8
     out = {d: t for d, t in got}

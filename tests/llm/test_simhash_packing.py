@@ -78,7 +78,7 @@ def test_links_of_hot_groups(spark):
 
 def test_near_dedup_edge_cases(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (2, None, None), (3, "", "z"), (4, "q r s t u v", "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").selectExpr("*", "1 as __id", "2 as __hash", "3 as component_id")
     kept = sorted((str(r.doc_id), r.text, r.fp) for r in simhash.dedup_near(docs).collect())
     assert kept == sorted([("1", "a b c d e f", "x"), ("1", "a b c d e f", "x"), ("2", None, None), ("4", "q r s t u v", "w")], key=str)
     assert simhash.dedup_near(docs.limit(0)).count() == 0
