@@ -129,7 +129,7 @@ def unique_edges(faces: DataFrame) -> DataFrame:
 def index_list(faces: DataFrame) -> DataFrame:
     """Corner indices in face order, the restart sentinel after each face: (mesh_id, position, vertex_id)."""
     order = Window.partitionBy("mesh_id").orderBy("face_id")
-    return faces.withColumn("n", F.row_number().over(order) - 1).select("mesh_id", "n", F.posexplode(F.array("v0", "v1", "v2", F.lit(0xFFFFFFF).cast("long"))).alias("k", "vertex_id")).select("mesh_id", (F.col("n") * 4 + F.col("k")).alias("position"), "vertex_id")
+    return faces.withColumn("n", F.row_number().over(order) - 1).select("mesh_id", "n", F.posexplode(F.array("v0", "v1", "v2", F.lit(0xFFFFFFF).cast("long"))).alias("k", "vertex_id")).select("mesh_id", (F.col("n").cast("long") * 4 + F.col("k")).alias("position"), "vertex_id")
 
 
 def join_parts(vertices: DataFrame, faces: DataFrame, part: str = "part_id") -> tuple[DataFrame, DataFrame]:

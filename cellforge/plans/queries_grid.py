@@ -95,7 +95,7 @@ def cell_indices(spark, sf):
     return g.select("x", "y", "z", "i", *K.index_cell(F.col("i"), D).named("r"))
 
 
-@query(f"WITH {grid_sql()} SELECT x, y, z, x * 0.25 - 4 AS min_x, y * 0.25 - 4 AS min_y, z * 0.25 - 4 AS min_z, x * 0.25 - 3.75 AS max_x, y * 0.25 - 3.75 AS max_y, z * 0.25 - 3.75 AS max_z FROM g")
+@query(f"WITH {grid_sql()} SELECT x, y, z, x / 4 - 4 AS min_x, y / 4 - 4 AS min_y, z / 4 - 4 AS min_z, (x + 1) / 4 - 4 AS max_x, (y + 1) / 4 - 4 AS max_y, (z + 1) / 4 - 4 AS max_z FROM g")
 def cell_boxes(spark, sf):
     """PRJ4, FLT1."""
     lo, hi = K.cell_box(AT, Vec.of(*LO), Vec.of(*SIZE))
