@@ -55,7 +55,7 @@ class Node:
     parent: "Node | None"
     outside: bool
     depth: int = 0
-    path: str = ""
+    path: int = 0
     inline: bool = False
 
 
@@ -83,6 +83,7 @@ def _around(attrs: str) -> bool:
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order, those outside the article by their markup left out."""
     root = Node("", None, False)
+    paths: dict[tuple[int, str], int] = {}  # numbers of the tag paths, by the path above and the tag
     at, links = root, 0
     out: list[Block] = []
     now: Block | None = None
@@ -172,7 +173,7 @@ def blocks_of(html: str) -> list[Block]:
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent
             skip = up is None
-        at = Node(name, at, skip, at.depth + 1, f"{at.path}/{name}", name in INLINE)
+        at = Node(name, at, skip, at.depth + 1, paths.setdefault((at.path, name), len(paths) + 1), name in INLINE)
         links += name == "a"
     for b in out:
         b.text = SPACE.sub(" ", unescape("".join(b.parts))).strip()
@@ -190,7 +191,7 @@ def main_text(html: str | None, spread: float = 0.5, share: float = 0.5) -> str:
     found = blocks_of(html or "")
     if not found:
         return ""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.node.path, [0, 0, 0])
         free = max(0, len(b.text) - b.linked)
@@ -198,7 +199,7 @@ def main_text(html: str | None, spread: float = 0.5, share: float = 0.5) -> str:
         s[1] += sum(map(_punctuation, b.text)) * free / len(b.text)
         s[2] += 1
     ratio = {p: (length / n, marks / n) for p, (length, marks, n) in sums.items()}
-    smooth: dict[str, list[float]] = {p: [0, 0, 0] for p in ratio}
+    smooth: dict[int, list[float]] = {p: [0, 0, 0] for p in ratio}
     for i, b in enumerate(found):
         near = [ratio[x.node.path] for x in found[max(0, i - 1) : i + 2]]
         s = smooth[b.node.path]
