@@ -19,9 +19,12 @@ def _row_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _normal(line: Column) -> Column:
-    """The words of a line with single spaces; most lines are so already, and the regular expression is left to the rest."""
-    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+def _trim(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def _normal(trimmed: Column) -> Column:
+    """The words of a trimmed line with single spaces; most lines are so already, and the regular expression is left to the rest."""
     odd = F.contains(trimmed, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(trimmed, F.lit(c))
@@ -106,7 +109,8 @@ def _lines(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of every line with a word, normalised."""
     return (
         rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
+        .select("doc_id", "text_hash", "line_no", _trim(F.col("line")).alias("line"))
+        .where("line <> ''")
         .select("doc_id", "text_hash", "line_no", _normal(F.col("line")).alias("line"))
     )
 
@@ -128,7 +132,7 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     lines = (
         base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["__id"]))
         .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(F.get("lines", F.col("x.line_no"))).alias("line"), "x.roles")
+        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(_trim(F.get("lines", F.col("x.line_no")))).alias("line"), "x.roles")
         .where("line <> ''")
         .select("pos", F.split("line", " ").alias("w"), "roles")
     )
@@ -208,16 +212,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.
     """
     decided = line_decisions(docs, id_col, text_col, fuzzy_words)
-    names = {n: fresh(docs.columns, f"__{n}") for n in ("hash", "id", "all", "gone", "lines", "text")}
+    names = {n: fresh(docs.columns, f"__{n}") for n in ("hash", "id", "all", "gone", "text")}
     col = {n: F.col(c) for n, c in names.items()}
     rows = docs.withColumn(names["hash"], _row_hash(F.col(text_col)))
     per_id = decided.groupBy(F.col("doc_id").alias(names["id"])).agg(F.collect_list(F.struct("text_hash", F.col("removed.line_no").alias("gone"))).alias(names["all"]))
     joined = rows.join(per_id.hint("shuffle_hash"), rows[id_col].eqNullSafe(per_id[names["id"]]), "left")
     joined = joined.withColumn(names["gone"], F.get(F.filter(col["all"], lambda x: x["text_hash"] == col["hash"]), F.lit(0))["gone"])
-    # what stands between removed lines stays
+    # what stands between removed lines stays; the text is split only where lines go
     edges = F.concat(F.array(F.lit(-1)), col["gone"])
-    kept = F.flatten(F.transform(edges, lambda e, i: F.slice(col["lines"], e + 2, F.coalesce(F.get(col["gone"], i), F.size(col["lines"])) - e - 1)))
-    out = joined.withColumn(names["lines"], F.split(text_col, "\n")).withColumn(names["text"], F.when(col["gone"].isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    between = lambda lines: F.flatten(F.transform(edges, lambda e, i: F.slice(lines, e + 2, F.coalesce(F.get(col["gone"], i), F.size(lines)) - e - 1)))
+    kept = F.array_join(F.get(F.transform(F.array(F.split(text_col, "\n")), between), F.lit(0)), "\n")
+    out = joined.withColumn(names["text"], F.when(col["gone"].isNull(), F.col(text_col)).otherwise(kept))
     out = out.where(col["gone"].isNull() | col["text"].rlike("[^\\x20\\x09-\\x0D]"))
     columns = [col["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
