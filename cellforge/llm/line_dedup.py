@@ -131,8 +131,9 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     lines = (
         base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["__id"]))
-        .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(_trim(F.get("lines", F.col("x.line_no")))).alias("line"), "x.roles")
+        .select("doc_id", "text_hash", "wanted", F.split("text", "\n").alias("lines"))
+        .select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda x: F.struct(x["line_no"].alias("line_no"), F.get("lines", x["line_no"]).alias("line"), x["roles"].alias("roles")))).alias("x"))
+        .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(_trim(F.col("x.line"))).alias("line"), "x.roles")
         .where("line <> ''")
         .select("pos", F.split("line", " ").alias("w"), "roles")
     )
