@@ -99,3 +99,26 @@ def test_substring_edge_cases(spark):
     assert out[1] == rows[0][1] and out[2] == "other\n\ntail é" and out[3] is None and out[4] == "" and out[5] == "short"
     assert out[6] in ("", line, line + " ", " " + line) or len(out[6]) <= len(line) + 1
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_passages_that_start_and_end_inside_sentences(spark):
+    w = [f"word{i}" for i in range(60)]
+    inside = " ".join(w[:12]) + ". " + " ".join(w[12:20]) + ". " + " ".join(w[20:32])  # the whole sentence has 8 words
+    rows = [(1, f"Some words before {inside} and other words behind."), (2, f"Here begins {inside.upper()} then it goes on."), (3, f"Short. {' '.join(w[12:20])}. Tail.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.extended_spans(docs).collect()
+    assert [(r.doc_id, r.n_words, r.n_units, r.kept_doc_id, r.kept_start) for r in got] == [(2, 32, 1, 1, 18)]
+    assert rows[1][1][got[0].start : got[0].end].strip() == inside.upper()
+    out = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert out == {1: rows[0][1], 2: "Here begins then it goes on.", 3: rows[2][1]}
+
+
+def test_runs_that_meet_and_sentences_without_ascii_ends(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(9)) + ". " for c in "ab")
+    rows = [(1, f"{a}m1 m2 m3 m4 m5. "), (2, f"z1 z2 z3 y4 y5. {b}"), (3, f"{a}m1 m2 m3 x y5. {b}"), (4, f"{a}m1 m2 m3 y4 y5. {b}")]
+    got = substring_dedup.extended_spans(spark.createDataFrame(rows[:2] + rows[3:], "doc_id long, text string"), min_words=10).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id) for r in got if r.doc_id == 4] == [(4, 0, len(rows[3][1]), 23, 1)]
+    got = substring_dedup.extended_spans(spark.createDataFrame(rows[:3], "doc_id long, text string"), min_words=10).collect()
+    assert sorted(r.n_words for r in got if r.doc_id == 3) == [10, 12]
+    assert len(substring_dedup.units("यह पहला लंबा वाक्य है। यह दूसरा लंबा वाक्य है।")) == 2
+    assert len(substring_dedup.units("今日は天気がいいです。明日も天気がいい。")) == 2
