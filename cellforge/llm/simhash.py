@@ -202,6 +202,74 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's runs of `shingle` words (of all its words, if there are fewer), sorted."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(w) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)) if w else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+#: MinHash bands and values in each: pairs at similarity 0.8 share a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, BAND_ROWS = 20, 5
+_draw = np.random.default_rng(SEED)
+_TIMES = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+
+def bands(text: str | None, shingle: int = 5) -> np.ndarray | None:
+    """Signed hashes of the MinHash bands of a text; None if it has no word."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return None
+    least = np.min([(h[i : i + 4096, None] * _TIMES + _PLUS).min(axis=0) for i in range(0, len(h), 4096)], axis=0).reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least], np.uint64).view(np.int64)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Pairs (a, b) of documents, each named by xxhash64 of its id and text hash, at Jaccard similarity `least` or more.
+
+    Candidates share a MinHash band; each is then checked on its whole sets of shingles.
+    """
+
+    @F.pandas_udf("array<long>")
+    def banded(texts: pd.Series) -> pd.Series:
+        return pd.Series([bands(t, shingle) for t in texts], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(shingles(x, shingle), shingles(y, shingle)) >= least for x, y in zip(a, b)], dtype=bool)
+
+    docs = small_batches(docs)
+    named = docs.select(node(docs, id_col, text_col).alias("node"), F.col(text_col).alias("text"))
+    keys = cut(named.select("node", F.posexplode(banded("text")).alias("band", "k")).distinct())
+    shared = keys.groupBy("band", "k").agg(F.count("*").alias("n")).where("n > 1").select("band", "k")
+    held = keys.join(shared, ["band", "k"])
+    left, right = held.withColumnRenamed("node", "a"), held.withColumnRenamed("node", "b")
+    pairs = cut(left.join(right, ["band", "k"]).where("a < b").select("a", "b").distinct())
+    texts = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    texts = cut(texts.dropDuplicates(["node"]))
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(close("text_a", "text_b")).select("a", "b")
+
+
+def node(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(docs[id_col], F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+
+
+def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """`docs` with one document (the least id, then the least text hash; null ids last) of each group of similar_pairs()."""
+    parts = cut(connected_components(similar_pairs(docs, id_col, text_col, least, shingle)).withColumnRenamed("node", "__node"))
+    found = docs.select(node(docs, id_col, text_col).alias("__node"), F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h")).alias("rank"))
+    best = found.join(parts, "__node").groupBy("root").agg(F.min(F.struct("rank", "__node")).alias("best")).select("best.__node")
+    gone = parts.select("__node").join(best, "__node", "left_anti")
+    return docs.join(gone, node(docs, id_col, text_col) == gone["__node"], "left_anti")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

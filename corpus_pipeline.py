@@ -10,7 +10,7 @@ from cellforge.llm.decontaminate import decontaminate
 from cellforge.llm.language_id import UNKNOWN, fit_language_model, held_out, identify_languages
 from cellforge.llm.line_dedup import dedup_lines
 from cellforge.llm.packing import pack_documents
-from cellforge.llm.simhash import dedup_near
+from cellforge.llm.simhash import dedup_near, dedup_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return dedup_near(docs)
+    """One document of each near-duplicate group: by op2's fingerprints, then by similarity 0.8 of 5-word shingles."""
+    return dedup_similar(written(dedup_near(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

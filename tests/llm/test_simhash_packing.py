@@ -132,3 +132,23 @@ def test_first_fit_decreasing_matches_plain_search():
             room[b] -= int(lengths[i])
             want[i] = b
         assert [want[i] for i in range(n)] == bins.tolist()
+
+
+def test_pipeline_stage_drops_similar_documents_beyond_three_bits(spark):
+    import corpus_pipeline
+
+    random.seed(9)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(1, " ".join(base)), (9, " ".join(f"v{i}" for i in range(200))), (10, None), (None, "")]
+    for d in range(2, 9):  # two or three words changed: 5-word similarity of 0.85 or more
+        w = list(base)
+        for i in random.sample(range(10, 190), 3):
+            w[i] = f"x{d}{i}"
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    far = [d for d, t in rows if d in range(2, 9) and (simhash.simhash64(t) ^ simhash.simhash64(rows[0][1])).bit_count() > 3]
+    close = [d for d, t in rows if d in range(2, 9) and simhash.jaccard(simhash.shingles(t), simhash.shingles(rows[0][1])) >= 0.8]
+    assert far and len(close) == 7
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert got >= {1, 9} and not got & set(range(2, 9))
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
