@@ -53,10 +53,11 @@ def _punctuation(c: str) -> bool:
 class Node:
     tag: str
     parent: "Node | None"
-    outside: bool
+    outside: bool  # by its element
     depth: int = 0
     path: int = 0
     inline: bool = False
+    around: bool = False  # a class, id or role says that it stands around the article
 
 
 @dataclass
@@ -67,17 +68,16 @@ class Block:
     text: str = ""
 
 
-def _around(attrs: str) -> bool:
+def _around(attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role says that it stands around the article."""
+    hidden = named = False
     for m in ATTR.finditer(attrs):
         name = m[1].lower()
-        if name == "hidden":
-            return True
         value = (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id", "role", "data-role") and not AROUND.isdisjoint(WORDS.findall(BESIDE.sub(" ", value))):
-            return True
-        if name == "aria-hidden" and value == "true" or name == "style" and ("display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")):
-            return True
-    return False
+        if name in ("class", "id", "role", "data-role"):
+            named |= not AROUND.isdisjoint(WORDS.findall(BESIDE.sub(" ", value)))
+        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and ("display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""))
+    return hidden, named
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -167,28 +167,52 @@ def blocks_of(html: str) -> list[Block]:
             if node is not root:
                 links -= 1
                 node.tag = "span"
-        skip = at.outside or name in OUTSIDE or name not in ("html", "body", "article", "main") and _around(attrs)
+        hidden, named = _around(attrs)
+        keep = name in ("html", "body", "article", "main")
+        skip = at.outside or name in OUTSIDE or not keep and hidden
         if name == "header" and not skip:
             up = at
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent
             skip = up is None
-        at = Node(name, at, skip, at.depth + 1, paths.setdefault((at.path, name), len(paths) + 1), name in INLINE)
+        at = Node(name, at, skip, at.depth + 1, paths.setdefault((at.path, name), len(paths) + 1), name in INLINE, not keep and named)
         links += name == "a"
     for b in out:
         b.text = SPACE.sub(" ", unescape("".join(b.parts))).strip()
     return [b for b in out if b.text]
 
 
+def _spared(found: list[Block], share: float) -> list[Block]:
+    """The blocks without those below an element that is named as around the article, unless it has over `share` of the
+    page's text outside links and no <article> or <main> with text stands outside such elements."""
+    free = [max(0, len(b.text) - b.linked) for b in found]
+    held: dict[int, int] = {}
+    over: list[list[int]] = []
+    marked = False
+    for b, n in zip(found, free):
+        up, node, article = [], b.node, False
+        while node is not None:
+            article |= node.tag in ("article", "main")
+            if node.around:
+                up.append(id(node))
+                held[id(node)] = held.get(id(node), 0) + n
+            node = node.parent
+        over.append(up)
+        marked |= article and not up and n > 0
+    limit = share * sum(free)
+    return [b for b, up in zip(found, over) if not up or not marked and all(held[k] > limit for k in up)]
+
+
 def main_text(html: str | None, spread: float = 0.5, share: float = 0.5) -> str:
     """The article's blocks, joined by newlines; '' if there is none.
 
     For each root-to-leaf tag path the mean text length and the mean punctuation of its blocks are taken, each path's
     figures are smoothed with those of the blocks next to it in page order, the two are multiplied, and paths whose
-    score reaches the mean less `spread` deviations, or that hold a tenth of the best, are content. The smallest element
-    with most of their text is the article; in it only blocks that are mainly links on no content path are dropped.
+    score reaches the mean less `spread` deviations, or that hold a tenth of the best, are content. An <article> or <main>
+    with over `share` of their text is the article, else the smallest element with that; in it only blocks that are
+    mainly links on no content path are dropped. Class, id and role words drop an element as _spared() says.
     """
-    found = blocks_of(html or "")
+    found = _spared(blocks_of(html or ""), share)
     if not found:
         return ""
     sums: dict[int, list[float]] = {}
@@ -222,13 +246,9 @@ def main_text(html: str | None, spread: float = 0.5, share: float = 0.5) -> str:
             weight[id(node)] = weight.get(id(node), 0) + w
             nodes[id(node)] = node
             node = node.parent
-    # the article element if the page marks one, else the smallest element with most of the content
-    marked = [n for k, n in nodes.items() if n.tag in ("article", "main") and weight[k] > 0]
-    best = None
-    if marked:
-        best = max(marked, key=lambda n: (weight[id(n)], n.depth))
-        if weight[id(best)] < share * total and not any(n.tag == "article" for n in marked):
-            best = None
+    # the article element if the page marks one with most of the content, else the smallest element with it
+    marked = [n for k, n in nodes.items() if n.tag in ("article", "main") and weight[k] > share * total]
+    best = max(marked, key=lambda n: (weight[id(n)], n.depth), default=None)
     if best is None:
         best = max((n for k, n in nodes.items() if weight[k] > share * total), key=lambda n: n.depth, default=None)
         if best is not None and best.tag in ("p", "td", "li", *HEADINGS) and best.parent is not None:

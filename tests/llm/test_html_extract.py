@@ -44,3 +44,15 @@ def test_pages_against_their_template(spark, sf):
         inner = re.sub(r"<[^>]*$", "", html[html.find("<article>") + 9 :].split("</article>")[0])
         parts = (re.sub(r"\s+", " ", unescape(re.sub(r"</?b>|<br>", "", s))).strip() for s in re.split(r"</?(?:p|h1)>", inner))
         assert got[i] == "\n".join(p for p in parts if p)
+
+
+def test_articles_and_class_words_are_only_evidence():
+    body = "".join(f"<p>Paragraph {i} of the main text, which is long enough to count, with commas.</p>" for i in range(6))
+    lines = [f"Paragraph {i} of the main text, which is long enough to count, with commas." for i in range(6)]
+    got = main_text(f"<body><div>{body}</div><article class=card><h3>Teaser</h3><p>A short teaser, here.</p></article></body>")
+    assert got.split("\n")[:6] == lines
+    parts = body.split("</p>")[:-1]
+    got = main_text("<body><div>" + "".join(f"<article>{x}</p></article>" for x in parts) + "</div></body>")
+    assert got.split("\n") == lines
+    assert main_text(f"<body><div class='elementor-widget'><article>{body}</article></div></body>").split("\n") == lines
+    assert main_text(f"<body><div class=post>{body}<div class=share><p>Share this, now.</p></div></div></body>").split("\n") == lines
