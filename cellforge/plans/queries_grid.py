@@ -201,6 +201,12 @@ def flood_by_frontier(spark, sf):
     return fracture.flood_frontier(cells_of(spark, sf, 16).where("x < 5 and y < 5 and z < 5"), seed_table(spark, [(2, 1, 1, 1), (3, 4, 4, 3), (4, 0, 4, 4)]), 6).drop("grid_id")
 
 
+@query(_FLOOD.format(cells=grid_sql(16), o=N6))
+def flood_by_frontier_whole(spark, sf):
+    """ITR1 as joins over all cells, with the SQL of flood_fragments."""
+    return fracture.flood_frontier(cells_of(spark, sf, 16), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
+
+
 def _sub_seeds(spark):
     rows = [(0, 2, 1, 1, 1, 1), (0, 2, 2, 14, 14, 14), (0, 2, 3, 1, 14, 2), (0, 3, 1, 14, 2, 3), (0, 3, 2, 8, 8, 1), (0, 4, 1, 2, 9, 14)]
     return spark.createDataFrame(rows, "grid_id long, seed_id int, sub_seed int, sx int, sy int, sz int")

@@ -286,3 +286,10 @@ def test_stage_stream(spark, sf, tmp_path):
     got = {(r.user_id, r.event_type, r.start) for r in spark.table("finished_stages").collect()}
     want = {(r.user_id, r.event_type, r.start) for r in stages(events).where("next_start is not null").collect()}
     assert got == want
+
+
+def test_frontier_floods_the_whole_grid(spark, sf):
+    from cellforge.plans.catalog import QUERIES
+
+    got = sorted(map(tuple, QUERIES["flood_by_frontier_whole"](spark, sf).select("x", "y", "z", "value", "level").collect()))
+    assert got == sorted(map(tuple, QUERIES["flood_fragments"](spark, sf).select("x", "y", "z", "value", "level").collect())) and len(got) > 125
