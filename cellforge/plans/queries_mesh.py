@@ -436,6 +436,12 @@ def subdivided_triangles(spark, sf):
     return M.subdivide(t, 0.8).select("mesh_id", "path", *R(("ax", F.col("ax")), ("by", F.col("by")), ("cz", F.col("cz"))))
 
 
+@query(_halves_sql(0.8).replace("FROM ft WHERE mesh_id = 0 ", "FROM ft "))
+def subdivided_triangles_all(spark, sf):
+    """MSH14 for every mesh."""
+    return M.subdivide(M.triangles_of(*mesh(spark, sf)), 0.8).select("mesh_id", "path", *R(("ax", F.col("ax")), ("by", F.col("by")), ("cz", F.col("cz"))))
+
+
 # sampling
 
 _SAMPLE = (

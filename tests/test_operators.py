@@ -293,3 +293,9 @@ def test_frontier_floods_the_whole_grid(spark, sf):
 
     got = sorted(map(tuple, QUERIES["flood_by_frontier_whole"](spark, sf).select("x", "y", "z", "value", "level").collect()))
     assert got == sorted(map(tuple, QUERIES["flood_fragments"](spark, sf).select("x", "y", "z", "value", "level").collect())) and len(got) > 125
+
+
+def test_every_mesh_is_subdivided(spark, sf):
+    from cellforge.plans.catalog import QUERIES
+
+    assert {r.mesh_id for r in QUERIES["subdivided_triangles_all"](spark, sf).select("mesh_id").distinct().collect()} == {0, 1, 2, 3}
