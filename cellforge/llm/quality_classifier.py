@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,6 +20,10 @@ BUCKETS = 1 << 14
 #: Labelled rows that the fit may see at most; the sample is drawn by a hash of the id.
 SAMPLE_ROWS = 4000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+#: Every code point that str.isupper() holds for, as one class of ranges.
+_CAPITALS = [c for c in range(sys.maxunicode + 1) if chr(c).isupper()]
+_STARTS, _ENDS = ([c for c in _CAPITALS if not chr(c + step).isupper()] for step in (-1, 1))
+UPPER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(_STARTS, _ENDS)) + "]")
 STATS = ("bias", "log_words", "log_chars", "word_length", "symbols", "digits", "upper", "punctuation", "distinct", "longest_run", "line_length", "repeated_lines", "odd_words", "empty")
 
 
@@ -46,7 +51,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         run = run + 1 if a == b else 1
         longest = max(longest, run)
     lines = t.split("\n")
-    upper = sum(1 for x in t if x.isupper()) if chars < 5000 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", t))
+    upper = len(UPPER.findall(t))
     symbols = sum(map(t.count, "#*$%&|<>!@^~={}[]_\\"))
     marks = sum(map(t.count, ".,;:?'\"-()"))
     odd = sum(c for x, c in counts.items() if EDGE.sub("", x) != x.rstrip(".,;:"))

@@ -88,3 +88,11 @@ def test_quality_held_out_accuracy_and_edges(spark, sf):
     got = qc.score_quality(docs, none).collect()
     assert [r.score for r in got] == [0.5] * 3
     assert qc.score_quality(docs.limit(0), none).count() == 0
+
+
+def test_capitals_count_alike_at_every_length():
+    at = qc.STATS.index("upper")
+    for word in ("Слово ", "Λόγος ", "Łódź Ąę ", "Word "):
+        for n in (4999, 5000, 5001):
+            t = (word * 2000)[:n]
+            assert qc.features(t)[2][at] == sum(x.isupper() for x in t) / n > 0
