@@ -136,8 +136,8 @@ def near_links(fps: DataFrame, fp: str, bits: int = 3, blocks: int = 6, limit: i
     """Links (a, b) whose components equal those of all pairs of distinct fingerprints at `bits` or fewer bits.
 
     Two such fingerprints agree on `blocks - bits` blocks at least, so they meet under one of the masks. A group gives a
-    spanning forest of its links, never all its pairs. A group over `limit` goes on to masks that leave 12 bits open,
-    which hold 4096 distinct fingerprints at most.
+    spanning forest of its links, never all its pairs. A group over `limit` goes on to masks that leave 4 bits open
+    for each of `bits`: 12 at 3 bits, which hold 4096 distinct fingerprints at most.
     """
 
     def grouped(rows: DataFrame, cap: int) -> DataFrame:
@@ -154,14 +154,14 @@ def near_links(fps: DataFrame, fp: str, bits: int = 3, blocks: int = 6, limit: i
     )
     links = first.where("c is null").select("a", "b")
     handed = first.where("c is not null")
-    if bits == 3 and not handed.isEmpty():
-        fine = _masks(16, 13)
+    if not handed.isEmpty():
+        fine = _masks(16, 16 - bits)
         again = (
             handed.select(F.col("a").alias("f")).distinct()
             .select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("f").bitwiseAND(F.lit(m)).alias("k"), F.col("f")) for i, m in enumerate(fine)])).alias("x"))
             .select("x.*")
         )
-        links = links.union(grouped(again, 1 << 12).where("c is null").select("a", "b"))
+        links = links.union(grouped(again, 1 << 4 * bits).where("c is null").select("a", "b"))
     return links
 
 

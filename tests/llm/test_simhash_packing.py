@@ -152,3 +152,18 @@ def test_pipeline_stage_drops_similar_documents_beyond_three_bits(spark):
     got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     assert got >= {1, 9} and not got & set(range(2, 9))
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_large_groups_are_linked_at_other_bits(spark):
+    random.seed(11)
+    base = random.getrandbits(62)
+    fps = sorted({base} | {base ^ (1 << random.randrange(8)) ^ (1 << random.randrange(20)) for _ in range(60)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for bits in (2, 4):
+        root = {x: x for x in fps}
+        for _ in fps:
+            for x in fps:
+                root[x] = min(root[y] for y in fps if (x ^ y).bit_count() <= bits)
+        links = simhash.near_links(df, "fp", bits=bits, limit=8)
+        got = {r.node: r.root for r in simhash.connected_components(links).collect()}
+        assert got and {x: got.get(x, x) for x in fps} == root
