@@ -12,7 +12,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, root) for every node that some link touches; root is the least node of its component.
 
     Each round is two joins on node ids with partially aggregated minima, so a hub costs rows in proportion to its
-    links. Nulls and self-links are ignored; repeated links count once. Rounds grow with the logarithm of the longest
+    links; the second key of the joins makes the minima be dealt again, so that Spark can split the rows of a hub. Nulls and self-links are ignored; repeated links count once. Rounds grow with the logarithm of the longest
     path. An empty table gives an empty result.
     """
     e = cut(
@@ -28,10 +28,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         before = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        twice = lambda df, c: df.withColumn("key2", F.xxhash64(c))
+        large = twice(both, "u").join(twice(least, "u"), ["u", "key2"]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         e = cut(
-            large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            twice(large, "hi").join(twice(low, "hi"), ["hi", "key2"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(low.select("hi", F.col("m").alias("lo")))
             .distinct()
         )

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, written
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -165,7 +165,7 @@ def near_links(fps: DataFrame, fp: str, bits: int = 3, blocks: int = 6, limit: i
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, shingle: int = 3) -> DataFrame:
     """(id, text_hash, fp, component_id) for each row of `docs`.
 
     component_id is the least id that links reach, the row's own included. Texts without a word have fingerprint 0 and
@@ -173,23 +173,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same id each appear. An empty table gives no rows; other columns are not read.
     """
     rows = cut(
-        small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col)).alias("fp"))
+        small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col), shingle).alias("fp"))
     )
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     parts = connected_components(near_links(fps, "fp", bits))
     roots = fps.join(parts, fps.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(ids, "root").select("fp", "component_id")
+    # a second key makes the small side be dealt again, so that Spark can split a component with very many fingerprints
+    named = roots.withColumn("root2", F.xxhash64("root")).join(ids.withColumn("root2", F.xxhash64("root")), ["root", "root2"]).select("fp", "component_id")
     return rows.join(named, "fp")
 
 
-def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, shingle: int = 3) -> DataFrame:
     """`docs` with one document of each near-duplicate group: that of the least id (ties: the least text hash).
 
     All columns stay. Rows equal in id and text are one document and stay or go together. A null id loses to any
-    other id of its group.
+    other id of its group. An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col, bits)
+    found = near_duplicates(docs, id_col, text_col, bits, shingle)
     best = (
         found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best"))
@@ -214,8 +215,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-#: MinHash bands and values in each: pairs at similarity 0.8 share a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, BAND_ROWS = 20, 5
+#: MinHash bands and values in each: pairs at similarity 0.8 share a band with probability 1 - (1 - 0.8^8)^40 = 0.9994, at
+#: 0.5 with 0.14, so texts that share a passage but are not near copies seldom become candidates.
+BANDS, BAND_ROWS = 40, 8
 _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
@@ -226,14 +228,23 @@ def bands(text: str | None, shingle: int = 5) -> np.ndarray | None:
     h = shingles(text, shingle)
     if not len(h):
         return None
-    least = np.min([(h[i : i + 4096, None] * _TIMES + _PLUS).min(axis=0) for i in range(0, len(h), 4096)], axis=0).reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least], np.uint64).view(np.int64)
+    least = np.min([(h[i : i + 256, None] * _TIMES + _PLUS).min(axis=0) for i in range(0, len(h), 256)], axis=0).reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED + n) for n, x in enumerate(least)], np.uint64).view(np.int64)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Pairs (a, b) of documents, each named by xxhash64 of its id and text hash, at Jaccard similarity `least` or more.
+#: Rounds in which each text is checked against one of each group at most, before the pairs that are left are checked one by one.
+STAR_ROUNDS = 8
 
-    Candidates share a MinHash band; each is then checked on its whole sets of shingles.
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Links (a, b) between documents, each named by xxhash64 of its id and text hash, at Jaccard similarity `least` or more.
+
+    Candidates share a MinHash band; each is checked on its whole sets of shingles. The components of the links are those
+    of all candidate pairs that pass, but no group is expanded into its pairs: in each round a group of texts that share a
+    band has one centre, each text is checked against the first centre of its groups, and texts that links have led to
+    one text need no check with each other. When a round links less than a tenth of its pairs, or few pairs are open, the
+    pairs between texts of a group that are still apart are checked one by one, so no link is lost. What is left then are
+    texts that share a band but are no near copies; their pairs are few by the choice of the bands.
     """
 
     @F.pandas_udf("array<long>")
@@ -246,15 +257,38 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     docs = small_batches(docs)
     named = docs.select(node(docs, id_col, text_col).alias("node"), F.col(text_col).alias("text"))
-    keys = cut(named.select("node", F.posexplode(banded("text")).alias("band", "k")).distinct())
-    shared = keys.groupBy("band", "k").agg(F.count("*").alias("n")).where("n > 1").select("band", "k")
-    held = keys.join(shared, ["band", "k"])
-    left, right = held.withColumnRenamed("node", "a"), held.withColumnRenamed("node", "b")
-    pairs = cut(left.join(right, ["band", "k"]).where("a < b").select("a", "b").distinct())
-    texts = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    texts = cut(texts.dropDuplicates(["node"]))
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(close("text_a", "text_b")).select("a", "b")
+    keys = written(named.select("node", banded("text").alias("keys"))).select("node", F.explode("keys").alias("k"))
+    # a second key makes the small side be dealt again, so that Spark can split a band that very many texts share
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.xxhash64("k").alias("k2"))
+    rows = written(keys.withColumn("k2", F.xxhash64("k")).join(shared, ["k", "k2"]).select("k", "k2", "node").distinct()).withColumn("root", F.col("node"))
+    texts = written(named.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        return cut(pairs.join(of("a"), "a").join(of("b"), "b").where(close("text_a", "text_b")).select(*pairs.columns))
+
+    links = None
+    for r in range(STAR_ROUNDS):
+        if links is not None:
+            each = rows.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
+            size = each.where("n * n > joined").agg(F.sum(F.expr("(n * n - joined) div 2")), F.sum("n")).first()
+            if not size[1] or size[0] <= 4 * size[1] or not paid:
+                break
+        centre = F.struct(F.xxhash64(F.lit(r), "node").alias("rank"), F.col("node").alias("a"), F.col("root").alias("a_root"))
+        star = rows.groupBy("k", "k2").agg(F.min(centre).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "c", F.xxhash64("k2").alias("k3"))
+        first = rows.withColumn("k3", F.xxhash64("k2")).join(star, ["k", "k3"]).where("root <> c.a_root").groupBy("node").agg(F.min(F.struct("c", "root")).alias("x"))
+        first = cut(first)
+        found = checked(first.select(F.col("x.c.a").alias("a"), F.col("node").alias("b"), F.col("x.c.a_root").alias("ra"), F.col("x.root").alias("rb")))
+        paid = 10 * found.count() >= first.count()
+        links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+        # the least root within two steps, which joins all texts that one centre has linked
+        both = found.select("ra", "rb").union(found.select("rb", "ra")).union(found.select("ra", "ra")).union(found.select("rb", "rb")).distinct()
+        one = both.groupBy(F.col("ra").alias("rb")).agg(F.min("rb").alias("r1"))
+        two = both.join(one, "rb").groupBy(F.col("ra").alias("root")).agg(F.min("r1").alias("r2"))
+        rows = cut(rows.join(two, "root", "left").select("k", "k2", "node", F.coalesce("r2", "root").alias("root")))
+    left = rows.select("k", F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = rows.select("k", F.col("node").alias("b"), F.col("root").alias("rb"))
+    return links.union(checked(left.join(right, "k").where("a < b and ra <> rb").select("a", "b").distinct()))
 
 
 def node(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -262,8 +296,8 @@ def node(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 
 def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """`docs` with one document (the least id, then the least text hash; null ids last) of each group of similar_pairs()."""
-    parts = cut(connected_components(similar_pairs(docs, id_col, text_col, least, shingle)).withColumnRenamed("node", "__node"))
+    """`docs` with one document (the least id, then the least text hash; null ids last) of each group of similar_links()."""
+    parts = cut(connected_components(similar_links(docs, id_col, text_col, least, shingle)).withColumnRenamed("node", "__node"))
     found = docs.select(node(docs, id_col, text_col).alias("__node"), F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h")).alias("rank"))
     best = found.join(parts, "__node").groupBy("root").agg(F.min(F.struct("rank", "__node")).alias("best")).select("best.__node")
     gone = parts.select("__node").join(best, "__node", "left_anti")

@@ -26,8 +26,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: by op2's fingerprints, then by similarity 0.8 of 5-word shingles."""
-    return dedup_similar(written(dedup_near(docs)))
+    """One document of each near-duplicate group, by SimHash of 5-word shingles and then by their similarity of 0.8 or more.
+
+    The least id of a group stays (ties: the least text hash; null ids last). Rows equal in id and text stay or go together.
+    Null and word-less texts are one group. Any other columns pass through; an empty table gives no rows.
+    """
+    return dedup_similar(written(dedup_near(docs, shingle=5)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ pipeline = pytest.importorskip("corpus_pipeline")
 from cellforge.llm import decontaminate as dec
 from cellforge.llm import packing
 from test_line_dedup import plain_dedup
-from test_simhash_packing import plain_components, plain_fingerprint
+from test_simhash_packing import plain_components, plain_fingerprint, plain_similar
 
 
 def test_pipeline_against_brute_force(spark, sf):
@@ -16,7 +16,9 @@ def test_pipeline_against_brute_force(spark, sf):
     bench = [" ".join(dec.tokens(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {d: t for d, t in docs.items() if any(c.isalpha() for c in t or "")}
     left = {d: x[0] for d, x in plain_dedup(left).items() if x}
-    root = plain_components({d: plain_fingerprint(t) for d, t in left.items()})
+    root = plain_components({d: plain_fingerprint(t, 5) for d, t in left.items()})
+    left = {d: t for d, t in left.items() if root[d] == d}
+    root = plain_similar(left)
     left = {d: t for d, t in left.items() if root[d] == d}
     left = {d: t for d, t in left.items() if not any(f" {b} " in f" {' '.join(dec.tokens(t))} " for b in bench)}
     rows = pipeline.run(spark, sf).collect()

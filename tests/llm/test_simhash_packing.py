@@ -10,12 +10,12 @@ from tokenizers import Tokenizer
 from cellforge.llm import packing, simhash
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, n=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not w:
         return 0
-    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)]
+    sh = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -167,3 +167,47 @@ def test_large_groups_are_linked_at_other_bits(spark):
         links = simhash.near_links(df, "fp", bits=bits, limit=8)
         got = {r.node: r.root for r in simhash.connected_components(links).collect()}
         assert got and {x: got.get(x, x) for x in fps} == root
+
+
+def plain_similar(texts, least=0.8):
+    """ids -> least id reachable over pairs at similarity `least` of their 5-word shingles, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_large_groups_of_similar_texts_are_not_expanded(spark):
+    """A chain and a large group of near copies: the components of all pairs, from far fewer checks."""
+    random.seed(21)
+    texts, k = {}, 0
+    base = [f"w{i}" for i in range(120)]
+    for _ in range(250):
+        w = list(base)
+        w[random.randrange(120)] = f"x{k}"
+        texts[k], k = " ".join(w), k + 1
+    chain = [f"c{i}" for i in range(200)]
+    for step in range(30):
+        texts[k], k = " ".join(chain[step * 4 :] + [f"d{i}" for i in range(step * 4)]), k + 1
+    for _ in range(20):
+        texts[k], k = " ".join(f"z{random.randrange(10**6)}" for _ in range(80)), k + 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links = simhash.similar_links(docs).collect()
+    assert len(links) < 20 * len(texts)
+    kept = {r.doc_id for r in simhash.dedup_similar(docs).collect()}
+    want = plain_similar(texts)
+    assert kept == {i for i in texts if want[i] == i} and len(kept) < 40
