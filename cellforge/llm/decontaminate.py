@@ -7,17 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table, written
 
 TOKEN = re.compile(r"\w+")
 #: Which tokens of a window count (1) and which are ignored (0): eight equal tokens in a row are always a hit, and so is a
 #: window whose substitutions all fall on ignored places.
 MASKS = ("11111111", "1101100110101", "1110010110111", "11010111")
-#: Text bytes of the benchmark items that one pass holds in memory; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+#: Items of fewer tokens than the shortest mask have one seed, all of their tokens, and match as a whole.
+SHORT = min(map(len, MASKS))
+#: Bits for each seed of the benchmark in the filter that documents are read through, the most bits in all, and probes. A
+#: larger benchmark lets more documents through to the join, which decides.
+FILTER_BITS, FILTER_MOST, PROBES = 48, 1 << 30, 6
+#: Equal seeds within so many tokens of each other are a repetitive run; its first and last stand for the run.
+RUN = 16
+
+
+def lowered(text: str) -> str:
+    """Lower case that keeps every code point in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def tokens(text: str) -> list[str]:
@@ -25,149 +37,239 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(lowered(text))
 
 
-class SeedIndex:
-    """Spaced-seed hashes of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple], masks: tuple[str, ...] = MASKS):
-        self.items = [i for i, _ in items]
-        words = [tokens(t or "") for _, t in items]
-        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for x in words for w in x), 1)}
-        self.ids = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
-        self.masks = [np.flatnonzero([c == "1" for c in m]) for m in masks]
-        self.spans = [len(m) for m in masks]
-        self.tables = []
-        for m in range(len(masks)):
-            hashes, item, at = [], [], []
-            for n, ids in enumerate(self.ids):
-                h, p = self.hashes(ids, m)
-                hashes.append(h)
-                at.append(p)
-                item.append(np.full(len(p), n))
-            h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], np.concatenate(item)[order] if item else h, np.concatenate(at)[order] if at else h))
-
-    def hashes(self, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and position of each window all of whose counted tokens are known."""
-        n = len(ids) - self.spans[m] + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known = np.ones(n, bool)
-        for k in self.masks[m]:
-            known &= ids[k : k + n] > 0
-        at = np.flatnonzero(known)
-        h = np.full(len(at), m + 1, np.uint64)
-        for k in self.masks[m]:
-            h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h, at
-
-    def diagonals(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, doc position - item position) of every seed hit."""
-        found: set[tuple[int, int]] = set()
-        for m, (table_h, item, at) in enumerate(self.tables):
-            h, p = self.hashes(ids, m)
-            lo = np.searchsorted(table_h, h, "left")
-            hi = np.searchsorted(table_h, h, "right")
-            n = hi - lo
-            if n.any():
-                which = np.repeat(np.arange(len(h)), n)
-                rank = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                slot = lo[which] + rank
-                found.update(zip(item[slot].tolist(), (p[which] - at[slot]).tolist()))
-        return found
-
-    def overlap(self, ids: np.ndarray, item: int, shift: int, identity: float) -> tuple[int, int, int] | None:
-        """Best run on a diagonal, as (item from, item to, equal tokens).
-
-        A run scores 1 for an equal token and -1.5 for a substituted one; the run of the highest score counts.
-        """
-        b = self.ids[item]
-        i, j = max(0, -shift), min(len(b), len(ids) - shift)
-        same = b[i:j] == ids[i + shift : j + shift]
-        best, at, total, start = 0.0, None, 0.0, 0
-        for k, s in enumerate(same.tolist()):
-            total += 1 if s else -1.5
-            if total <= 0:
-                total, start = 0.0, k + 1
-            elif total > best:
-                best, at = total, (start, k + 1)
-        if at is None:
-            return None
-        equal = int(same[at[0] : at[1]].sum())
-        return (i + at[0], i + at[1], equal) if equal >= identity * (at[1] - at[0]) else None
-
-
-RESULT = "item_id {kind}, start int, end int, item_start int, item_end int, equal_tokens int, item_tokens int"
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", identity: float = 0.8, share: float = 0.5, least: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and benchmark item whose texts overlap: the longest verified overlap.
+class TokenHashes(dict):
+    """Hashes of tokens, each computed when it is first asked for; cleared when it has grown too large."""
 
-    (doc_id, text_hash, item_id, start, end, item_start, item_end, equal_tokens, item_tokens): start and end are code
-    points of the document's text, item_start and item_end tokens of the item. Around each spaced-seed hit the texts
-    are aligned; a run counts with `identity` equal tokens, and `least` tokens and `share` of the item at least.
-    The benchmark is held in blocks of `block_bytes` of text, each against all documents, so memory is bounded however
-    large it grows. Null and empty texts or items overlap nothing. Repeated rows each match. An empty table on either
-    side gives no rows.
-    """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    id_kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)["item_id"]
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    schema = f"doc_id {id_kind}, text_hash long, {RESULT.format(kind=item_kind)}"
-    arrow_item = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    out = None
-    for b in range(blocks):
-        rows: list[Row] = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        held = spark_broadcast(docs, [(r.item_id, r.text) for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(held.value)
-            known = index.vocabulary.get
-            for batch in batches:
-                row, cols = [], [[] for _ in range(7)]
-                for r, text in enumerate(batch.column(2)):
-                    t = text.as_py() or ""
-                    ids = np.array([known(w, 0) for w in tokens(t)], np.int64)
-                    best: dict[int, tuple] = {}
-                    for item, shift in index.diagonals(ids):
-                        found = index.overlap(ids, item, shift, identity)
-                        if found and found[1] - found[0] >= max(least, share * len(index.ids[item])):
-                            best[item] = max(best.get(item, (0,)), (found[2], -found[0] - shift, found[0], found[1]))
-                    if best:
-                        spans = [m.span() for m in TOKEN.finditer(lowered(t))]
-                        for item, (equal, start, i, j) in sorted(best.items()):
-                            row.append(r)
-                            first, last = -start, -start + j - i - 1
-                            for c, v in zip(cols, (index.items[item], spans[first][0], spans[last][1], i, j, equal, len(index.ids[item]))):
-                                c.append(v)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], arrow_item), *(pa.array(c, pa.int32()) for c in cols[1:])],
-                    ["doc_id", "text_hash", "item_id", "start", "end", "item_start", "item_end", "equal_tokens", "item_tokens"],
-                )
-
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = tokens(text or "")
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def masks_for(lengths: list[int]) -> list[tuple[int, np.ndarray, int]]:
+    """(number, counted places, span) of the spaced masks and of the whole-item masks of the given short lengths."""
+    spaced = [(n, np.flatnonzero([c == "1" for c in m]), len(m)) for n, m in enumerate(MASKS, 1)]
+    return spaced + [(100 + n, np.arange(n), n) for n in lengths]
+
+
+def seeds(h: np.ndarray, owner: np.ndarray, masks: list[tuple[int, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask the hashes of all its windows in the token hashes `h` and their places; no window spans two owners."""
+    for number, places, span in masks:
+        n = len(h) - span + 1
+        if n > 0:
+            at = np.flatnonzero(owner[:n] == owner[span - 1 :])
+            x = np.full(n, number, np.uint64)
+            for k in places:
+                x = (x ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(29)
+            yield x[at], at
+
+
+def run_ends(owner: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the hits to keep: in a run of equal hashes of one owner, each within RUN of the next, the first and the last."""
+    order = np.lexsort((at, h, owner))
+    near = (np.diff(owner[order]) == 0) & (np.diff(h[order].view(np.int64)) == 0) & (np.diff(at[order]) <= RUN)
+    inner = np.zeros(len(order), bool)
+    inner[1:-1] = near[:-1] & near[1:]
+    return np.sort(order[~inner])
+
+
+def probe(h: np.ndarray, j: int, bits: int) -> np.ndarray:
+    """The j-th place of each hash in a filter of `bits` bits, a power of two."""
+    return (h + np.uint64(j) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+
+
+def longest_run(same: np.ndarray, identity: float) -> tuple[int, int, int] | None:
+    """(from, to, equal) of the longest run that begins and ends with an equal token and has `identity` equal ones at least."""
+    i = np.flatnonzero(same)
+    if not len(i):
+        return None
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity, -identity))])
+    least = np.minimum.accumulate(total[i])
+    first = np.searchsorted(-least, -total[i + 1] - 1e-9, "left")
+    length, equal = i + 1 - i[first], np.arange(len(i)) - first + 1
+    k = int(np.lexsort((-i, equal, length))[-1])
+    return int(i[first[k]]), int(i[k]) + 1, int(equal[k])
+
+
+def benchmark_classes(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(item_id, cls) of each item with a token, and (cls, n, tokens) of each different sequence of tokens."""
+    kind = dict(benchmark.dtypes)[item_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = TokenHashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cache.of(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["item_id", "tokens"])
+
+    rows = small_batches(benchmark).select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, tokens array<long>")
+    rows = written(rows.where("size(tokens) > 0").withColumn("cls", F.xxhash64("tokens")))
+    return rows.select("item_id", "cls"), written(rows.groupBy("cls").agg(F.first("tokens").alias("tokens")).select("cls", F.size("tokens").alias("n"), "tokens"))
+
+
+def benchmark_seeds(classes: DataFrame) -> DataFrame:
+    """(h, cls, n, item_at) of each seed of the benchmark, inner seeds of repetitive runs left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, h, at, size = [], [], [], []
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = t.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found = list(seeds(x, np.zeros(len(x), np.int8), masks_for([]) if len(x) >= SHORT else masks_for([len(x)])[-1:]))
+                fh, fa = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                keep = run_ends(np.zeros(len(fh), np.int8), fh, fa)
+                h.append(fh[keep])
+                at.append(fa[keep])
+                cls.append(np.full(len(keep), c, np.int64))
+                size.append(np.full(len(keep), len(x)))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32))], ["h", "cls", "n", "item_at"])
+
+    return written(classes.select("cls", "tokens").mapInArrow(run, "h long, cls long, n int, item_at int"))
+
+
+def seed_filter(found: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds as 64-bit words; its size follows their number up to FILTER_MOST bits."""
+    bits = 1 << min(FILTER_MOST.bit_length() - 1, max(6, (FILTER_BITS * found.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([probe(h, j, bits) for j in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
+
+    words = found.select("h").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bit")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def lowered(text: str) -> str:
-    """Lower case that keeps every code point in its place."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+def _seeded(docs: DataFrame, held, short: list[int], kind: str) -> DataFrame:
+    """`docs` (doc_id, text_hash, text) with a seed that passes the filter, and all such seeds with their places."""
+    masks = masks_for(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, words = TokenHashes(), held.value
+        bits = len(words) * 64
+        for batch in batches:
+            found = [cache.of(t.as_py()) for t in batch.column(2)]
+            size = np.array([len(x) for x in found], np.int64)
+            if not size.sum():
+                continue
+            h, owner = np.concatenate(found), np.repeat(np.arange(len(found)), size)
+            start = np.cumsum(size) - size
+            hit_h, hit_at = [], []
+            for x, at in seeds(h, owner, masks):
+                for j in range(PROBES):  # each on the seeds that are left
+                    p = probe(x, j, bits)
+                    ok = words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1
+                    x, at = x[ok], at[ok]
+                hit_h.append(x)
+                hit_at.append(at)
+            x, at = np.concatenate(hit_h or [h[:0]]), np.concatenate(hit_at or [start[:0]])
+            keep = run_ends(owner[at], x, at)
+            x, at = x[keep], at[keep]
+            order = np.argsort(owner[at], kind="stable")
+            x, at = x[order], at[order]
+            row, n = np.unique(owner[at], return_counts=True)
+            edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            take = pa.array(row)
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v)) for v in (x.view(np.int64), (at - start[owner[at]]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), *lists], ["doc_id", "text_hash", "text", "hs", "ats"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, text string, hs array<long>, ats array<int>")
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """The document's tokens that stand beside each item's, for each diagonal in `rows` (cand, text, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = TokenHashes()
+        for batch in batches:
+            for cand, text, at in zip(*(batch.column(k) for k in range(3))):
+                text = text.as_py()
+                h = cache.of(text).view(np.int64)
+                spans = np.array([m.span() for m in TOKEN.finditer(lowered(text))], np.int32).reshape(-1, 2)
+                wanted = at.as_py()
+                for part in range(0, len(wanted), 256):
+                    cols: list[list] = [[] for _ in range(5)]
+                    for d in wanted[part : part + 256]:
+                        i, j = max(0, d["shift"]), min(len(h), d["shift"] + d["n"])
+                        for c, v in zip(cols, (d["cls"], i - d["shift"], h[i:j], spans[i:j, 0], spans[i:j, 1])):
+                            c.append(v)
+                    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array([cand.as_py()] * len(cols[0]), pa.int64()), *map(pa.array, cols, kinds)], ["cand", "cls", "item_from", "own", "starts", "ends"])
 
+    return rows.mapInArrow(run, "cand long, cls long, item_from int, own array<long>, starts array<int>, ends array<int>")
 
-def spark_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
+
+def _verified(rows: DataFrame, identity: float, share: float, least: int, long: int) -> DataFrame:
+    """The longest run of each diagonal that counts."""
+    names = ["cand", "cls", "start", "end", "item_start", "item_end", "equal_tokens", "item_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            ids = [batch.column(k).to_pylist() for k in range(3)]
+            for r, (cand, cls, first) in enumerate(zip(*ids)):
+                own, starts, ends, item = (batch.column(k)[r].values.to_numpy(zero_copy_only=False) for k in range(3, 7))
+                n = len(item)
+                found = longest_run(own == item[first : first + len(own)], identity)
+                if not found:
+                    continue
+                i, j, equal = found
+                if equal == n if n < SHORT else j - i >= max(least, share * n) or j - i >= long:
+                    for c, v in zip(out, (cand, cls, int(starts[i]), int(ends[j - 1]), first + i, first + j, equal, n)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(out)], names)
+
+    return rows.select("cand", "cls", "item_from", "own", "starts", "ends", "tokens").mapInArrow(run, ", ".join(f"`{n}` {'long' if k < 2 else 'int'}" for k, n in enumerate(names)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", identity: float = 0.8, share: float = 0.5, least: int = SHORT, long: int = 50) -> DataFrame:
+    """One row for each document and benchmark item whose texts overlap: the longest verified overlap.
+
+    (doc_id, text_hash, item_id, start, end, item_start, item_end, equal_tokens, item_tokens): start and end are code
+    points of the document's text, item_start and item_end tokens of the item. Documents are read once, through a filter of
+    the benchmark's seeds; those with a seed in it are joined with the benchmark on the seeds' hashes, and around each hit
+    the texts are aligned. A run of tokens counts if it begins and ends with an equal one, has `identity` equal ones, and has
+    `long` tokens, or `least` tokens and `share` of the item. Items of fewer than SHORT tokens count if they appear whole.
+
+    Null and empty texts or items overlap nothing. Repeated rows each match, on either side; equal items are verified once.
+    Of runs of one length that with more equal tokens is returned, then the earliest. Ids may have any type, and other
+    columns are not read. An empty table on either side gives no rows.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    members, classes = benchmark_classes(benchmark, item_col, item_text_col)
+    found = benchmark_seeds(classes)
+    short = sorted(r["n"] for r in classes.where(F.col("n") < SHORT).select("n").distinct().collect())  # fewer than SHORT numbers
+    held = docs.sparkSession.sparkContext.broadcast(seed_filter(found))
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    cand = written(_seeded(source, held, short, kind).withColumn("cand", F.monotonically_increasing_id()))
+    hits = cand.select("cand", F.explode(F.arrays_zip("hs", "ats")).alias("x")).select("cand", F.col("x.hs").alias("h"), F.col("x.ats").alias("at"))
+    diagonals = hits.join(found, "h").select("cand", "cls", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    wanted = diagonals.groupBy("cand").agg(F.collect_list(F.struct("cls", "n", "shift")).alias("at"))
+    windows = _windows(cand.select("cand", "text").join(wanted, "cand").select("cand", "text", "at"))
+    best = F.max(F.struct((F.col("item_end") - F.col("item_start")).alias("length"), "equal_tokens", (-F.col("start")).alias("early"), "start", "end", "item_start", "item_end", "item_tokens")).alias("b")
+    runs = _verified(windows.join(classes.select("cls", "tokens"), "cls"), identity, share, least, long).groupBy("cand", "cls").agg(best)
+    return (
+        runs.join(members, "cls").join(cand.select("cand", "doc_id", "text_hash"), "cand")
+        .select("doc_id", "text_hash", "item_id", "b.start", "b.end", "b.item_start", "b.item_end", "b.equal_tokens", "b.item_tokens")
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """`docs` without the documents that overlap a benchmark item; all columns and other rows stay."""
-    hit = contaminated(docs, benchmark, id_col, text_col, **limits).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == hit["__hash"]), "left_anti")
+    """`docs` without the documents that overlap a benchmark item (see contaminated()); all columns and other rows stay.
+
+    Rows equal in id and text stay or go together; null and empty texts stay. An empty benchmark leaves all rows.
+    """
+    row_id, row_hash = fresh(docs.columns, "__id"), fresh(docs.columns, "__hash")
+    hit = contaminated(docs, benchmark, id_col, text_col, **limits).select(F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_hash)).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(hit[row_id]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == hit[row_hash]), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
