@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,16 +33,24 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these ends an open one of the named.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words in class, id or role that mark what is around an article.
+#: Elements of running text: one of these beside the content belongs to it, a <div> or <section> without content does not.
+FLOW = frozenset("p ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address hgroup".split()) | HEADINGS
+#: Words in class, id or role that say that an element stands around the article, and words that say nothing either way.
+#: A name counts only if it is made of such words alone: comments-area does, search-engines does not.
 AROUND = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification notifications alert "
-    "popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist disqus discussion reply replies respond responses share sharing social related recommended recommendations "
-    "sidebar side rail widget widgets menu menubar nav navbar navigation navigational breadcrumb breadcrumbs pagination pager toc skip skiplink masthead topbar toolbar footer foot colophon copyright legal disclaimer "
-    "search searchbox contentinfo complementary dialog tooltip hidden".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification notifications alert alerts "
+    "popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist respond responses replies disqus discussion share sharing social related recommended recommendations "
+    "sidebar sidebars widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager toc masthead topbar toolbar footer colophon copyright disclaimer search searchbox contentinfo complementary dialog".split()
 )
-WORDS = re.compile(r"[a-z]+")
-#: Layout words such as has-sidebar say what stands beside the content.
-BESIDE = re.compile(r"\b(?:with|has|no|without|and)[-_]\w+(?:[-_]\w+)*")
+NEUTRAL = frozenset(
+    "a the of my our site page post posts article articles story stories news main body box block area wrapper wrap container inner outer section list bar buttons button links link item items left right top bottom header head "
+    "form panel group row col column content text slot unit count meta secondary primary global local thread policy message".split()
+)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGITS = re.compile(r"\d+")
+#: What the score of a path below such an element counts for, beside that of other paths; nothing where an <article> or
+#: <main> outside such elements has this share of the text, or the text below them is shorter than this.
+AROUND_FACTOR, MARKED_SHARE, AROUND_LEAST = 0.05, 0.05, 500
 
 
 @cache
@@ -49,7 +58,13 @@ def _punctuation(c: str) -> bool:
     return unicodedata.category(c)[0] == "P"
 
 
-@dataclass
+@cache
+def _names_surroundings(name: str) -> bool:
+    parts = [w.lower() for w in WORDS.findall(name)]
+    return not AROUND.isdisjoint(parts) and all(w in AROUND or w in NEUTRAL for w in parts)
+
+
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: "Node | None"
@@ -57,7 +72,7 @@ class Node:
     depth: int = 0
     path: int = 0
     inline: bool = False
-    around: bool = False  # a class, id or role says that it stands around the article
+    around: bool = False  # a class, id or role of it or of an element above says that it stands around the article
 
 
 @dataclass
@@ -66,24 +81,33 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    free: int = 0  # length of the text outside links
 
 
-def _around(attrs: str) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether its class, id or role says that it stands around the article."""
+def _attributes(attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element is hidden, whether a class, id or role says that it stands around the article, and its classes
+    without numbers."""
     hidden = named = False
+    classes = ""
     for m in ATTR.finditer(attrs):
         name = m[1].lower()
-        value = (m[2] or "").strip("\"'").lower()
+        value = (m[2] or "").strip("\"'")
         if name in ("class", "id", "role", "data-role"):
-            named |= not AROUND.isdisjoint(WORDS.findall(BESIDE.sub(" ", value)))
-        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and ("display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""))
-    return hidden, named
+            named |= any(map(_names_surroundings, value.split()))
+            if name == "class":
+                classes = DIGITS.sub("", value)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name == "style":
+            bare = value.lower().replace(" ", "")
+            hidden |= "display:none" in bare or "visibility:hidden" in bare
+    return hidden, named, classes
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Text blocks of a page in order, those outside the article by their markup left out."""
+    """Text blocks of a page in order, those in elements that are never part of an article left out."""
     root = Node("", None, False)
-    paths: dict[tuple[int, str], int] = {}  # numbers of the tag paths, by the path above and the tag
+    paths: dict[tuple, int] = {}  # numbers of the tag paths: by the path above, the tag, its classes and whether it stands around
     at, links = root, 0
     out: list[Block] = []
     now: Block | None = None
@@ -167,113 +191,186 @@ def blocks_of(html: str) -> list[Block]:
             if node is not root:
                 links -= 1
                 node.tag = "span"
-        hidden, named = _around(attrs)
+        hidden, named, classes = _attributes(attrs) if attrs else (False, False, "")
         keep = name in ("html", "body", "article", "main")
         skip = at.outside or name in OUTSIDE or not keep and hidden
+        around = at.around or not keep and named
         if name == "header" and not skip:
             up = at
             while up is not None and up.tag not in ("article", "main"):
                 up = up.parent
             skip = up is None
-        at = Node(name, at, skip, at.depth + 1, paths.setdefault((at.path, name), len(paths) + 1), name in INLINE, not keep and named)
+        at = Node(name, at, skip, at.depth + 1, paths.setdefault((at.path, name, classes, around), len(paths) + 1), name in INLINE, around)
         links += name == "a"
     for b in out:
         b.text = SPACE.sub(" ", unescape("".join(b.parts))).strip()
+        b.free = max(0, len(b.text) - b.linked)
     return [b for b in out if b.text]
 
 
-def _spared(found: list[Block], share: float) -> list[Block]:
-    """The blocks without those below an element that is named as around the article, unless it has over `share` of the
-    page's text outside links and no <article> or <main> with text stands outside such elements."""
-    free = [max(0, len(b.text) - b.linked) for b in found]
-    held: dict[int, int] = {}
-    over: list[list[int]] = []
-    marked = False
-    for b, n in zip(found, free):
-        up, node, article = [], b.node, False
-        while node is not None:
-            article |= node.tag in ("article", "main")
-            if node.around:
-                up.append(id(node))
-                held[id(node)] = held.get(id(node), 0) + n
+def _around_factor(found: list[Block]) -> float:
+    marked: dict[Node, bool] = {}
+    inside = around = 0
+    for b in found:
+        if b.node.around:
+            around += b.free
+            continue
+        way, node = [], b.node
+        while node is not None and node not in marked:
+            way.append(node)
             node = node.parent
-        over.append(up)
-        marked |= article and not up and n > 0
-    limit = share * sum(free)
-    return [b for b, up in zip(found, over) if not up or not marked and all(held[k] > limit for k in up)]
+        at = node is not None and marked[node]
+        for n in reversed(way):
+            at = marked[n] = at or n.tag in ("article", "main")
+        inside += b.free * at
+    return 0.0 if inside and (around < AROUND_LEAST or inside >= MARKED_SHARE * sum(b.free for b in found)) else AROUND_FACTOR
 
 
-def main_text(html: str | None, spread: float = 0.5, share: float = 0.5) -> str:
-    """The article's blocks, joined by newlines; '' if there is none.
+def path_scores(found: list[Block], spread: int = 2) -> dict[int, float]:
+    """The score of each tag path that a block ends.
 
-    For each root-to-leaf tag path the mean text length and the mean punctuation of its blocks are taken, each path's
-    figures are smoothed with those of the blocks next to it in page order, the two are multiplied, and paths whose
-    score reaches the mean less `spread` deviations, or that hold a tenth of the best, are content. An <article> or <main>
-    with over `share` of their text is the article, else the smallest element with that; in it only blocks that are
-    mainly links on no content path are dropped. Class, id and role words drop an element as _spared() says.
+    Per path, the mean length of the text outside links and the mean punctuation in it are its two ratios. Both are smoothed
+    with a Gaussian over the blocks next to each of the path's blocks in page order below the same element, `spread` on
+    either side, and averaged with the path's own. The two are fused as length * (0.25 + punctuation), and a path below an
+    element that is named as around the article counts _around_factor() of that.
     """
-    found = _spared(blocks_of(html or ""), share)
-    if not found:
-        return ""
+    factor = _around_factor(found)
     sums: dict[int, list[float]] = {}
     for b in found:
-        s = sums.setdefault(b.node.path, [0, 0, 0])
-        free = max(0, len(b.text) - b.linked)
-        s[0] += free
-        s[1] += sum(map(_punctuation, b.text)) * free / len(b.text)
+        s = sums.setdefault(b.node.path, [0.0, 0.0, 0.0])
+        s[0] += b.free
+        s[1] += sum(map(_punctuation, b.text)) * b.free / len(b.text)
         s[2] += 1
     ratio = {p: (length / n, marks / n) for p, (length, marks, n) in sums.items()}
-    smooth: dict[int, list[float]] = {p: [0, 0, 0] for p in ratio}
+    smooth = {p: [0.0, 0.0] for p in ratio}
+    kernel = [math.exp(-k * k / 2) for k in range(spread + 1)]
     for i, b in enumerate(found):
-        near = [ratio[x.node.path] for x in found[max(0, i - 1) : i + 2]]
+        length = marks = weight = 0.0
+        for k in range(max(0, i - spread), min(len(found), i + spread + 1)):
+            if found[k].node.parent is b.node.parent:
+                g = kernel[abs(i - k)]
+                x = ratio[found[k].node.path]
+                length += g * x[0]
+                marks += g * x[1]
+                weight += g
         s = smooth[b.node.path]
-        s[0] += (ratio[b.node.path][0] + sum(x[0] for x in near) / len(near)) / 2
-        s[1] += (ratio[b.node.path][1] + sum(x[1] for x in near) / len(near)) / 2
-        s[2] += 1
-    score = {p: (a / n) * (1 + b / n) for p, (a, b, n) in smooth.items()}
-    mean = sum(score.values()) / len(score)
-    deviation = (sum((x - mean) ** 2 for x in score.values()) / len(score)) ** 0.5
-    least = min(mean - spread * deviation, 0.1 * max(score.values()))
-    content = {p for p, x in score.items() if x >= max(least, 0) and x > 0}
-    weight: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    total = 0.0
+        s[0] += length / weight
+        s[1] += marks / weight
+    around = {b.node.path: b.node.around for b in found}
+    out = {}
+    for p, (a, m) in smooth.items():
+        n = sums[p][2]
+        out[p] = (ratio[p][0] + a / n) / 2 * (0.25 + (ratio[p][1] + m / n) / 2) * (factor if around[p] else 1)
+    return out
+
+
+def content_paths(found: list[Block], least: float = 0.2) -> set[int]:
+    """The paths whose score reaches `least` of the mean score of the page's text (each path weighed by its text)."""
+    score = path_scores(found)
+    factor = _around_factor(found)
+    text = [(score[b.node.path], b.free * (factor if b.node.around else 1)) for b in found]
+    total = sum(n for _, n in text)
+    mean = sum(s * n for s, n in text) / total if total else 0.0
+    return {p for p, x in score.items() if x > 0 and x >= least * mean}
+
+
+def _container(found: list[Block], content: set[int], share: float) -> Node | None:
+    """The smallest element with `share` of the text on content paths, or the <article> (or else the <main>) around it."""
+    weight: dict[Node, float] = {}
+    factor = _around_factor(found)
     for b in found:
-        w = max(0, len(b.text) - b.linked) if b.node.path in content else 0
-        total += w
+        own = b.free * (factor if b.node.around else 1) if b.node.path in content else 0.0
         node = b.node
-        while node is not None:
-            weight[id(node)] = weight.get(id(node), 0) + w
-            nodes[id(node)] = node
+        while node is not None and node not in weight:
+            weight[node] = 0.0
             node = node.parent
-    # the article element if the page marks one with most of the content, else the smallest element with it
-    marked = [n for k, n in nodes.items() if n.tag in ("article", "main") and weight[k] > share * total]
-    best = max(marked, key=lambda n: (weight[id(n)], n.depth), default=None)
+        weight[b.node] += own
+    nodes = sorted(weight, key=lambda n: -n.depth)
+    for n in nodes:
+        if n.parent is not None:
+            weight[n.parent] += weight[n]
+    total = weight[nodes[-1]]
+    best = next((n for n in nodes if weight[n] >= share * total), None) if total else None
     if best is None:
-        best = max((n for k, n in nodes.items() if weight[k] > share * total), key=lambda n: n.depth, default=None)
-        if best is not None and best.tag in ("p", "td", "li", *HEADINGS) and best.parent is not None:
-            best = best.parent
+        return None
+    for tag in ("article", "main"):
+        up = best
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None:
+            return up
+    # a single paragraph or cell stands in an element of its own; a cell that holds paragraphs is such an element
+    while best.parent is not None and best.tag in FLOW and any(b.node is best for b in found):
+        best = best.parent
+    return best
+
+
+def main_text(html: str | None, share: float = 0.9, ratios: bool = True) -> str:
+    """The article's blocks, joined by newlines; '' if there is none.
+
+    Blocks on the content paths (content_paths()) are the content nodes. They name the element that holds them: the
+    smallest one with `share` of their text, or the <article> or <main> around that. In it the blocks on other paths stay
+    too, as short paragraphs, cells and headings belong to an article, but for those
+    * below an element that a class, id or role names as around the article, or in a <header> (its headings stay),
+    * mainly of links, unless they are paragraphs, headings, or list items and cells between content nodes,
+    * before the first or behind the last content node, in a <div> or the like without content, outside an <article>.
+    A page's only <h1> before the article is its title. Without `ratios` every path counts as content, for comparison.
+    """
+    found = blocks_of(html or "")
+    if not found:
+        return ""
+    content = content_paths(found) if ratios else {b.node.path for b in found}
+    best = _container(found, content, share)
     if best is None:
         return ""
+    # where each node stands: (inside the element, its part of the element, in a header, in a heading)
+    places: dict[Node, tuple[bool, Node | None, bool, bool]] = {}
 
-    def inside(node: Node | None) -> bool:
-        header = False
-        heading = False
-        while node is not None:
-            heading |= node.tag in HEADINGS
-            header |= node.tag == "header"
-            if node is best:
-                return heading or not header
+    def place(node: Node) -> tuple[bool, Node | None, bool, bool]:
+        way = []
+        while node is not None and node not in places:
+            way.append(node)
             node = node.parent
-        return False
-
-    return "\n".join(b.text for b in found if inside(b.node) and (b.linked * 2 <= len(b.text) or b.node.path in content or b.node.tag == "p" or b.node.tag in HEADINGS))
+        at = places[node] if node is not None else (False, None, False, False)
+        for n in reversed(way):
+            if n is best:
+                at = (True, None, False, False)
+            elif at[0]:
+                at = (True, at[1] or n, at[2] or n.tag == "header", at[3] or n.tag in HEADINGS)
+            places[n] = at
+        return at
+
+    where = [place(b.node) for b in found]
+    core = [i for i, b in enumerate(found) if where[i][0] and b.node.path in content]
+    if not core:
+        return ""
+    article = best.tag == "article"
+    kept = []
+    for i, (b, (inside, part, header, heading)) in enumerate(zip(found, where)):
+        if not inside or header and not heading:
+            continue
+        within = core[0] < i < core[-1]
+        if b.node.path in content:
+            stays = True
+        elif b.node.around:
+            stays = False
+        elif b.linked * 2 > len(b.text):
+            stays = heading or b.node.tag == "p" or within and b.node.tag in FLOW
+        else:
+            stays = article or within or part is None or part.tag in FLOW or part.inline or b.node.tag == "h1"
+        if stays:
+            kept.append(i)
+    titles = [i for i, b in enumerate(found) if b.node.tag == "h1" and not b.node.around]
+    if len(titles) == 1 and kept and titles[0] < kept[0] and not where[titles[0]][0]:
+        kept.insert(0, titles[0])
+    return "\n".join(found[i].text for i in kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id, the kept columns, text, n_chars) of every page; a null or empty page gives ''. Repeated rows each give one.
 
-    Pages are parsed whole, one after the other, so memory is bounded by the largest page. An empty table gives no rows.
+    Pages are parsed whole, one after the other, so memory is bounded by the largest page. Paths with one score are content
+    together or not at all. Other columns are not read, and an empty table gives no rows.
     """
     kinds = dict(pages.dtypes)
     names = [id_col, *keep]

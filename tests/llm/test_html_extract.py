@@ -1,7 +1,7 @@
 import re
 from html import unescape
 
-from cellforge.llm.html_extract import extract_main_text, main_text, op7_html_extraction
+from cellforge.llm.html_extract import blocks_of, content_paths, extract_main_text, main_text, op7_html_extraction, path_scores
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no, no.";</script><style>p{}</style></head>
 <body><header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
@@ -56,3 +56,114 @@ def test_articles_and_class_words_are_only_evidence():
     assert got.split("\n") == lines
     assert main_text(f"<body><div class='elementor-widget'><article>{body}</article></div></body>").split("\n") == lines
     assert main_text(f"<body><div class=post>{body}<div class=share><p>Share this, now.</p></div></div></body>").split("\n") == lines
+
+
+PROSE = [f"Sentence {i} of the text, which goes on for a while, with commas, and ends here." for i in range(8)]
+#: Pages without <article>, <main> or class words that tell: only the ratios of their paths can.
+SHORT = [f"Entry {i}" for i in range(30)]
+UNMARKED = [
+    "<body><div>" + "".join(f"<div>{x}</div>" for x in SHORT) + "</div><div>{}</div><div><div>Latest</div><div>Contact</div><div>Imprint</div></div></body>",
+    "<body><table><tr><td class=a>" + "<br><br>".join(SHORT[:12]) + "<td class=b>{}<td class=c>Weather: sun</table></body>",
+    "<body><div class=x1>Short line</div><div class=x2><div class=x3>{}</div><div class=x4>" + "".join(f"<span class=y>{x}</span><hr>" for x in SHORT) + "</div></div></body>",
+    "<body><section>Log in</section><section>{}</section><section><ul>" + "".join(f"<li>{x}" for x in SHORT) + "</ul></section></body>",
+]
+
+
+def test_ratios_decide_on_pages_without_marks():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    changed = 0
+    for page in UNMARKED:
+        html = page.replace("{}", body)
+        assert main_text(html).split("\n") == PROSE, page
+        changed += main_text(html, ratios=False) != main_text(html)
+    assert changed == len(UNMARKED)
+
+
+def test_class_words_take_no_article_away():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    for name in ("legal-analysis", "search-engines", "sidecar-proxies", "market-share-data", "reply-all"):
+        for attr in ("class", "id"):
+            assert main_text(f"<body><p>Stray one.</p><div {attr}='{name}'>{body}</div></body>").split("\n")[-8:] == PROSE
+    # all of the text below such a word is the text; beside other text it is not
+    assert main_text(f"<body><div class='comments'>{body}</div></body>").split("\n") == PROSE
+    for name in ("comments", "comment-list", "article-comments", "cookie-notice", "related-posts", "share-buttons", "ad", "newsletter-box", "sidebar", "relatedPosts"):
+        html = f"<body><div class=text>{body}</div><div class='{name}'>" + "".join(f"<p>A remark, {i}, that is not of the article, but long, too, and with commas.</p>" for i in range(20)) + "</div></body>"
+        assert main_text(html).split("\n") == PROSE, name
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(3)) + "</ul>"
+    got = main_text(f"<article>{body}{links}{body}</article>").split("\n")
+    assert got == PROSE + [f"Source {i}" for i in range(3)] + PROSE
+
+
+def test_title_before_the_text():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    assert main_text(f"<body><div><h1>The title</h1></div><div>{body}</div></body>").split("\n") == ["The title", *PROSE]
+    assert main_text(f"<body><header><h1>Site</h1></header><div>{body}</div></body>").split("\n") == PROSE
+
+
+def test_path_scores_against_a_plain_version(spark, sf):
+    """The fixed pages with their marks taken out, by a second parser and plain sums over paths."""
+    import math
+    import unicodedata
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.way, self.blocks, self.text, self.skip = [""], [], "", 0
+
+        def close_block(self):
+            if t := re.sub(r"\s+", " ", self.text).strip():
+                self.blocks.append(("/".join(self.way), t))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title", "nav", "footer"):
+                self.skip += 1
+            elif tag == "br":
+                self.text += " "
+            elif tag not in ("b", "meta", "a", "html", "head", "body"):
+                self.close_block()
+                if tag == "p" and self.way[-1:] == ["p"]:
+                    self.way.pop()
+                self.way.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title", "nav", "footer"):
+                self.skip -= 1
+            elif tag in self.way:
+                self.close_block()
+                while self.way.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.text += data
+
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    several = 0
+    for html in pages:
+        html = re.sub(r"<(/?)article>", r"<\1div>", html.replace(' class="ad"', ""))
+        html = re.sub(r"<[^>]*$", "", html)
+        p = Plain()
+        p.feed(html)
+        p.close()
+        p.close_block()
+        sums = {}
+        for path, t in p.blocks:
+            x = sums.setdefault(path, [])
+            x.append((len(t), sum(unicodedata.category(c)[0] == "P" for c in t)))
+        ratio = {k: [sum(y[c] for y in v) / len(v) for c in (0, 1)] for k, v in sums.items()}
+        smooth = {k: [0.0, 0.0] for k in sums}
+        for i, (path, _) in enumerate(p.blocks):
+            near = [(math.exp(-((i - k) ** 2) / 2), ratio[p.blocks[k][0]]) for k in range(len(p.blocks)) if abs(i - k) <= 2 and p.blocks[k][0].rsplit("/", 1)[0] == path.rsplit("/", 1)[0]]
+            for c in (0, 1):
+                smooth[path][c] += sum(g * r[c] for g, r in near) / sum(g for g, _ in near) / len(sums[path])
+        score = {k: (ratio[k][0] + smooth[k][0]) / 2 * (0.25 + (ratio[k][1] + smooth[k][1]) / 2) for k in sums}
+        mean = sum(score[k] * len(t) for k, t in p.blocks) / max(1, sum(len(t) for _, t in p.blocks))
+        want = [t for k, t in p.blocks if score[k] >= 0.2 * mean]
+        found = blocks_of(html)
+        assert [b.text for b in found] == [t for _, t in p.blocks]
+        content = content_paths(found)
+        several += len(path_scores(found)) > len(content)
+        assert [b.text for b in found if b.node.path in content] == want
+    assert several > 5
