@@ -93,14 +93,15 @@ class Model:
 
     @staticmethod
     def fit(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> "Model":
-        """`samples`: texts by language. Every language gives the same number of code points, so phrases compare."""
+        """`samples`: texts by language. Each gives as much of its sample as the bounds allow; `bits`, the logarithm of its
+        length, makes the phrases of samples of different lengths compare."""
         languages = sorted(samples)
         texts = {}
         for k in languages:
             parts = [normalise(t) for t in samples[k]]
             share = max(256, 4 * chars // max(1, len(parts)))
             texts[k] = np.concatenate([np.concatenate([p[:share], [32]]) for p in parts] or [np.zeros(0)]).astype(np.uint32)
-        size = min([chars, total // max(1, len(languages)), *(len(t) for t in texts.values() if len(t) >= 2048)])
+        size = min(chars, total // max(1, len(languages)))
         texts = {k: t[:size] for k, t in texts.items()}
         alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *texts.values()]))
         width = len(alphabet) + 1
@@ -120,7 +121,12 @@ class Model:
         return Model(languages, alphabet, table_, np.array(starts, np.int32), bits)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(text, language) -> phrases of the greedy parse into longest matches, whole texts."""
+        """(text, language) -> phrases of the greedy parse into longest matches, whole texts.
+
+        Texts are parsed in pieces of PIECE, many at a time, as if each piece began a phrase. A piece behind another is then
+        parsed again from the state in which that one ended, until the two parses of it are in one state; from there on
+        they are the same. So the count is that of one parse of the whole text.
+        """
         pieces, owner = [], []
         for n, t in enumerate(texts):
             for i in range(0, len(t), PIECE):
@@ -139,12 +145,50 @@ class Model:
         state = np.tile(self.starts[:, None], (1, len(pieces)))
         ends = np.zeros((len(self.languages), len(pieces)), np.int32)
         active = np.searchsorted(-size, -np.arange(size[0]), "left")
+        owners = np.array(owner)
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        behind = np.flatnonzero(owners[1:] == owners[:-1]) + 1  # pieces that another one goes before, in the order of the texts
+        late = np.sort(where[behind])  # their columns; columns go by length, so those that are still in a piece come first
+        trace = np.empty((size[0], len(self.languages), len(late)), np.int32)  # entries of their first parse
+        place = np.full(len(order), -1)
+        place[late] = np.arange(len(late))
         for step in range(size[0]):
             n = active[step]
             v = self.table[state[:, :n] + grid[step, :n]]
             ends[:, :n] += v >> 30
             state[:, :n] = v & (PHRASE_START - 1)
-        np.add.at(count, np.array(owner)[order], ends.T)
+            m = np.searchsorted(late, n, "left")
+            trace[step, :, :m] = v[:, late[:m]]
+        before = where[behind - 1]
+        todo = np.repeat(np.arange(len(behind)), len(self.languages))
+        lang = np.tile(np.arange(len(self.languages)), len(behind))
+        while len(todo):
+            column = where[behind[todo]]
+            now = state[lang, before[todo]]
+            slot = place[column]
+            end = size[column]
+            open_ = np.arange(len(todo))
+            changed = np.zeros(len(todo), bool)
+            step = 0
+            while len(open_):
+                c, k, s = column[open_], lang[open_], slot[open_]
+                v = self.table[now[open_] + grid[step, c]]
+                old = trace[step, k, s]
+                np.add.at(ends, (k, c), (v >> 30) - (old >> 30))
+                trace[step, k, s] = v
+                now[open_] = v & (PHRASE_START - 1)
+                step += 1
+                apart = now[open_] != (old & (PHRASE_START - 1))
+                done = apart & (end[open_] == step)
+                state[lang[open_[done]], column[open_[done]]] = now[open_[done]]
+                changed[open_[done]] = True
+                open_ = open_[apart & ~done]
+            # a piece that ended in another state changes the one behind it
+            nxt = todo[changed] + 1
+            ok = (nxt < len(behind)) & (behind[np.minimum(nxt, len(behind) - 1)] == behind[todo[changed]] + 1)
+            todo, lang = nxt[ok], lang[changed][ok]
+        np.add.at(count, owners[order], ends.T)
         return count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -171,7 +215,10 @@ def held_out(id_col: str, of: int, part: int) -> Column:
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on a bounded sample: the `sample_docs` labelled rows of each language that come first by a hash of the id."""
+    """Fits on a bounded sample: the `sample_docs` labelled rows of each language that come first by a hash of the id.
+
+    Null languages, ids and texts are left out. An empty table gives a model that knows no language.
+    """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.where(F.col("id").isNotNull()).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select(F.col("id").alias("__id"), "n")
@@ -187,8 +234,9 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "lang_bits")) -> DataFrame:
     """`docs` with the predicted language, its score and its parse's bits a code point; `und` for texts without a letter.
 
-    Every text is parsed whole. Rows stay as they are, repeated ones included. With nothing learned all are `und`. A new
-    column whose name is taken gets an underscore more.
+    Every text is parsed whole. Rows stay as they are, repeated ones included. Of languages that tie the first in the
+    alphabet wins. With nothing learned all are `und`; an empty table gives no rows. A new column whose name is taken gets
+    an underscore more.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
