@@ -81,12 +81,11 @@ class FactorisationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature numbers, values and the start of each row."""
+    def rows(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature numbers, values and the start of each row, from features() of its text."""
         idx, val, start, at = [], [], [], 0
         own = np.arange(len(STATS)) + BUCKETS
-        for t in texts:
-            i, x, s = features(t)
+        for i, x, s in found:
             idx += [i, own]
             val += [x, np.clip((s - self.mean) / self.scale, -6, 6)]
             start.append(at)
@@ -102,17 +101,18 @@ class FactorisationMachine:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        m, _ = self.margins(*self.rows(texts))
+        m, _ = self.margins(*self.rows([features(t) for t in texts]))
         return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
     @staticmethod
-    def fit(texts: list[str | None], labels: list[int], rank: int = 8, epochs: int = 24, rate: float = 0.03, decay: float = 2e-4, batch: int = 64, seed: int = 7) -> "FactorisationMachine":
-        """Adam on the log loss, both classes with the same weight in all. Without both classes the score is constant."""
+    def fit(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int], rank: int = 8, epochs: int = 24, rate: float = 0.03, decay: float = 2e-4, batch: int = 64, seed: int = 7) -> "FactorisationMachine":
+        """Adam on the log loss of rows given by features(), both classes with the same weight in all. Without both
+        classes the score is constant."""
         size = BUCKETS + len(STATS)
         rng = np.random.default_rng(seed)
-        stats = np.array([features(t)[2] for t in texts]).reshape(-1, len(STATS))
-        mean = stats.mean(axis=0) if len(texts) else np.zeros(len(STATS))
-        scale = np.maximum(stats.std(axis=0), 1e-3) if len(texts) else np.ones(len(STATS))
+        stats = np.array([s for _, _, s in found]).reshape(-1, len(STATS))
+        mean = stats.mean(axis=0) if len(found) else np.zeros(len(STATS))
+        scale = np.maximum(stats.std(axis=0), 1e-3) if len(found) else np.ones(len(STATS))
         mean[0], scale[0] = 0, 1
         m = FactorisationMachine(mean, scale, np.zeros(size), rng.normal(0, 0.02, (size, rank)))
         y = np.array(labels, float)
@@ -120,7 +120,7 @@ class FactorisationMachine:
             m.v[:] = 0
             m.w[BUCKETS] = 0 if not labels else (3 if labels[0] else -3)
             return m
-        idx, val, start = m.rows(texts)
+        idx, val, start = m.rows(found)
         ends = np.append(start[1:], len(idx))
         share = y.mean()
         cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
@@ -150,20 +150,37 @@ class FactorisationMachine:
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
-    """Fits on at most `sample_rows` labelled documents, the first by a hash of the id; null labels and ids are left out."""
+    """Fits on at most `sample_rows` labelled documents, the first by a hash of the id; null labels and ids are left out.
+
+    Executors compute the features, so the driver gets at most BUCKETS numbers and weights and the statistics of each
+    sampled document, never a text. Of rows repeated with one id the least features count, once; of an id with several
+    labels the least label. An empty table, or labels of one kind, give a constant score.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     sample = {r["id"]: int(r["label"]) for r in marked.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()}
     rows = []
+
+    @F.pandas_udf("stats array<double>, idx array<int>, val array<double>")
+    def of(texts):
+        import pandas as pd
+
+        found = [features(t) for t in texts]
+        return pd.DataFrame({"stats": [s for _, _, s in found], "idx": [i.astype(np.int32) for i, _, _ in found], "val": [x for _, x, _ in found]})
+
     if sample:
         ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sample], f"id {dict(marked.dtypes)['id']}"))
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
-    return FactorisationMachine.fit([r["text"] for r in rows], [sample[r["id"]] for r in rows])
+        chosen = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+        rows = chosen.select("id", of("text").alias("f")).groupBy("id").agg(F.min("f").alias("f")).collect()
+    rows.sort(key=lambda r: str(r["id"]))
+    found = [(np.array(r["f"]["idx"], np.int64), np.array(r["f"]["val"], float), np.array(r["f"]["stats"], float)) for r in rows]
+    return FactorisationMachine.fit(found, [sample[r["id"]] for r in rows])
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """`docs` with a score from 0 to 1 and the predicted label, from the whole text alone; null counts as empty.
-    A new column whose name is taken gets an underscore more."""
+
+    Rows stay as they are, repeated ones included, and equal texts get equal scores; a score of 0.5 predicts 1. An empty
+    table gives no rows. A new column whose name is taken gets an underscore more."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

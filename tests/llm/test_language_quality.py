@@ -38,7 +38,7 @@ def test_phrases_match_substring_search():
     train = {"x": [make("abcd ", 3000)], "y": [make("abce ", 3000)]}
     model = lid.Model.fit(train, chars=2500)
     used = {k: "".join(map(chr, np.concatenate([lid.normalise(t[0]), [32]])))[:2500] for k, t in train.items()}
-    texts = [make("abcdefé ", n) for n in (1, 2, 7, 50, 300, 1024)] + ["d", "dad", "zzdzz", "a"]
+    texts = [make("abcdefé ", n) for n in (1, 2, 7, 50, 300, 1024, 1025, 3000, 7000)] + ["d", "dad", "zzdzz", "a"]
     got = model.phrases([lid.normalise(t) for t in texts])
     for row, t in zip(got, texts):
         norm = "".join(map(chr, lid.normalise(t)))
@@ -59,6 +59,25 @@ def test_language_accuracy_and_edges(spark, sf):
     assert [r.lang_pred for r in lid.identify_languages(docs.drop("score"), nothing).collect()] == ["und"] * 4
 
 
+def test_pieces_carry_their_state():
+    """The count of a long text is that of one walk through it, also where two parses do not meet within a piece."""
+    random.seed(5)
+    make = lambda abc, n: "".join(random.choice(abc) for _ in range(n))
+    model = lid.Model.fit({"x": [make("abcdef ", 6000)], "y": [make("defgh ", 6000)], "z": ["ab" * 5000], "few": ["abc"]})
+    assert model.languages[0] == "few" and model.bits[0] < model.bits[1]
+    texts = ["ab" * 4000, "z" * 5000, "", make("abcdefgh ", 9000), make("ab", 6000), "abc " * 900]
+    got = model.phrases([lid.normalise(t) for t in texts])
+    for row, t in zip(got, texts):
+        n = lid.normalise(t)
+        at = np.minimum(np.searchsorted(model.alphabet, n), len(model.alphabet) - 1)
+        for k in range(len(model.languages)):
+            state, count = int(model.starts[k]), 0
+            for x in np.where(model.alphabet[at] == n, at, len(model.alphabet)).tolist():
+                v = int(model.table[state + x])
+                count, state = count + (v >> 30), v & (lid.PHRASE_START - 1)
+            assert row[k] == count
+
+
 def test_long_texts_count_whole():
     model = lid.Model.fit({"x": ["abcd " * 1000]}, chars=2048)
     t = "abcdz " * 50_000
@@ -69,7 +88,7 @@ def test_machine_equals_all_pairs():
     rng = np.random.default_rng(0)
     m = qc.FactorisationMachine(np.zeros(len(qc.STATS)), np.ones(len(qc.STATS)), rng.normal(size=qc.BUCKETS + len(qc.STATS)), rng.normal(size=(qc.BUCKETS + len(qc.STATS), 4)))
     texts = ["One two three two.", "", None, "a\nb\na " * 9]
-    idx, val, start = m.rows(texts)
+    idx, val, start = m.rows([qc.features(t) for t in texts])
     got, _ = m.margins(idx, val, start)
     for r, (a, b) in enumerate(zip(start, [*start[1:], len(idx)])):
         i, x = idx[a:b], val[a:b]
@@ -88,6 +107,10 @@ def test_quality_held_out_accuracy_and_edges(spark, sf):
     got = qc.score_quality(docs, none).collect()
     assert [r.score for r in got] == [0.5] * 3
     assert qc.score_quality(docs.limit(0), none).count() == 0
+    many = spark.createDataFrame([(1, "good words here"), (1, "good words here"), (2, "#### $$$$ %%%%"), (2, "other")] * 20, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    one, two = (qc.fit_quality_model(x, marks) for x in (many, many.repartition(7).orderBy("text")))
+    assert (one.w == two.w).all() and (one.v == two.v).all()  # repeated rows count once, in whatever order
 
 
 def test_capitals_count_alike_at_every_length():
