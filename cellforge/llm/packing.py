@@ -24,22 +24,26 @@ SEQUENCE = 1024
 
 
 @cache
-def _encoders(vocabulary: str) -> tuple[tiktoken.Encoding, Tokenizer]:
+def _encoders(vocabulary: str) -> tuple[tiktoken.Encoding, Tokenizer, tuple[str, ...]]:
+    """The fast encoder of plain text, the tokenizer itself, and the strings that the tokenizer takes for one added token."""
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb"))}
     plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    plain.encode_special_tokens = True
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), plain
+    added = tuple(t.content for t in plain.get_added_tokens_decoder().values())
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), plain, added
 
 
 def token_ids(text: str | None, vocabulary: str = "byte_bpe_50k") -> list[int]:
     """The ids that `tokenizers` gives with add_special_tokens=False; null and empty texts have none.
 
-    The vocabulary's rank file encodes to the same ids four times as fast, so it goes first; texts that it refuses
-    (over-long runs of white space) go to `tokenizers` itself.
+    The vocabulary's rank file encodes plain text to the same ids four times as fast, so it goes first. Texts that hold
+    the string of an added token, and those that the fast encoder refuses (over-long runs of white space), go to
+    `tokenizers` itself.
     """
-    fast, plain = _encoders(vocabulary)
+    fast, plain, added = _encoders(vocabulary)
     if not text:
         return []
+    if any(t in text for t in added):
+        return plain.encode(text, add_special_tokens=False).ids
     try:
         return fast.encode_ordinary(text)
     except BaseException as e:  # the Rust side panics with a class that is no Exception
@@ -117,30 +121,31 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, groups: int | None = None, seed: int = 0, vocabulary: str = "byte_bpe_50k", keep_ids: bool = True) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens.
 
-    Documents go to groups by a hash of id and length, so that each group is a random share of GROUP_DOCS documents on
-    average and packs in one task; their number grows with the table. In a group, full pieces are sequences of their
-    own and the last pieces go first-fit decreasing. Per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, and the token ids with keep_ids. Null and empty texts are the closing id alone. Rows repeated
-    with one id are packed as often as they appear. An empty table gives no rows.
+    A piece of full length is a sequence of its own and needs no group. The last piece of each document goes to a random
+    group by a hash of its row, whatever the id, so a group holds GROUP_DOCS last pieces of less than `capacity` tokens
+    on average and is packed by one task, first-fit decreasing; the number of groups grows with the table. Per piece:
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id (below zero for full pieces), offset, and the token ids
+    with keep_ids. Null and empty texts are the closing id alone. Rows repeated with one id are packed as often as they
+    appear. Lengths that tie keep the order of id, length, checksum. Other columns are not read. An empty table gives no
+    rows.
     """
     kind = dict(docs.dtypes)[id_col]
     groups = groups or max(1, -(-docs.count() // GROUP_DOCS))
-    pieces = token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids)
+    pieces = token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids).withColumn("piece", F.monotonically_increasing_id())
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    full = F.col("length") == capacity
+    group = F.when(full, F.lit(-1) - F.col("piece")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "piece", "doc_id", "ids_crc32"), F.lit(groups)))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "doc_tokens", "start"], kind="stable").reset_index(drop=True)
-        length = rows["length"].to_numpy()
-        full = length == capacity
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        sequence[full] = np.arange(full.sum())
-        bins, offset[~full] = first_fit_decreasing(length[~full], capacity)
-        sequence[~full] = full.sum() + bins
-        rows["sequence_id"] = (int(key[0]) << 32) + sequence
-        rows["offset"] = offset
-        return rows[[c.split()[0] for c in schema.split(", ")]]
-
-    return pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens"), F.lit(groups))).groupBy("grp").applyInPandas(pack, schema)
+        rows = rows.sort_values(["doc_id", "doc_tokens", "ids_crc32"], kind="stable").reset_index(drop=True)
+        bins, rows["offset"] = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+        rows["sequence_id"] = (int(key[0]) << 32) + bins
+        return rows[names]
+
+    pieces = pieces.withColumn("grp", group)
+    whole = pieces.where(full).withColumn("sequence_id", F.col("grp")).withColumn("offset", F.lit(0).cast("long")).select(*names)
+    return whole.union(pieces.where(~full).groupBy("grp").applyInPandas(pack, schema))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

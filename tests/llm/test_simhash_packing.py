@@ -87,9 +87,11 @@ def test_near_dedup_edge_cases(spark):
 
 def test_packing_round_trip(spark, sf):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), groups=3).collect()
+    docs |= {-1: "hello <|endoftext|> world", -2: "<|endoftext|>" * 1500, -3: "no < |endoftext|> here", -4: " " * 3000 + "<|endoftext|>x"}
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(d, t_) for d, t_ in docs.items() if d < 0], table.schema)
+    rows = packing.pack_documents(table.union(extra), groups=3).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
