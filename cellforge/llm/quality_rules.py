@@ -15,39 +15,28 @@ from .common import small_batches, table
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of compressed size over raw size, by UTF-8 length: (from this length on, least, most)."""
-
-    whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 9.0),
-        (64, 0.72, 1.25),
-        (128, 0.66, 1.05),
-        (181, 0.60, 0.98),
-        (256, 0.56, 0.90),
-        (362, 0.515, 0.84),
-        (512, 0.505, 0.78),
-        (724, 0.485, 0.74),
-        (1024, 0.474, 0.70),
-        (1448, 0.456, 0.67),
-        (2048, 0.447, 0.65),
-        (2896, 0.440, 0.63),
-        (4096, 0.428, 0.62),
-        (5793, 0.418, 0.60),
-        (8192, 0.410, 0.58),
-        (11585, 0.405, 0.58),
-        (16384, 0.398, 0.58),
-        (23170, 0.392, 0.58),
-        (32768, 0.385, 0.58),
-        (65536, 0.375, 0.58),
-        (131072, 0.36, 0.58),
-        (524288, 0.30, 0.58),
-    )
+    """Limits of compressed size over raw size, by UTF-8 length, from one rule.
+
+    Prose of n bytes compresses to about `floor` + `slope` / n ** `power` of its size: the rate falls as the compressor
+    has more text to refer to. A text or chunk is repetitive below `least` of that, and incompressible above `most` of it
+    if it is also over `random` (base64 gives 0.76; scripts of several bytes a letter give more than prose in ASCII).
+    """
+
+    floor: float = 0.36
+    slope: float = 3.5
+    power: float = 0.4
+    least: float = 0.8
+    most: float = 1.35
+    random: float = 0.70
     chunk: int = 2048
-    chunk_least: float = 0.445
-    chunk_most: float = 0.70
-    #: A document fails when more than this share of its full chunks is outside the chunk limits.
+    #: A document fails when more than this share of its full chunks is outside the limits of a chunk.
     chunk_share: float = 0.25
     level: int = 3
 
+    def limits(self, n: int) -> tuple[float, float]:
+        typical = self.floor + self.slope / n**self.power
+        return self.least * typical, max(self.random, self.most * typical)
+
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
@@ -83,9 +72,10 @@ def compression_verdict(raw: bytes, bands: Bands, press: zstandard.ZstdCompresso
     if not n:
         return 0.0, 0.0, False
     whole = len(press.compress(raw)) / n
-    least, most = next((lo, hi) for at, lo, hi in reversed(bands.whole) if n >= at)
+    least, most = bands.limits(n)
+    chunk_least, chunk_most = bands.limits(bands.chunk)
     ratios = [len(press.compress(raw[i : i + bands.chunk])) / bands.chunk for i in range(0, n - bands.chunk + 1, bands.chunk)]
-    outside = sum(not bands.chunk_least <= r <= bands.chunk_most for r in ratios) / max(1, len(ratios))
+    outside = sum(not chunk_least <= r <= chunk_most for r in ratios) / max(1, len(ratios))
     return whole, outside, least <= whole <= most and outside <= bands.chunk_share
 
 
@@ -96,7 +86,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base counts and the verdict of every document, one row each: id, the counts, base_failed, kept, the ratios.
 
     A null text has no words, so it fails like an empty one. Every text is read whole. Rows repeated with one id each
-    give a row. Other columns are not read. An empty table gives no rows.
+    give a row, and equal texts the same one; a ratio on a limit is inside. Other columns are not read. An empty table
+    gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
 
