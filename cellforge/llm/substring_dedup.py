@@ -22,6 +22,10 @@ LETTERS = re.compile(f"[{LETTER}]")
 WORD = re.compile(f"[{LETTER}]|[^\\x20\\x09-\\x0D{LETTER}]+")
 
 
+#: Words of a span that op9 reports: the passages meant are longer, and shorter repeats stand in most clean documents.
+PASSAGE_WORDS = 20
+
+
 def words(text: str) -> int:
     return len(WORD.findall(text)) if LETTERS.search(text) else len(text.encode("utf-8", "surrogatepass").split())
 
@@ -98,12 +102,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, unit_words: int) -> DataF
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, unit_words: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0, unit_words: int = 5) -> DataFrame:
     """Spans of whole units: (doc_id, text_hash, start, end, n_words, n_units, kept_doc_id, kept_start), offsets in code points.
 
     Units are ranked by (doc_id, text_hash, start), nulls first; the earliest of equal units stays and every later one
-    counts as repeated. Neighbouring repeated units of a document form a span, and spans of `min_words` words or more
-    are returned with the place of the kept occurrence of their first unit. Shorter repeats (greetings, headings) stay.
+    counts as repeated. Neighbouring repeated units of a document form a span, returned with the place of the kept
+    occurrence of its first unit. `min_words`, off by default, leaves shorter spans (greetings, headings) out.
     Null and empty texts have no units. Rows equal in id and text count as one document. An empty table gives no rows.
     """
     runs = _runs(docs, id_col, text_col, unit_words).where(F.col("n_words") >= min_words)
@@ -154,7 +158,7 @@ def matched(own: str | None, kept: str | None, side: int) -> tuple[int, int, int
     return (n, len(own) - a[-n].start(), len(kept) - b[-n].start(), len(a)) if n else (0, 0, 0, len(a))
 
 
-def extended_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, unit_words: int = 5) -> DataFrame:
+def extended_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0, unit_words: int = 5) -> DataFrame:
     """As repeated_spans(), but each run of repeated units, however short, first grows word by word into the units beside
     it as far as they agree with those beside the kept occurrence; runs that meet are one, and `min_words` holds for that.
     """
@@ -195,10 +199,12 @@ def extended_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0) -> DataFrame:
     """`docs` with the repeated spans cut out of the text; a column `removed` has their offsets in the original text.
 
-    All columns and rows stay; untouched texts stay as they are, and `removed` is then empty.
+    All columns and rows stay, nulls, empty texts and repeated rows among them; untouched texts stay as they are, and
+    `removed` is then empty. Of equal units the earliest by (id, text hash, start) stays, null ids first. A column that is
+    named as one of the result keeps its name. An empty table gives no rows.
     """
     spans = (
         extended_spans(docs, id_col, text_col, min_words)
@@ -218,8 +224,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every span that repeats an earlier one, with original offsets and the kept place."""
-    return extended_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+    """Every span of PASSAGE_WORDS words or more that repeats an earlier one, with original offsets and the kept place."""
+    return extended_spans(table(spark, sf_dir, "documents"), min_words=PASSAGE_WORDS).drop("text_hash")
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}
