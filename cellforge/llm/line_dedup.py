@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, fresh, table, written
 
-#: Lines of fewer words are only compared exactly: one word of a short line is too much of it.
-FUZZY_WORDS = 8
+#: Lines of fewer words are only compared exactly: a line of one word is an edit away from every other one.
+FUZZY_WORDS = 2
 #: Words that are hashed as one when the part of a line before or after a place is named.
 CHUNK = 64
 #: Pieces of the places of a line that its partners may differ in.

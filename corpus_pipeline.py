@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import table, written
+from cellforge.llm.common import fresh, table, written
 from cellforge.llm.decontaminate import decontaminate
 from cellforge.llm.language_id import UNKNOWN, fit_language_model, held_out, identify_languages
 from cellforge.llm.line_dedup import dedup_lines
 from cellforge.llm.packing import pack_documents
 from cellforge.llm.simhash import dedup_near, dedup_similar
 
+#: Least words of a line in which a word edit is let pass.
+CLEAN_WORDS = 8
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go. Learned from the labelled documents that are not held out."""
+    """Documents with a language; those without a letter go, null and empty texts among them.
+
+    Learned from the labelled documents that are not held out; with nothing learned no document has a language, and all go.
+    Repeated rows are judged alike. Any other columns pass through, whatever their names.
+    """
     model = fit_language_model(docs.where(~held_out("doc_id", 5, 0)))
-    found = identify_languages(docs, model, out=("__lang", "__score", "__bits"))
-    return found.where(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    lang, score, bits = (fresh(docs.columns, n) for n in ("__lang", "__score", "__bits"))
+    found = identify_languages(docs, model, out=(lang, score, bits))
+    return found.where(F.col(lang) != UNKNOWN).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    """Documents without the lines that repeat an earlier one (see line_dedup.line_decisions); n_chars follows the text.
+
+    Documents that lose their last line go; null and empty texts stay. A word edit is let pass in lines of CLEAN_WORDS words
+    or more: in shorter ones a word is over an eighth of the line, and many clean short lines differ in one.
+    """
+    return dedup_lines(docs, fuzzy_words=CLEAN_WORDS).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +47,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Documents that overlap no benchmark item; null and empty texts overlap none. All columns and repeated rows stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents with their place in the training sequences."""
+    """Token pieces of the remaining documents with their place in the training sequences (see packing.pack_documents).
+
+    A null or empty text is the closing id alone; repeated rows are packed as often as they appear; an empty table gives no
+    rows.
+    """
     return pack_documents(docs, keep_ids=False)
 
 

@@ -15,7 +15,7 @@ def test_pipeline_against_brute_force(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     bench = [" ".join(dec.tokens(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {d: t for d, t in docs.items() if any(c.isalpha() for c in t or "")}
-    left = {d: x[0] for d, x in plain_dedup(left).items() if x}
+    left = {d: x[0] for d, x in plain_dedup(left, 8).items() if x}
     root = plain_components({d: plain_fingerprint(t, 5) for d, t in left.items()})
     left = {d: t for d, t in left.items() if root[d] == d}
     root = plain_similar(left)
