@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellforge.lineage import cut
 from cellforge.functions.cells import cell_of
 from cellforge.functions.geometry import triangle_box
 from cellforge.functions.vec import EPSILON, Vec
@@ -72,61 +73,112 @@ def traversed_cells(rays: DataFrame, lo: tuple[float, float, float], size: tuple
     return out
 
 
-def _scene(triangles: DataFrame, most: int = 64) -> tuple[list[float], list[float], int]:
-    """Box of all triangles, and the cells an axis for which a cell is about as large as a triangle's box on average:
-    finer ones would repeat large triangles, coarser ones would bring too many together."""
+def _tested(met: DataFrame, low: Vec, cell: list[float], last: int, eps: float = EPSILON) -> DataFrame:
+    """(ray_id, tri_id, t, u, v) of the pairs of rays and triangles whose hit lies in the cell (kx, ky, kz) where they met.
+
+    As ray_triangle(), in steps that Spark keeps apart, so that each product is computed once a pair; the explosion of a
+    hit keeps the test from being computed again as a condition of the join.
+    """
+    def put(df: DataFrame, **vectors) -> DataFrame:
+        return df.withColumns({f"__{n}{k}": c for n, vec in vectors.items() for k, c in (zip("xyz", vec) if isinstance(vec, Vec) else [("", vec)])})
+
+    of = lambda n: Vec.cols(*[f"__{n}{k}" for k in "xyz"])
+    e1, e2, p, s, q = map(of, ("e", "f", "p", "s", "q"))
+    met = put(met, e=B - A, f=C - A, s=O - A)
+    met = put(met, p=D.cross(e2), q=s.cross(e1))
+    met = put(met, det=e1.dot(p))
+    met = put(met, inv=F.when(F.abs("__det") > eps, 1 / F.col("__det")))
+    inv = F.col("__inv")
+    met = put(met, t=e2.dot(q) * inv, u=s.dot(p) * inv, v=D.dot(q) * inv)
+    t, u, v = (F.col(f"__{n}") for n in "tuv")
+    ok = (u >= 0) & (v >= 0) & (u + v <= 1) & (t > eps)
+    for o, d, l, size, c in zip(O, D, low, cell, "xyz"):
+        ok = ok & (F.least(F.greatest(F.floor((o + d * t - l) / size), F.lit(0)), F.lit(last)) == F.col(f"k{c}"))
+    return met.select("ray_id", "tri_id", F.explode(F.when(ok, F.array(F.struct(t.alias("t"), u.alias("u"), v.alias("v"))))).alias("h")).select("ray_id", "tri_id", "h.t", "h.u", "h.v")
+
+
+#: Most halvings of a scene's axes; cells then have names of 60 bits.
+MOST_LEVELS = 20
+
+
+def _scene(triangles: DataFrame, levels: int | None) -> tuple[list[float], list[float], int]:
+    """Box of all triangles, and how often its axes may be halved: a surface of n triangles has a dozen or so in a cell
+    if an axis has about the square root of n / 16 cells."""
     lo, hi = triangle_box(A, B, C)
-    r = triangles.agg(*[F.min(c) for c in lo], *[F.max(c) for c in hi], *[F.avg(b - a) for a, b in zip(lo, hi)]).first()
+    r = triangles.agg(*[F.min(c) for c in lo], *[F.max(c) for c in hi], F.count("*")).first()
     if r[0] is None:
-        return [0.0] * 3, [1.0] * 3, 1
-    low, high, mean = list(r[:3]), list(r[3:6]), list(r[6:])
-    parts = max((b - a) / max(m, 1e-12) for a, b, m in zip(low, high, mean))
-    return low, high, int(min(most, max(1, parts)))
+        return [0.0] * 3, [1.0] * 3, 0
+    return list(r[:3]), list(r[3:6]), min(MOST_LEVELS, levels if levels is not None else (max(1, r[6] // 16).bit_length() + 1) // 2)
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, parts: int | None = None, reach: float | None = None) -> DataFrame:
+def ray_hits(rays: DataFrame, triangles: DataFrame, levels: int | None = None, reach: float | None = None) -> DataFrame:
     """(ray_id, tri_id, t, u, v): every hit of a ray and a triangle in front of it.
 
-    Both go to the cells of a coarse grid over the scene and meet by cell; a pair that shares several cells comes out
-    once. Without `parts` the cells follow the mean size of the triangles.
+    The scene's box is halved again and again. A triangle belongs to the level whose cells are just larger than its box, so
+    to eight cells at most, however large or small it is. Rays go down from level to level into the halves that they pass
+    and that hold triangles, and meet the triangles of a cell on each. A hit is given by the cell that holds its point, so
+    a pair that shares several cells comes out once, without another shuffle.
     """
-    lo, hi, fit = _scene(triangles)
-    parts = parts or fit
-    size = [max((b - a) / parts, 1e-9) for a, b in zip(lo, hi)]
-    dims = (parts,) * 3
-    low, cell = Vec.of(*lo), Vec.of(*size)
+    lo, hi, most = _scene(triangles, levels)
+    side = [max(b - a, 1e-9) for a, b in zip(lo, hi)]
+    low = Vec.of(*lo)
     ta, tb = triangle_box(A, B, C)
-    tri = triangles
-    for k, name in enumerate("xyz"):
-        a, b, l, s = list(ta)[k], list(tb)[k], list(low)[k], list(cell)[k]
-        first, last = (F.least(F.greatest(F.floor((p - l) / s + h), F.lit(0)), F.lit(parts - 1)).cast("int") for p, h in ((a, -1e-6), (b, 1e-6)))
+    fits = F.least(*[F.floor(-F.log2(F.greatest((b - a) / s, F.lit(0.5 ** (most + 1))))) for a, b, s in zip(ta, tb, side)])
+    tri = triangles.withColumn("level", F.least(F.greatest(fits, F.lit(0)), F.lit(most)).cast("int")).withColumn("__n", F.expr("shiftleft(1, level)"))
+    for a, b, l, s, name in zip(ta, tb, low, side, "xyz"):
+        step = F.lit(s) / F.col("__n")
+        first, last = (F.least(F.greatest(F.floor((p - l) / step + h), F.lit(0)), F.col("__n") - 1).cast("int") for p, h in ((a, -1e-6), (b, 1e-6)))
         tri = tri.withColumn(f"k{name}", F.explode(F.sequence(first, last)))
-    way = traversed_cells(rays, tuple(lo), tuple(size), dims, reach).drop("t0", "t1")
-    met = way.join(tri, ["kx", "ky", "kz"])
-    t, u, v = ray_triangle(O, D, A, B, C)
-    hits = met.withColumn("t", t).where("t is not null").withColumn("u", u).withColumn("v", v)
-    if reach is not None:
-        hits = hits.where(F.col("t") <= reach)
-    return hits.groupBy("ray_id", "tri_id").agg(F.min("t").alias("t"), F.min("u").alias("u"), F.min("v").alias("v"))
-
-
-def nearest_hit(rays: DataFrame, triangles: DataFrame, parts: int | None = None) -> DataFrame:
+    tri = tri.drop("__n")
+    held = [r["level"] for r in tri.select("level").distinct().collect()]  # at most MOST_LEVELS + 1 numbers
+    if not held:
+        return rays.select("ray_id").join(triangles.select("tri_id"), F.lit(False)).select("ray_id", "tri_id", *[F.lit(0.0).alias(c) for c in "tuv"])
+
+    def passes(way: DataFrame, level: int) -> DataFrame:
+        cell = [s / (1 << level) for s in side]
+        corner = Vec(*(a + F.col(f"k{c}") * s - s * 1e-9 for a, s, c in zip(low, cell, "xyz")))
+        t0, t1 = slab(O, D, corner, Vec(*(a + s * (1 + 2e-9) for a, s in zip(corner, cell))))
+        t1 = t1 if reach is None else F.least(t1, F.lit(float(reach)))
+        return way.where((F.greatest(t0, F.lit(0.0)) <= t1))
+
+    # tests cost far more than the bytes of a ray tell, so rays are spread by number, not merged by size
+    spark = rays.sparkSession
+    rays = rays.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    way = passes(rays.select("*", *[F.lit(0).alias(f"k{c}") for c in "xyz"]), 0)
+    out = None
+    for level in range(max(held) + 1):
+        if level in held:
+            met = _tested(way.join(tri.where(F.col("level") == level), ["kx", "ky", "kz"]), low, [s / (1 << level) for s in side], (1 << level) - 1)
+            out = met if out is None else out.union(met)
+        if level < max(held):
+            halves = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+            way = way.withColumn("__h", F.explode(halves))
+            for c in "xyz":
+                way = way.withColumn(f"k{c}", F.col(f"k{c}") * 2 + F.col(f"__h.{c}"))
+            way = passes(way.drop("__h"), level + 1)
+            if level % 3 == 2:  # only into cells below which there are triangles
+                below = tri.where(F.col("level") > level).select(*[F.expr(f"shiftright(k{c}, level - {level + 1})").alias(f"k{c}") for c in "xyz"]).distinct()
+                way = cut(way.join(below, ["kx", "ky", "kz"], "left_semi"))
+    return out if reach is None else out.where(F.col("t") <= reach)
+
+
+def nearest_hit(rays: DataFrame, triangles: DataFrame, levels: int | None = None) -> DataFrame:
     """(ray_id, tri_id, t, u, v) of the first triangle on each ray's way; ties go to the lowest id."""
-    return ray_hits(rays, triangles, parts).groupBy("ray_id").agg(F.min(F.struct("t", "tri_id", "u", "v")).alias("h")).select("ray_id", "h.tri_id", "h.t", "h.u", "h.v")
+    return ray_hits(rays, triangles, levels).groupBy("ray_id").agg(F.min(F.struct("t", "tri_id", "u", "v")).alias("h")).select("ray_id", "h.tri_id", "h.t", "h.u", "h.v")
 
 
-def mesh_collisions(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
+def mesh_collisions(left: DataFrame, right: DataFrame, levels: int | None = None) -> DataFrame:
     """Ids of the left mesh's faces one of whose edges passes through a face of the right mesh."""
     edges = left.select("tri_id", F.explode(F.array(*[F.struct(*[F.col(f"{p}{k}").alias(f"o{k}") for k in "xyz"], *[(F.col(f"{q}{k}") - F.col(f"{p}{k}")).alias(f"d{k}") for k in "xyz"]) for p, q in ("ab", "bc", "ca")])).alias("e"))
     rays = edges.select(F.col("tri_id").alias("face_id"), "e.*").withColumn("ray_id", F.struct("face_id", "ox", "oy", "oz"))
-    return ray_hits(rays, right, parts, reach=1.0).select(F.col("ray_id.face_id").alias("tri_id")).distinct()
+    return ray_hits(rays, right, levels, reach=1.0).select(F.col("ray_id.face_id").alias("tri_id")).distinct()
 
 
-def points_in_mesh(points: DataFrame, triangles: DataFrame, parts: int | None = None) -> DataFrame:
+def points_in_mesh(points: DataFrame, triangles: DataFrame, levels: int | None = None) -> DataFrame:
     """Points with `inside`: for two or more of the three axes a ray crosses the mesh an odd number of times."""
     axes = F.array(*[F.struct(F.lit(k).alias("axis"), *[F.lit(float(i == k)).alias(f"d{c}") for i, c in enumerate("xyz")]) for k in range(3)])
     rays = points.select("point_id", *[F.col(c).alias(f"o{c}") for c in "xyz"], F.explode(axes).alias("a")).select(F.struct("point_id", "a.axis").alias("ray_id"), "ox", "oy", "oz", "a.dx", "a.dy", "a.dz")
-    odd = ray_hits(rays, triangles, parts).groupBy("ray_id").agg((F.count("*") % 2).alias("odd"))
+    odd = ray_hits(rays, triangles, levels).groupBy("ray_id").agg((F.count("*") % 2).alias("odd"))
     votes = odd.groupBy(F.col("ray_id.point_id").alias("point_id")).agg(F.sum("odd").alias("votes"))
     return points.join(votes, "point_id", "left").withColumn("inside", F.coalesce(F.col("votes") >= 2, F.lit(False))).drop("votes")
 
