@@ -8,13 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session whose executors are threads of this
+    process may do without: it gets a folder of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellforge-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="cellforge-ckpt-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """The path, marked to be deleted when the application ends; its file system may be any that Spark writes to."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder, so that lost executors cost no recomputation from the start."""
     checkpoint_folder(df.sparkSession)

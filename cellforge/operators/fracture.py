@@ -19,6 +19,8 @@ from .grid import AT, CELL, NEIGHBOURHOODS, occupied, with_grid
 
 #: Seeds that may stand as literals in one expression.
 LITERAL_SEEDS = 256
+#: A distance and a seed id are compared as one number, distance * ID_STEP + id; ids are ints from 0, distances below 2^32.
+ID_STEP = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,8 @@ class Fracturer(Protocol):
 
 def nearest_literal(at: Vec, seeds: list[tuple[int, int, int, int]], metric: str = "euclidean") -> Column:
     """Id of the nearest of a few seeds (id, x, y, z): a projection, without join or shuffle; ties go to the lowest id."""
-    packed = [METRICS[metric](at, Vec.of(x, y, z)).cast("long") * 65536 + i for i, x, y, z in sorted(seeds)]
-    return (F.least(*packed) if len(packed) > 1 else packed[0]).bitwiseAND(0xFFFF).cast("int")
+    packed = [METRICS[metric](at, Vec.of(x, y, z)).cast("long") * ID_STEP + i for i, x, y, z in sorted(seeds)]
+    return (F.least(*packed) if len(packed) > 1 else packed[0]).bitwiseAND(ID_STEP - 1).cast("int")
 
 
 def nearest_seed(voxels: DataFrame, seeds: DataFrame | list[tuple[int, int, int, int]], params: FractureParams = FractureParams()) -> DataFrame:
@@ -63,8 +65,8 @@ def nearest_seed(voxels: DataFrame, seeds: DataFrame | list[tuple[int, int, int,
         seeds = cells.sparkSession.createDataFrame([(0, *s) for s in seeds], "grid_id long, seed_id int, sx int, sy int, sz int")
     per_grid = with_grid(seeds).groupBy("grid_id").agg(F.collect_list(F.struct("seed_id", "sx", "sy", "sz")).alias("seeds"))
     metric = METRICS[params.metric]
-    packed = F.array_min(F.transform("seeds", lambda s: metric(AT, Vec(s["sx"], s["sy"], s["sz"])).cast("long") * 65536 + s["seed_id"]))
-    return cells.join(per_grid, "grid_id").select(*CELL, packed.bitwiseAND(0xFFFF).cast("int").alias("value"))
+    packed = F.array_min(F.transform("seeds", lambda s: metric(AT, Vec(s["sx"], s["sy"], s["sz"])).cast("long") * ID_STEP + s["seed_id"]))
+    return cells.join(per_grid, "grid_id").select(*CELL, packed.bitwiseAND(ID_STEP - 1).cast("int").alias("value"))
 
 
 def delaunay_longest_edge(seeds: list[tuple[int, int, int, int]]) -> float:
@@ -116,10 +118,10 @@ def voronoi(voxels: DataFrame, seeds: list[tuple[int, int, int, int]], reach: fl
     """
     reach = delaunay_longest_edge(seeds) if reach is None else reach
     d2 = [(AT.x + AT.x - 2 * x - 1) * (AT.x + AT.x - 2 * x - 1) + (AT.y + AT.y - 2 * y - 1) * (AT.y + AT.y - 2 * y - 1) + (AT.z + AT.z - 2 * z - 1) * (AT.z + AT.z - 2 * z - 1) for _, x, y, z in seeds]
-    packed = [d.cast("long") * 65536 + s[0] for d, s in zip(d2, seeds)]
+    packed = [d.cast("long") * ID_STEP + s[0] for d, s in zip(d2, seeds)]
     least = F.least(*packed) if len(packed) > 1 else packed[0]
     return occupied(with_grid(voxels)).select(*CELL, least.alias("p")).select(
-        *CELL, F.when(F.shiftright("p", 16) < 4 * reach * reach, F.col("p").bitwiseAND(0xFFFF)).otherwise(FREE).cast("int").alias("value")
+        *CELL, F.when(F.shiftright("p", 31) < 4 * reach * reach, F.col("p").bitwiseAND(ID_STEP - 1)).otherwise(FREE).cast("int").alias("value")
     )
 
 
@@ -223,8 +225,8 @@ def flood_repaired(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 26,
     """Flood from several sub-seeds (seed_id, sub_seed) of each fragment, repaired until every fragment is connected.
 
     After a flood, touching cells of one fragment take the least sub-seed of their part. A fragment keeps the part of
-    its least sub-seed; cells of other parts are freed and flooded again from what was kept, until none is freed. Cells
-    that nothing reaches are FREE. Output: cell, value, sub_seed.
+    its least sub-seed; cells of other parts are freed and flooded again from what was kept, until none is freed; an error
+    if that takes over `max_rounds` rounds. Cells that nothing reaches are FREE. Output: cell, value, sub_seed.
     """
     offsets = _offsets(neighbourhood)
     faces = _offsets(neighbourhood)
@@ -247,11 +249,11 @@ def flood_repaired(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 26,
             return pd.DataFrame({c: [] for c in (*CELL, "value", "sub_seed")})
         grid, at, shift = _dense(cells)
         places, seed_rows = _places(seed_rows, grid, shift)
-        word = seed_rows["seed_id"].to_numpy(np.int64) * 65536 + seed_rows["sub_seed"].to_numpy(np.int64)
+        word = seed_rows["seed_id"].to_numpy(np.int64) * ID_STEP + seed_rows["sub_seed"].to_numpy(np.int64)
         label, sub = np.zeros(grid.shape, np.int64), np.zeros(grid.shape, np.int64)
         for _ in range(max_rounds):
             packed, level = _flood_dense(grid, places, word, offsets)
-            label, sub = packed >> 16, packed & 0xFFFF
+            label, sub = packed >> 31, packed & (ID_STEP - 1)
             sub = parts(label, sub, at)
             live = at[label[tuple(at.T)] > FREE]
             if not len(live):
@@ -261,9 +263,11 @@ def flood_repaired(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 26,
             bad = subs != least.loc[ids].to_numpy()
             if not bad.any():
                 break
-            places, word = live[~bad], ids[~bad] * 65536 + subs[~bad]
+            places, word = live[~bad], ids[~bad] * ID_STEP + subs[~bad]
             if not len(places):
                 break
+        else:
+            raise RuntimeError(f"the repair did not end in {max_rounds} rounds")
         value = np.where(label[tuple(at.T)] > FREE, label[tuple(at.T)], FREE)
         return cells[CELL].assign(value=value, sub_seed=np.where(value > FREE, sub[tuple(at.T)], 0))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellforge.functions.cells import halton, noise
 from cellforge.functions.vec import METRICS, Vec, euclid2
 
+from .fracture import ID_STEP
 from .grid import AT, CELL, surface_flags, with_grid
 
 #: Numbers in [0, 1) of a cell, by law.
@@ -70,8 +71,8 @@ def merge_seeds(fragments: DataFrame, extra: DataFrame, metric: str = "euclidean
     """Each extra seed with the id of its nearest fragment seed and its ordinal there as sub_seed (from 1)."""
     per_grid = with_grid(fragments).groupBy("grid_id").agg(F.collect_list(F.struct("seed_id", "sx", "sy", "sz")).alias("f"))
     measure = METRICS[metric]
-    packed = F.array_min(F.transform("f", lambda s: measure(Vec.cols("sx", "sy", "sz"), Vec(s["sx"], s["sy"], s["sz"])).cast("long") * 65536 + s["seed_id"]))
-    nearest = with_grid(extra).join(per_grid, "grid_id").withColumn("fragment", packed.bitwiseAND(0xFFFF).cast("int"))
+    packed = F.array_min(F.transform("f", lambda s: measure(Vec.cols("sx", "sy", "sz"), Vec(s["sx"], s["sy"], s["sz"])).cast("long") * ID_STEP + s["seed_id"]))
+    nearest = with_grid(extra).join(per_grid, "grid_id").withColumn("fragment", packed.bitwiseAND(ID_STEP - 1).cast("int"))
     order = Window.partitionBy("grid_id", "fragment").orderBy("seed_id")
     return nearest.select("grid_id", F.col("fragment").alias("seed_id"), F.row_number().over(order).alias("sub_seed"), "sx", "sy", "sz")
 
