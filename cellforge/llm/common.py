@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.lineage import checkpoint_folder, cut  # noqa: F401  operators take cut from here
+from cellforge.lineage import checkpoint_folder, cut, passing  # noqa: F401  operators take cut from here
 
 #: Words of every contract: runs of anything but the ASCII white space \x20 \x09-\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -17,11 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the checkpoint folder: columnar, compressed, read by column."""
+    """The same rows as a Parquet table in the checkpoint folder: columnar, compressed, read by column. The table is deleted
+    when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(passing(spark, path))
 
 
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
