@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 #: Documents that meet in one randomised group, on average; a group is packed by one task.
 GROUP_DOCS = 4096
@@ -131,7 +131,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = dict(docs.dtypes)[id_col]
     groups = groups or max(1, -(-docs.count() // GROUP_DOCS))
-    pieces = token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids).withColumn("piece", F.monotonically_increasing_id())
+    # written, so that texts are encoded once and a piece keeps its number if a task is run again
+    pieces = written(token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids).withColumn("piece", F.monotonically_increasing_id()))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
     names = [c.split()[0] for c in schema.split(", ")]
     full = F.col("length") == capacity
