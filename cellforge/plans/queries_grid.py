@@ -174,7 +174,8 @@ def any_occupied(spark, sf):
 
 # iteration
 
-FLOOD_SEEDS = [(2, 1, 1, 1), (3, 14, 9, 3), (4, 6, 14, 13)]
+#: Seeds on a lattice of the grid, which has gaps; those on empty cells take no part.
+FLOOD_SEEDS = [(2 + n, x, y, z) for n, (x, y, z) in enumerate((x, y, z) for x in (4, 22) for y in (4, 22) for z in (4, 22))]
 _FLOOD = (
     f"WITH RECURSIVE {{cells}}, sd(lab, x, y, z) AS (VALUES {', '.join(str(s) for s in FLOOD_SEEDS)}), {{o}}, "
     "r(x, y, z, lab, lvl) USING KEY (x, y, z) AS (SELECT sd.x, sd.y, sd.z, lab, 0 FROM sd JOIN g USING (x, y, z) UNION "
@@ -183,28 +184,22 @@ _FLOOD = (
 )
 
 
-@query(_FLOOD.format(cells=grid_sql(16), o=N6))
+@query(_FLOOD.format(cells=grid_sql(), o=N6))
 def flood_fragments(spark, sf):
     """ITR1 over the six-neighbourhood."""
-    return fracture.flood(cells_of(spark, sf, 16), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
+    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
 
 
-@query(_FLOOD.format(cells=grid_sql(16), o=N26))
+@query(_FLOOD.format(cells=grid_sql(), o=N26))
 def flood_fragments_26(spark, sf):
     """ITR1 over the 26-neighbourhood."""
-    return fracture.flood(cells_of(spark, sf, 16), seed_table(spark, FLOOD_SEEDS), 26).drop("grid_id")
+    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 26).drop("grid_id")
 
 
-@query(_FLOOD.format(cells=grid_sql(16).replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 16 < 5 AND l_partkey % 16 < 5 AND l_suppkey % 16 < 5"), o=N6).replace(str(FLOOD_SEEDS[1]), "(3, 4, 4, 3)").replace(str(FLOOD_SEEDS[2]), "(4, 0, 4, 4)"))
+@query(_FLOOD.format(cells=grid_sql(), o=N6))
 def flood_by_frontier(spark, sf):
     """ITR1 as joins, for grids beyond one task."""
-    return fracture.flood_frontier(cells_of(spark, sf, 16).where("x < 5 and y < 5 and z < 5"), seed_table(spark, [(2, 1, 1, 1), (3, 4, 4, 3), (4, 0, 4, 4)]), 6).drop("grid_id")
-
-
-@query(_FLOOD.format(cells=grid_sql(16), o=N6))
-def flood_by_frontier_whole(spark, sf):
-    """ITR1 as joins over all cells, with the SQL of flood_fragments."""
-    return fracture.flood_frontier(cells_of(spark, sf, 16), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
+    return fracture.flood_frontier(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
 
 
 def _sub_seeds(spark):
@@ -225,18 +220,19 @@ def least_sub_seeds(spark, sf):
 
 
 _PARTS = "CASE WHEN (x // 4 + y // 4) % 2 = 0 THEN 2 ELSE 3 END"
+_PART_SEEDS = [(2 + (x // 4 + y // 4) % 2, x, y, z) for x, y, z in ((1, 1, 1), (5, 1, 1), (9, 2, 20), (17, 21, 7), (14, 30, 30), (26, 9, 13), (22, 13, 4))]
 
 
 @query(
-    f"WITH RECURSIVE {grid_sql(16)}, lab AS (SELECT x, y, z, {_PARTS} AS value FROM g), sd(v, x, y, z) AS (VALUES (2, 1, 1, 1), (3, 5, 1, 1)), {N6}, "
+    f"WITH RECURSIVE {grid_sql()}, lab AS (SELECT x, y, z, {_PARTS} AS value FROM g), sd(v, x, y, z) AS (VALUES {', '.join(map(str, _PART_SEEDS))}), {N6}, "
     "r(x, y, z) USING KEY (x, y, z) AS (SELECT lab.x, lab.y, lab.z FROM sd JOIN lab USING (x, y, z) WHERE sd.v = lab.value UNION "
     "SELECT b.x, b.y, b.z FROM r JOIN lab a USING (x, y, z), o, lab b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND b.value = a.value AND NOT EXISTS (SELECT 1 FROM recurring.r q WHERE q.x = b.x AND q.y = b.y AND q.z = b.z) GROUP BY 1, 2, 3) "
     "SELECT lab.x, lab.y, lab.z, lab.value FROM r JOIN lab USING (x, y, z)"
 )
 def connected_fragments(spark, sf):
     """ITR5, ITR6."""
-    lab = cells_of(spark, sf, 16).withColumn("value", F.when((F.floor(F.col("x") / 4) + F.floor(F.col("y") / 4)) % 2 == 0, 2).otherwise(3))
-    return fracture.keep_connected(lab, seed_table(spark, [(2, 1, 1, 1), (3, 5, 1, 1)])).drop("grid_id")
+    lab = cells_of(spark, sf).withColumn("value", F.when((F.floor(F.col("x") / 4) + F.floor(F.col("y") / 4)) % 2 == 0, 2).otherwise(3))
+    return fracture.keep_connected(lab, seed_table(spark, _PART_SEEDS)).drop("grid_id")
 
 
 def _erosion_sql(kind: str, size: int, probability: float, threshold: float) -> str:
@@ -316,13 +312,27 @@ def run_length_round_trip(spark, sf):
     return rle_cells(files, flip_y=False).drop("name")
 
 
-@query(f"WITH {labelled_sql(16)} SELECT x, y, z, value FROM lab")
+@query(f"WITH {labelled_sql()} SELECT x, y, z, value FROM lab")
 def raw_round_trip(spark, sf):
     """SNK4, SNK5."""
     from cellforge.sources.binary import encode_raw, raw_cells
 
-    files = encode_raw(labelled(spark, sf, 16), (16, 16, 16)).select(F.col("grid_id").cast("string").alias("name"), "content")
-    return raw_cells(files, (16, 16, 16)).drop("name")
+    files = encode_raw(labelled(spark, sf), D).select(F.col("grid_id").cast("string").alias("name"), "content")
+    return raw_cells(files, D).drop("name")
+
+
+@query(f"WITH {labelled_sql()} SELECT kind, x, y, z, value FROM lab, (VALUES ('rle'), ('raw')) k(kind) UNION ALL SELECT 'vox', x, z, y, value - 1 FROM lab WHERE value > 1")
+def grid_formats(spark, sf):
+    """SNK1, SNK14: the grid in each format by name, zipped, unzipped and read again."""
+    from cellforge.sources.binary import GRID_FORMATS, encode_grids, raw_cells, rle_cells, unzipped, vox_cells, zipped
+
+    out = None
+    for kind in GRID_FORMATS:
+        files = unzipped(zipped(encode_grids(labelled(spark, sf), D, kind), "grid_id", GRID_FORMATS[kind][1]))
+        cells = {"rle": lambda f: rle_cells(f, flip_y=False), "raw": lambda f: raw_cells(f, D), "vox": vox_cells}[kind](files)
+        part = cells.select(F.lit(kind).alias("kind"), "x", "y", "z", "value")
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query(f"WITH {labelled_sql()} SELECT x, z AS y, y AS z, value - 1 AS color FROM lab WHERE value > 1")
@@ -338,7 +348,7 @@ def centred_cube(spark, sf):
 
 
 _COLUMNS = (
-    f"{labelled_sql(16)}, d AS (SELECT i::INT AS x, j::INT AS y, k::INT AS z, coalesce(lab.value, 0) AS value FROM range(16) a(i), range(16) b(j), range(16) c(k) LEFT JOIN lab ON lab.x = i AND lab.y = j AND lab.z = k), "
+    f"{labelled_sql()}, d AS (SELECT i::INT AS x, j::INT AS y, k::INT AS z, coalesce(lab.value, 0) AS value FROM range(32) a(i), range(32) b(j), range(32) c(k) LEFT JOIN lab ON lab.x = i AND lab.y = j AND lab.z = k), "
     "m AS (SELECT *, CASE WHEN lag(value) OVER w = value THEN 0 ELSE 1 END AS b FROM d WINDOW w AS (PARTITION BY x, y ORDER BY z)), r AS (SELECT *, sum(b) OVER (PARTITION BY x, y ORDER BY z) AS run FROM m), "
     "q AS (SELECT x, y, run, any_value(value) AS value, count(*) AS n FROM r GROUP BY 1, 2, 3)"
 )
@@ -347,7 +357,7 @@ _COLUMNS = (
 @query(f"WITH {_COLUMNS} SELECT x, y, string_agg(value || ':' || n, ',' ORDER BY run) AS runs FROM q GROUP BY 1, 2")
 def column_runs(spark, sf):
     """AGG11."""
-    c = encode.column_runs(labelled(spark, sf, 16), (16, 16, 16))
+    c = encode.column_runs(labelled(spark, sf), D)
     return c.select("x", "y", F.array_join(F.transform("runs", lambda s: F.concat(s["value"].cast("string"), F.lit(":"), s["length"].cast("string"))), ",").alias("runs"))
 
 
@@ -358,13 +368,13 @@ def column_runs(spark, sf):
 )
 def quad_columns(spark, sf):
     """AGG12, SNK3."""
-    return encode.quad_columns(encode.column_runs(labelled(spark, sf, 16), (16, 16, 16)), 3).drop("grid_id")
+    return encode.quad_columns(encode.column_runs(labelled(spark, sf), D), 3).drop("grid_id")
 
 
-@query(f"WITH {_COLUMNS} SELECT 8192 AS plain_bytes, count(*) * 4 AS run_bytes, 8192.0::DOUBLE / (count(*) * 4) AS ratio FROM q")
+@query(f"WITH {_COLUMNS} SELECT 65536 AS plain_bytes, count(*) * 4 AS run_bytes, 65536.0::DOUBLE / (count(*) * 4) AS ratio FROM q")
 def compression_ratio(spark, sf):
     """AGG13."""
-    return encode.compression_ratio(encode.column_runs(labelled(spark, sf, 16), (16, 16, 16)), (16, 16, 16)).drop("grid_id")
+    return encode.compression_ratio(encode.column_runs(labelled(spark, sf), D), D).drop("grid_id")
 
 
 @query(f"WITH {labelled_sql()} SELECT value, count(*) AS voxels FROM lab GROUP BY 1")
@@ -397,6 +407,22 @@ def uniform_seeds(spark, sf):
     return seeding.uniform_seeds(shell(spark), 12, (24, 24, 24), "outer", seed=3).drop("grid_id")
 
 
+_LAWS = {
+    "normal": f"least(greatest(sqrt(-2 * ln(greatest({_NOISE}, 1e-12))) * cos(6.283185307179586 * {K.noise_sql('x', 'y', 'z', 4)}) * 0.25 + 0.5, 0), 1)",
+    "halton": "(SELECT sum(((i // pow(2, k)::BIGINT) % 2) / pow(2, k + 1)) FROM range(0, 32) d(k))",
+}
+for _law in _LAWS:
+
+    @query(
+        f"WITH {shell_sql()}, {_SURFACE}, i AS (SELECT *, x::BIGINT * 1048576 + y * 1024 + z + 3 AS i FROM f), n AS (SELECT *, row_number() OVER (ORDER BY round(u, 9), x, y, z) AS r FROM (SELECT *, {_LAWS[_law]} AS u FROM i)) "
+        "SELECT (row_number() OVER (ORDER BY x, y, z) + 1)::INT AS seed_id, x AS sx, y AS sy, z AS sz FROM n WHERE r <= 12",
+        name=f"{_law}_seeds",
+    )
+    def law_seeds(spark, sf, law=_law):
+        """SMP8, EXT4."""
+        return seeding.uniform_seeds(shell(spark), 12, (24, 24, 24), "outer", law=law, seed=3).drop("grid_id")
+
+
 @query(
     f"WITH {shell_sql()}, {_SURFACE}, s(seed_id, sx, sy, sz) AS (VALUES (2, 1, 12, 12), (3, 20, 12, 12)), h AS (SELECT * FROM s ORDER BY {K.noise_sql('sx', 'sy', 'sz', 5)}, seed_id LIMIT 1), "
     "w AS (SELECT f.*, least(abs(x - sx), 24 - abs(x - sx)) AS a, least(abs(y - sy), 24 - abs(y - sy)) AS b, least(abs(z - sz), 24 - abs(z - sz)) AS c FROM f, h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.sx = f.x AND s.sy = f.y AND s.sz = f.z)), "

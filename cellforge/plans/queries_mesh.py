@@ -389,13 +389,13 @@ def fused_in_order(spark, sf):
     return surface.fuse_sorted(p, 1.5).select(F.col("vertex_id").alias("point_id"), "fused")
 
 
-_CONFIGS = labelled_sql(16) + ", b(c) AS (SELECT unnest(range(0, 8))), k AS (SELECT value AS label, x - (c & 1) AS x, y - ((c >> 1) & 1) AS y, z - ((c >> 2) & 1) AS z, sum(1 << c)::INT AS config FROM lab, b GROUP BY ALL)"
+_CONFIGS = labelled_sql() + ", b(c) AS (SELECT unnest(range(0, 8))), k AS (SELECT value AS label, x - (c & 1) AS x, y - ((c >> 1) & 1) AS y, z - ((c >> 2) & 1) AS z, sum(1 << c)::INT AS config FROM lab, b GROUP BY ALL)"
 
 
 @query(f"WITH {_CONFIGS} SELECT label, x, y, z, config FROM k".replace("x - (c & 1) AS x", "(x - (c & 1))::INT AS x").replace("y - ((c >> 1) & 1) AS y", "(y - ((c >> 1) & 1))::INT AS y").replace("z - ((c >> 2) & 1) AS z", "(z - ((c >> 2) & 1))::INT AS z"))
 def cube_configs(spark, sf):
     """MSH7: the corners of every cube that a surface crosses."""
-    return surface.cube_configs(labelled(spark, sf, 16)).drop("grid_id")
+    return surface.cube_configs(labelled(spark, sf)).drop("grid_id")
 
 
 _TABLE = "mc(config, tri, e0, e1, e2) AS (VALUES " + ", ".join(map(str, surface.surface_table())) + ")"
@@ -405,7 +405,7 @@ _EDGES = "ed(e, sx, sy, sz) AS (VALUES " + ", ".join(str((n, *[(a >> k & 1) + (b
 @query(f"WITH {_CONFIGS}, {_TABLE}, {_EDGES}, tri AS (SELECT label, 2*x+a.sx AS ax, 2*y+a.sy AS ay, 2*z+a.sz AS az, 2*x+b.sx AS bx, 2*y+b.sy AS by, 2*z+b.sz AS bz, 2*x+c.sx AS cx, 2*y+c.sy AS cy, 2*z+c.sz AS cz FROM k JOIN mc USING (config) JOIN ed a ON a.e = e0 JOIN ed b ON b.e = e1 JOIN ed c ON c.e = e2), vt AS (SELECT label, ax, ay, az FROM tri UNION SELECT label, bx, by, bz FROM tri UNION SELECT label, cx, cy, cz FROM tri), vc AS (SELECT label, count(*) AS vertices FROM vt GROUP BY 1), ar AS (SELECT label, count(*) AS triangles, count(*) / 2 AS half, round(sum({LEN}) / 8, 6) AS area FROM tri GROUP BY 1) SELECT * FROM ar JOIN vc USING (label)")
 def iso_surfaces(spark, sf):
     """MSH7, MSH8, MSH11: surfaces of all fragments, with fused vertices."""
-    t = surface.iso_triangles(labelled(spark, sf, 16)).cache()
+    t = surface.iso_triangles(labelled(spark, sf))
     v, _ = surface.fuse(t)
     area = G.triangle_cross(A, B, C).length() / 8
     a = t.groupBy("label").agg(F.count("*").alias("triangles"), F.round(F.sum(area), 6).alias("area"))
@@ -422,7 +422,7 @@ def _halves_sql(limit: float) -> str:
     pick = lambda s: ", ".join(f"CASE e WHEN 0 THEN {'abc'[s % 3]}{k} WHEN 1 THEN {'abc'[(1 + s) % 3]}{k} ELSE {'abc'[(2 + s) % 3]}{k} END AS {'pqr'[s]}{k}" for k in "xyz")
     area = f"{LEN} / 2"
     return (
-        f"WITH RECURSIVE {MESH_SQL}, z AS (SELECT mesh_id, tri_id::VARCHAR AS path, " + ", ".join(f"{p}{k}" for p in "abc" for k in "xyz") + " FROM ft WHERE mesh_id = 0 "
+        f"WITH RECURSIVE {MESH_SQL}, z AS (SELECT mesh_id, tri_id::VARCHAR AS path, " + ", ".join(f"{p}{k}" for p in "abc" for k in "xyz") + " FROM ft "
         f"UNION ALL SELECT mesh_id, path || '.' || h, " + ", ".join(f"(p{k} + q{k}) / 2" for k in "xyz") + ", " + ", ".join(f"CASE h WHEN 0 THEN q{k} ELSE p{k} END" for k in "xyz") + ", " + ", ".join(f"r{k}" for k in "xyz")
         + f" FROM (SELECT *, {pick(0)}, {pick(1)}, {pick(2)} FROM (SELECT *, CASE WHEN ca > ab AND ca > bc THEN 2 WHEN ab > bc AND ab > ca THEN 0 ELSE 1 END AS e FROM (SELECT *, (bx-ax)*(bx-ax)+(by-ay)*(by-ay)+(bz-az)*(bz-az) AS ab, (cx-bx)*(cx-bx)+(cy-by)*(cy-by)+(cz-bz)*(cz-bz) AS bc, (ax-cx)*(ax-cx)+(ay-cy)*(ay-cy)+(az-cz)*(az-cz) AS ca FROM z WHERE {area} > {limit}))), range(2) k(h)) "
         f"SELECT mesh_id, path, round(ax, 6) AS ax, round(by, 6) AS \"by\", round(cz, 6) AS cz FROM z WHERE {area} <= {limit}"
@@ -432,13 +432,6 @@ def _halves_sql(limit: float) -> str:
 @query(_halves_sql(0.8))
 def subdivided_triangles(spark, sf):
     """MSH14."""
-    t = M.triangles_of(*mesh(spark, sf)).where("mesh_id = 0")
-    return M.subdivide(t, 0.8).select("mesh_id", "path", *R(("ax", F.col("ax")), ("by", F.col("by")), ("cz", F.col("cz"))))
-
-
-@query(_halves_sql(0.8).replace("FROM ft WHERE mesh_id = 0 ", "FROM ft "))
-def subdivided_triangles_all(spark, sf):
-    """MSH14 for every mesh."""
     return M.subdivide(M.triangles_of(*mesh(spark, sf)), 0.8).select("mesh_id", "path", *R(("ax", F.col("ax")), ("by", F.col("by")), ("cz", F.col("cz"))))
 
 
@@ -690,6 +683,61 @@ def binm_round_trip(spark, sf):
     return binm_mesh(files)[0]
 
 
+@query(f"WITH {MESH_SQL} SELECT mesh_id::VARCHAR AS name, face_id, v0, v1, v2 FROM f")
+def binm_faces(spark, sf):
+    """SRC5, SRC7, SNK8, SNK9: the faces of the round trip."""
+    from cellforge.sources.binary import binm_mesh, encode_binm
+
+    files = encode_binm(*mesh(spark, sf), count_bytes=4).select(F.col("mesh_id").cast("string").alias("name"), "content")
+    return binm_mesh(files, count_bytes=4)[1]
+
+
+@query(f"WITH {MESH_SQL} SELECT mesh_id::VARCHAR AS mesh, vertex_id, x, y, z FROM v")
+def obj_vertices(spark, sf):
+    """SRC3, SRC4, SRC10, SNK7: the vertices of the round trip."""
+    from cellforge.sources.obj import obj_lines, parse_obj
+
+    text = obj_lines(*mesh(spark, sf)).select(F.col("mesh_id").cast("string").alias("mesh"), F.struct("part", "n").alias("line_no"), "line")
+    return parse_obj(text)[0].select("mesh", F.col("vertex_id").cast("long").alias("vertex_id"), "x", "y", "z")
+
+
+_OBJ = "d AS (SELECT p_partkey AS k, p_size AS s FROM part)"
+
+
+@query(
+    f"WITH {_OBJ} SELECT k::VARCHAR AS mesh, 0::BIGINT AS face_id, 0::BIGINT AS v0, 1::BIGINT AS v1, 2::BIGINT AS v2, 0::BIGINT AS t0, 1::BIGINT AS t1, 0::BIGINT AS t2, NULL::BIGINT AS n0 FROM d "
+    "UNION ALL SELECT k::VARCHAR, 1, 0, 2, 3, 0, 0, 1, NULL FROM d UNION ALL SELECT k::VARCHAR, 2, 4, 3, 2, NULL, NULL, NULL, 0 FROM d UNION ALL SELECT k::VARCHAR, 3, 0, 1, 4, NULL, NULL, NULL, NULL FROM d"
+)
+def obj_polygons(spark, sf):
+    """SRC3, SRC4: texture and normal indices, a polygon and negative indices, in a file for each part."""
+    from cellforge.sources.obj import parse_obj
+
+    text = "# part\nv 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nvt 0 0\nvt 1 0\nvn 0 0 1\nf 1/1 2/2 3/1 4/2\nv 0 0 1\nf -1//1 -2//1 -3//1\nf 1 2 5"
+    lines = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("mesh"), F.posexplode(F.split(F.lit(text), "\n")).alias("line_no", "line"))
+    return parse_obj(lines)[1].select("mesh", F.col("face_id").cast("long").alias("face_id"), "v0", "v1", "v2", "t0", "t1", "t2", "n0")
+
+
+@query(f"WITH {POINTS_SQL} SELECT cloud_id::VARCHAR AS name, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM p", zeros=("x", "y", "z"))
+def xyz_round_trip(spark, sf):
+    """SNK11: clouds as text and back, zipped on the way (SNK14)."""
+    from cellforge.sources.binary import encode_points, unzipped, xyz_points, zipped
+
+    files = unzipped(zipped(encode_points(points(spark, sf), "xyz"), "cloud_id", "xyz"))
+    return xyz_points(files).select("name", "point_id", *R(*[(k, F.col(k)) for k in "xyz"]))
+
+
+@query(
+    f"WITH {POINTS_SQL}, b AS (SELECT cloud_id, " + ", ".join(f"min({k}) AS l{k}, (max({k}) - min({k})) / 1024 AS s{k}" for k in "xyz") + " FROM p GROUP BY 1) "
+    "SELECT cloud_id::VARCHAR AS name, " + ", ".join(f"round(l{k} + (least(greatest(coalesce(floor(({k} - l{k}) / nullif(s{k}, 0)), 0), 0), 1023) + 0.5) * s{k}, 6) AS {k}" for k in "xyz") + " FROM p JOIN b USING (cloud_id)", zeros=("x", "y", "z")
+)
+def compressed_clouds(spark, sf):
+    """SNK12: clouds in octree order, compressed and read again."""
+    from cellforge.sources.binary import cloud_points, encode_cloud
+
+    files = encode_cloud(points(spark, sf), 10).select(F.col("cloud_id").cast("string").alias("name"), "content")
+    return cloud_points(files).select("name", *R(*[(k, F.col(k)) for k in "xyz"]))
+
+
 @query(f"WITH {POINTS_SQL} SELECT cloud_id::VARCHAR AS name, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS point_id, round(x, 5) AS x, round(z, 5) AS y, round(y, 5) AS z FROM p")
 def ply_round_trip(spark, sf):
     """SRC9, SRC11, SNK10."""
@@ -709,6 +757,60 @@ def mesh_metadata(spark, sf):
     return metadata.metadata_tables(rows)["mesh"]
 
 
+@query(
+    f"WITH {POINTS_SQL} SELECT 'grid' AS kind, 'Filename' || chr(9) || 'Voxelization size' AS head, 'g' || l AS filename, NULL AS points FROM (SELECT DISTINCT cloud_id AS l FROM p) "
+    "UNION ALL SELECT 'point_cloud', 'Filename' || chr(9) || 'Voxelization size' || chr(9) || 'Points', 'p' || cloud_id, count(*)::VARCHAR FROM p GROUP BY cloud_id"
+)
+def metadata_files(spark, sf):
+    """SNK13: the tab-separated files, written and read again."""
+    import uuid
+
+    from cellforge.lineage import checkpoint_folder, passing
+    from cellforge.sources.tables import write_metadata
+
+    clouds = points(spark, sf).groupBy("cloud_id").agg(F.count("*").alias("n"))
+    rest = [F.lit(None).cast("int").alias(c) for c in ("fragment_id", "voxels", "occupied", "percentage", "vertices", "faces")]
+    rows = clouds.select(F.lit("grid").alias("kind"), F.concat(F.lit("g"), "cloud_id").alias("filename"), F.lit("32x32x32").alias("size"), F.lit(None).cast("long").alias("points"), *rest).union(
+        clouds.select(F.lit("point_cloud"), F.concat(F.lit("p"), "cloud_id"), F.lit("32x32x32"), "n", *rest)
+    )
+    path = f"{checkpoint_folder(spark)}/metadata-{uuid.uuid4().hex}"
+    write_metadata(rows, path)
+    passing(spark, path)
+    out = None
+    for kind in ("grid", "point_cloud"):
+        back = spark.read.option("sep", "\t").option("header", True).csv(f"{path}/{kind}")
+        part = back.select(F.lit(kind).alias("kind"), F.lit("\t".join(back.columns)).alias("head"), F.col("Filename").alias("filename"), (F.col("Points") if kind == "point_cloud" else F.lit(None)).cast("string").alias("points"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()) + ") t(name)")
+def listed_models(spark, sf):
+    """SRC1: the files with an extension below a folder; here the tables themselves stand for the models."""
+    from cellforge.sources.listing import list_models
+
+    return list_models(spark, sf, "parquet").select("name")
+
+
+@query(
+    " UNION ALL ".join(
+        "SELECT 'm' || mesh_id || '_1f_24r_0it_" + str(n) + "p.xyz' AS name, points FROM (" + _SAMPLE.split("SELECT mesh_id, tri_id, k::INT")[0].replace("{n}", str(n)) + f"SELECT mesh_id, count(*) AS points FROM w WHERE r <= {n} GROUP BY 1)" for n in (512, 1024, 2048)
+    )
+)
+def exported_targets(spark, sf):
+    """SNK15: each mesh's surface sampled to every target size, written in a point format and counted in what is read again."""
+    from cellforge.sources.binary import encode_points, xyz_points
+
+    out = None
+    for n in (512, 1024, 2048):
+        p = M.sample_surface(M.triangles_of(*mesh(spark, sf)), n).select(F.col("mesh_id").alias("cloud_id"), (F.col("tri_id") * 4096 + F.col("k")).alias("point_id"), "x", "y", "z")
+        name = metadata.output_name(F.concat(F.lit("m"), "cloud_id"), F.lit(1), F.lit(24), F.lit(0), None, F.lit(n), "p", "xyz")
+        files = encode_points(p, "xyz").select(name.alias("name"), "content")
+        part = xyz_points(files).groupBy("name").agg(F.count("*").alias("points"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("SELECT p_partkey, t AS target FROM part, (VALUES (512), (1024), (2048)) k(t)")
 def target_sizes(spark, sf):
     """SNK15."""

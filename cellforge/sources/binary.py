@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,6 +134,21 @@ def encode_vox(voxels: DataFrame, dims: tuple[int, int, int], squared: bool = Fa
     return _per_grid(vox_records(voxels, squared), make, ["x", "y", "z", "color"])
 
 
+def vox_cells(files: DataFrame) -> DataFrame:
+    """(name, x, y, z, value) of the cells of vox files with one model; axes and colours as they stand in the file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                content = bytes(content)
+                at = content.index(b"XYZI") + 12
+                n = struct.unpack_from("<I", content, at)[0]
+                rows = np.frombuffer(content, np.uint8, 4 * n, at + 4).reshape(n, 4).astype(np.int32)
+                yield pd.DataFrame({"name": name, **{k: rows[:, i] for i, k in enumerate(("x", "y", "z", "value"))}})
+
+    return files.mapInPandas(run, "name string, x int, y int, z int, value int")
+
+
 # meshes
 
 
@@ -267,11 +285,116 @@ def encode_ply(points: DataFrame, swap: bool = True) -> DataFrame:
     return points.groupBy("cloud_id").applyInPandas(run, "cloud_id long, content binary")
 
 
+def encode_xyz(points: DataFrame) -> DataFrame:
+    """(cloud_id, content): each cloud as text, a point a line."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("point_id")
+        text = "".join(f"{x!r} {y!r} {z!r}\n" for x, y, z in rows[["x", "y", "z"]].to_numpy(float).tolist())
+        return pd.DataFrame({"cloud_id": [key[0]], "content": [text.encode()]})
+
+    return points.select("cloud_id", "point_id", "x", "y", "z").groupBy("cloud_id").applyInPandas(run, "cloud_id long, content binary")
+
+
+def xyz_points(files: DataFrame) -> DataFrame:
+    """(name, point_id, x, y, z) of text clouds."""
+    lines = files.select("name", F.posexplode(F.split(F.trim(F.col("content").cast("string")), "\n")).alias("at", "line")).where("line <> ''")
+    p = F.split(F.trim("line"), r"\s+")
+    return lines.select("name", F.col("at").cast("long").alias("point_id"), *[F.get(p, F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
+
+
+#: Bits an axis of a compressed cloud.
+CLOUD_BITS = 16
+
+
+def _interleaved(q: np.ndarray, bits: int) -> np.ndarray:
+    code = np.zeros(len(q), np.uint64)
+    for b in range(bits):
+        for k in range(3):
+            code |= ((q[:, k] >> np.uint64(b)) & np.uint64(1)) << np.uint64(3 * b + 2 - k)
+    return code
+
+
+def encode_cloud(points: DataFrame, bits: int = CLOUD_BITS) -> DataFrame:
+    """(cloud_id, content): each cloud in octree order: its box, cut `bits` times an axis, and the steps between the places
+    of its points along the octree's cells, compressed. Points come back as the centres of their cells."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows[["x", "y", "z"]].to_numpy(float)
+        lo, hi = at.min(axis=0), at.max(axis=0)
+        step = (hi - lo) / (1 << bits)  # none along an axis that all points share
+        code = np.sort(_interleaved(np.clip(np.floor((at - lo) / np.where(step > 0, step, 1.0)), 0, (1 << bits) - 1).astype(np.uint64), bits))
+        body = zlib.compress(np.diff(code, prepend=np.uint64(0)).astype("<u8").tobytes(), 9)
+        return pd.DataFrame({"cloud_id": [key[0]], "content": [struct.pack("<IQ6d", bits, len(code), *lo, *step) + body]})
+
+    return points.select("cloud_id", "x", "y", "z").groupBy("cloud_id").applyInPandas(run, "cloud_id long, content binary")
+
+
+def cloud_points(files: DataFrame) -> DataFrame:
+    """(name, point_id, x, y, z) of compressed clouds; ids follow the octree order."""
+    head = struct.calcsize("<IQ6d")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                content = bytes(content)
+                bits, n, *box = struct.unpack_from("<IQ6d", content)
+                code = np.cumsum(np.frombuffer(zlib.decompress(content[head:]), "<u8"), dtype=np.uint64)
+                q = np.zeros((n, 3), np.uint64)
+                for b in range(bits):
+                    for k in range(3):
+                        q[:, k] |= ((code >> np.uint64(3 * b + 2 - k)) & np.uint64(1)) << np.uint64(b)
+                at = np.array(box[:3]) + (q + 0.5) * np.array(box[3:])
+                yield pd.DataFrame({"name": name, "point_id": np.arange(n), **{c: at[:, k] for k, c in enumerate("xyz")}})
+
+    return files.mapInPandas(run, "name string, point_id long, x double, y double, z double")
+
+
+#: Point formats by name: (encoder, extension).
+POINT_FORMATS = {"ply": (encode_ply, "ply"), "xyz": (encode_xyz, "xyz"), "octree": (encode_cloud, "oct")}
+
+
+def encode_points(points: DataFrame, kind: str) -> DataFrame:
+    """(cloud_id, content) in a format by name."""
+    if kind not in POINT_FORMATS:
+        raise ValueError(f"no point format {kind!r}; there are {sorted(POINT_FORMATS)}")
+    return POINT_FORMATS[kind][0](points)
+
+
 def write_xyz(points: DataFrame, path: str) -> None:
     """Points as text, one folder cloud_id=... each."""
     points.select("cloud_id", "x", "y", "z").write.partitionBy("cloud_id").mode("overwrite").option("sep", " ").csv(path)
 
 
+def zipped(files: DataFrame, key: str, extension: str) -> DataFrame:
+    """(name, content): each file as a zip archive of <key>.<extension>."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["name"], batch["content"]):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(zipfile.ZipInfo(f"{name}.{extension}"), bytes(content), zipfile.ZIP_DEFLATED)
+                out.append(held.getvalue())
+            yield pd.DataFrame({"name": batch["name"], "content": out})
+
+    return files.select(F.col(key).cast("string").alias("name"), "content").mapInPandas(run, "name string, content binary")
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """(name, content) of all files in zip archives (content); names without extension."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    for n in z.namelist():
+                        yield pd.DataFrame({"name": [n.rpartition(".")[0] or n], "content": [z.read(n)]})
+
+    return archives.select("content").mapInPandas(run, "name string, content binary")
+
+
 def write_contents(files: DataFrame, path: str, key: str, extension: str) -> None:
     """Writes (key, content) rows to <path>/<key>.<extension> from the executors; the folder must be one that all share."""
     import os

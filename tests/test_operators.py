@@ -288,14 +288,74 @@ def test_stage_stream(spark, sf, tmp_path):
     assert got == want
 
 
-def test_frontier_floods_the_whole_grid(spark, sf):
+def test_frontier_floods_the_whole_grid(spark):
     from cellforge.plans.catalog import QUERIES
 
-    got = sorted(map(tuple, QUERIES["flood_by_frontier_whole"](spark, sf).select("x", "y", "z", "value", "level").collect()))
-    assert got == sorted(map(tuple, QUERIES["flood_fragments"](spark, sf).select("x", "y", "z", "value", "level").collect())) and len(got) > 125
+    sf = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, QUERIES["flood_by_frontier"](spark, sf).select("x", "y", "z", "value", "level").collect()))
+    assert got == sorted(map(tuple, QUERIES["flood_fragments"](spark, sf).select("x", "y", "z", "value", "level").collect()))
+    assert 20_000 < len(got) <= fx.grid(spark, sf).count() < 32**3
 
 
 def test_every_mesh_is_subdivided(spark, sf):
     from cellforge.plans.catalog import QUERIES
 
-    assert {r.mesh_id for r in QUERIES["subdivided_triangles_all"](spark, sf).select("mesh_id").distinct().collect()} == {0, 1, 2, 3}
+    assert {r.mesh_id for r in QUERIES["subdivided_triangles"](spark, sf).select("mesh_id").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_large_seed_ids_and_unended_repairs(spark):
+    cells = voxels(spark, blob(5))
+    seeds = [(65538, 0, 0, 0), (70000, 4, 4, 4), (2**31 - 1, 0, 4, 4)]
+    for s in (seeds, fx.seed_table(spark, seeds)):
+        assert set(as_dict(fracture.nearest_seed(cells, s)).values()) == {65538, 70000, 2**31 - 1}
+    assert set(as_dict(fracture.voronoi(cells, seeds, 50.0)).values()) == {65538, 70000, 2**31 - 1}
+    extra = spark.createDataFrame([(0, 9, 1, 0, 0)], "grid_id long, seed_id int, sx int, sy int, sz int")
+    assert seeding.merge_seeds(fx.seed_table(spark, seeds), extra).first().seed_id == 65538
+    rows = spark.createDataFrame([(0, 70001, 70002, 0, 0, 0)], "grid_id long, seed_id int, sub_seed int, sx int, sy int, sz int")
+    out = fracture.flood_repaired(voxels(spark, [(0, 0, 0), (1, 0, 0)]), rows, 6).collect()
+    assert {(r.value, r.sub_seed) for r in out} == {(70001, 70002)}
+    with pytest.raises(Exception, match="repair did not end"):
+        fracture.flood_repaired(voxels(spark, [(0, 0, 0), (1, 0, 0)]), rows, 6, max_rounds=0).collect()
+
+
+def test_rays_against_all_pairs(spark):
+    """Large and tiny triangles, rays along axes and edges, a flat scene and an empty one."""
+    rng = np.random.default_rng(4)
+    tri = []
+    for i in range(300):
+        at, size = rng.random(3) * 10, 10 ** rng.uniform(-3, 1)
+        tri.append((i, *[float(v) for p in range(3) for v in at + size * (rng.random(3) - 0.5)]))
+    tri += [(300, 0.0, 0.0, 5.0, 10.0, 0.0, 5.0, 0.0, 10.0, 5.0), (301, 10.0, 10.0, 5.0, 10.0, 0.0, 5.0, 0.0, 10.0, 5.0)]
+    rays = [(i, *map(float, rng.random(3) * 12 - 1), *map(float, rng.normal(size=3))) for i in range(120)] + [(200, 2.5, 2.5, -1.0, 0.0, 0.0, 1.0), (201, 5.0, 2.5, 11.0, 0.0, 0.0, -1.0)]
+    td = spark.createDataFrame(tri, "tri_id long, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz"))
+    rd = spark.createDataFrame(rays, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    t, u, v = spatial.ray_triangle(spatial.O, spatial.D, spatial.A, spatial.B, spatial.C)
+    want = {(r.ray_id, r.tri_id): r.t for r in rd.crossJoin(td).withColumn("t", t).where("t is not null").collect()}
+    for levels in (None, 0, 3, 7):
+        got = [((r.ray_id, r.tri_id), r.t) for r in spatial.ray_hits(rd, td, levels).collect()]
+        assert len(got) == len(dict(got)) and set(dict(got)) == set(want)
+        assert all(abs(x - want[k]) < 1e-9 * max(1, abs(x)) for k, x in got)
+    flat = td.where("tri_id >= 300")
+    assert {(r.ray_id, r.tri_id) for r in spatial.ray_hits(rd, flat).collect()} == {k for k in want if k[1] >= 300}
+    assert spatial.ray_hits(rd, td.limit(0)).count() == 0 and spatial.ray_hits(rd.limit(0), td).count() == 0
+
+
+def test_point_formats(spark):
+    pts = seeding.random_points(spark, 40, (-1.0, 0.0, 5.0), (3.0, 0.0, 6.0))
+    want = sorted((r.x, r.y, r.z) for r in pts.collect())
+    for kind, read in (("xyz", binary.xyz_points), ("octree", binary.cloud_points)):
+        files = binary.unzipped(binary.zipped(binary.encode_points(pts, kind), "cloud_id", kind))
+        got = sorted((r.x, r.y, r.z) for r in read(files).collect())
+        assert np.allclose(got, want, atol=1e-12 if kind == "xyz" else 1e-4 * 5)
+    with pytest.raises(ValueError):
+        binary.encode_points(pts, "none")
+
+
+def test_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cellforge.lineage import checkpoint_folder
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
