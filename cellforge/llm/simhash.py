@@ -166,9 +166,10 @@ def near_links(fps: DataFrame, fp: str, bits: int = 3, blocks: int = 6, limit: i
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, shingle: int = 3) -> DataFrame:
-    """(id, text_hash, fp, component_id) for each row of `docs`.
+    """(fp, id, text_hash, component_id, root) for each row of `docs`.
 
-    component_id is the least id that links reach, the row's own included. Texts without a word have fingerprint 0 and
+    component_id is the least id that links reach, the row's own included; root is the component's least fingerprint, which
+    tells components apart whose least ids are the same because the id is repeated with another text. Texts without a word have fingerprint 0 and
     link like any other. A null id never becomes a component_id unless the component has no other id. Rows repeated
     with the same id each appear. An empty table gives no rows; other columns are not read.
     """
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = fps.join(parts, fps.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     # a second key makes the small side be dealt again, so that Spark can split a component with very many fingerprints
-    named = roots.withColumn("root2", F.xxhash64("root")).join(ids.withColumn("root2", F.xxhash64("root")), ["root", "root2"]).select("fp", "component_id")
+    named = roots.withColumn("root2", F.xxhash64("root")).join(ids.withColumn("root2", F.xxhash64("root")), ["root", "root2"]).select("fp", "component_id", "root")
     return rows.join(named, "fp")
 
 
@@ -192,7 +193,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col, text_col, bits, shingle)
     best = (
-        found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
+        found.groupBy("root")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best"))
         .select(F.col("best.id").alias("__id"), F.col("best.text_hash").alias("__hash"))
     )
