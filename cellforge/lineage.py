@@ -29,7 +29,19 @@ def passing(spark: SparkSession, path: str) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder, so that lost executors cost no recomputation from the start."""
+#: Rows of narrow tables that one file of a checkpoint may hold where their number is known.
+FILE_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written to the checkpoint folder, so that lost executors cost no recomputation from the start.
+
+    Where the caller knows that there are `rows` rows at most, a small table goes to few files, not to one for each
+    partition of the last shuffle; a large one keeps its partitions.
+    """
     checkpoint_folder(df.sparkSession)
+    if rows is not None:
+        files = rows // FILE_ROWS + 1
+        if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     return df.checkpoint(eager=True)
