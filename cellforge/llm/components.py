@@ -12,7 +12,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, root) for every node that some link touches; root is the least node of its component.
 
     Each round is two joins on node ids with partially aggregated minima, so a hub costs rows in proportion to its
-    links; the second key of the joins makes the minima be dealt again, so that Spark can split the rows of a hub. Nulls and self-links are ignored; repeated links count once. Rounds grow with the logarithm of the longest
+    links, and no round has more rows than the one before; the second key of the joins makes the minima be dealt again, so that Spark can split the rows of a hub. Nulls and self-links are ignored; repeated links count once. Rounds grow with the logarithm of the longest
     path. An empty table gives an empty result.
     """
     e = cut(
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         e = cut(
             twice(large, "hi").join(twice(low, "hi"), ["hi", "key2"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(low.select("hi", F.col("m").alias("lo")))
-            .distinct()
+            .distinct(),
+            now[0],
         )
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

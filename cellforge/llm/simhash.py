@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(
         small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col), shingle).alias("fp"))
     )
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), rows.count())
     parts = connected_components(near_links(fps, "fp", bits))
     roots = fps.join(parts, fps.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -268,7 +268,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         return cut(pairs.join(of("a"), "a").join(of("b"), "b").where(close("text_a", "text_b")).select(*pairs.columns))
 
-    links = None
+    links, held, nodes = None, rows.count(), texts.count()
     for r in range(STAR_ROUNDS):
         if links is not None:
             each = rows.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
@@ -278,7 +278,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         centre = F.struct(F.xxhash64(F.lit(r), "node").alias("rank"), F.col("node").alias("a"), F.col("root").alias("a_root"))
         star = rows.groupBy("k", "k2").agg(F.min(centre).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "c", F.xxhash64("k2").alias("k3"))
         first = rows.withColumn("k3", F.xxhash64("k2")).join(star, ["k", "k3"]).where("root <> c.a_root").groupBy("node").agg(F.min(F.struct("c", "root")).alias("x"))
-        first = cut(first)
+        first = cut(first, nodes)
         found = checked(first.select(F.col("x.c.a").alias("a"), F.col("node").alias("b"), F.col("x.c.a_root").alias("ra"), F.col("x.root").alias("rb")))
         paid = 10 * found.count() >= first.count()
         links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
@@ -286,7 +286,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = found.select("ra", "rb").union(found.select("rb", "ra")).union(found.select("ra", "ra")).union(found.select("rb", "rb")).distinct()
         one = both.groupBy(F.col("ra").alias("rb")).agg(F.min("rb").alias("r1"))
         two = both.join(one, "rb").groupBy(F.col("ra").alias("root")).agg(F.min("r1").alias("r2"))
-        rows = cut(rows.join(two, "root", "left").select("k", "k2", "node", F.coalesce("r2", "root").alias("root")))
+        rows = cut(rows.join(two, "root", "left").select("k", "k2", "node", F.coalesce("r2", "root").alias("root")), held)
     left = rows.select("k", F.col("node").alias("a"), F.col("root").alias("ra"))
     right = rows.select("k", F.col("node").alias("b"), F.col("root").alias("rb"))
     return links.union(checked(left.join(right, "k").where("a < b and ra <> rb").select("a", "b").distinct()))
