@@ -115,6 +115,12 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with one key more, made of `keys`: an aggregate by `keys` is then dealt again for a join on all of them,
+    and Spark can split the rows of a hot key, such as that of a template line with one changing word."""
+    return rows.withColumn("again", F.xxhash64(F.lit(2), *keys))
+
+
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, text) of the documents."""
     return docs.select(F.col(id_col).alias("doc_id"), _row_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
@@ -125,7 +131,7 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     ends = distinct.where("ends is not null").select("doc_id", "line_no", F.posexplode("ends").alias("role", "key"))
     shared = ends.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = (
-        ends.join(shared.hint("shuffle_hash"), "key", "left_semi")
+        _dealt(ends, ["key"]).join(_dealt(shared, ["key"]).hint("shuffle_hash"), ["key", "again"], "left_semi")
         .groupBy(F.col("doc_id").alias("__id"), "line_no").agg(F.collect_set("role").alias("roles"))
         .groupBy("__id").agg(F.collect_list(F.struct("line_no", "roles")).alias("wanted"))
     )
@@ -152,8 +158,9 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
         hashed(lines, "roles").select("*", F.explode("roles").alias("role")).select("*", F.explode(_classes(F.size("h"), F.col("role"))).alias("lacks"))
         .select("pos", "role", "lacks", F.explode(_pieces(F.size("h"), lacks, side)).alias("p")).select("pos", "role", "lacks", "p.*")
     )
-    shared = pieces.groupBy("before", "after").agg(F.count("*").alias("c")).where("c > 1").select("before", "after")
-    spots = pieces.join(shared.hint("shuffle_hash"), ["before", "after"], "left_semi").groupBy("pos").agg(F.collect_set(F.struct("role", "lacks", "piece")).alias("spots"))
+    cut_key = ["before", "after"]
+    shared = pieces.groupBy(*cut_key).agg(F.count("*").alias("c")).where("c > 1").select(*cut_key)
+    spots = _dealt(pieces, cut_key).join(_dealt(shared, cut_key).hint("shuffle_hash"), [*cut_key, "again"], "left_semi").groupBy("pos").agg(F.collect_set(F.struct("role", "lacks", "piece")).alias("spots"))
     # and their deletion variants in that piece
     variants = (
         hashed(lines.join(spots, "pos"), "spots")
@@ -161,8 +168,8 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
         .select("pos", F.explode(_variants(F.size("h"), lacks, side, F.col("piece"))).alias("v"))
         .select("pos", "v.*")
     )
-    earliest = variants.groupBy("before", "after").agg(F.min("pos").alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = variants.join(earliest.hint("shuffle_hash"), ["before", "after"]).where("pos <> kept").groupBy("pos", "kept").agg(F.min("place").alias("place"))
+    earliest = variants.groupBy(*cut_key).agg(F.min("pos").alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = _dealt(variants, cut_key).join(_dealt(earliest, cut_key).hint("shuffle_hash"), [*cut_key, "again"]).where("pos <> kept").groupBy("pos", "kept").agg(F.min("place").alias("place"))
     text = lines.select("pos", "w")
     both = pairs.join(text, "pos").join(text.select(F.col("pos").alias("kept"), F.col("w").alias("v")), "kept")
     w, v, at = F.col("w"), F.col("v"), F.col("place")
@@ -181,8 +188,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows equal in id and text count as one document.
 
     Lines that share neither end with another line have no neighbour, nor have lines that agree with no other outside
-    one piece of what lies between; only what is left emits deletion variants, in that piece. All lines under one variant are a word edit apart at most, so the earliest of them stands for all: rows grow with the
-    lines, never with pairs.
+    one piece of what lies between; only what is left emits deletion variants, in that piece. All lines under one variant are a word edit apart at
+    most, so the earliest of them stands for all: rows grow with the lines, never with pairs.
     """
     base = _base(docs, id_col, text_col)
     lines = _lines(base)

@@ -98,6 +98,26 @@ def test_edges(spark):
     assert ("5", "Short line") in [(str(r.doc_id), r.text) for r in line_dedup.dedup_lines(df, fuzzy_words=8).collect()]
 
 
+def test_template_lines_of_one_key_are_split(spark):
+    """A template line with one changing word, which all its lines share a key of: Spark parts them among tasks."""
+    n = 20_000
+    body = " ".join(f"w{i}" for i in range(9))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"first line\n{body} "), F.col("id").cast("string"), F.lit(" tail")).alias("text"))
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = line_dedup.dedup_lines(df, count_col="n_removed")
+        rows = out.collect()
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [(r.doc_id, r.n_removed) for r in rows] == [(0, 0)]
+    assert plan.count("skew=true") >= 1
+
+
 def test_plan_has_no_python(spark, sf):
     plan = line_dedup.op1_line_dedup(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
