@@ -14,6 +14,7 @@ from cellforge.functions.cells import cell_of, noise
 from cellforge.functions.geometry import point_in_triangle, triangle_area, triangle_box, triangle_normal
 from cellforge.functions.vec import Vec
 
+from .scan import least_of_groups, place_in_group
 from .spatial import A, B, C, column_hits
 
 
@@ -50,8 +51,7 @@ def sample_surface(triangles: DataFrame, n: int, seed: int = 0) -> DataFrame:
     u, v = _pair(F.col("tri_id"), F.col("k"), seed)
     at = point_in_triangle(A, B, C, u, v)
     points = each.select("mesh_id", "tri_id", "k", *at.named(""))
-    order = Window.partitionBy("mesh_id").orderBy(noise(Vec.of(F.col("tri_id"), F.col("k"), F.lit(5)), seed), "tri_id", "k")
-    return points.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+    return least_of_groups(points, "mesh_id", noise(Vec.of(F.col("tri_id"), F.col("k"), F.lit(5)), seed), ["tri_id", "k"], n)
 
 
 def surface_cells(triangles: DataFrame, n: int, lo: tuple, size: tuple, dims: tuple[int, int, int], seed: int = 0) -> DataFrame:
@@ -128,8 +128,7 @@ def unique_edges(faces: DataFrame) -> DataFrame:
 
 def index_list(faces: DataFrame) -> DataFrame:
     """Corner indices in face order, the restart sentinel after each face: (mesh_id, position, vertex_id)."""
-    order = Window.partitionBy("mesh_id").orderBy("face_id")
-    return faces.withColumn("n", F.row_number().over(order) - 1).select("mesh_id", "n", F.posexplode(F.array("v0", "v1", "v2", F.lit(0xFFFFFFF).cast("long"))).alias("k", "vertex_id")).select("mesh_id", (F.col("n").cast("long") * 4 + F.col("k")).alias("position"), "vertex_id")
+    return place_in_group(faces.select("mesh_id", "face_id", "v0", "v1", "v2"), "mesh_id", ["face_id"], "n").select("mesh_id", "n", F.posexplode(F.array("v0", "v1", "v2", F.lit(0xFFFFFFF).cast("long"))).alias("k", "vertex_id")).select("mesh_id", (F.col("n").cast("long") * 4 + F.col("k")).alias("position"), "vertex_id")
 
 
 def join_parts(vertices: DataFrame, faces: DataFrame, part: str = "part_id") -> tuple[DataFrame, DataFrame]:

@@ -30,3 +30,35 @@ def global_scan(rows: DataFrame, order: list[str | Column], value: str | None =
     ranges = dealt.groupBy("__range").agg(*sums).select("__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"), *([F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s0")] if value else []))
     out = inner.join(F.broadcast(ranges), "__range")  # a row per range, so as many as partitions
     return out.select(*rows.columns, (F.col(place) + F.col("__n0")).alias(place), *([(F.col(before) + F.col("__s0")).alias(before)] if value else []))
+
+
+#: Parts of [0, 1) that numbers are counted in to find the n least of a group.
+PARTS = 4096
+
+
+def least_of_groups(rows: DataFrame, group: str, number: Column, ties: list[str], n: int) -> DataFrame:
+    """The n rows of the least numbers, in [0, 1], of each group; ties go by the columns of `ties`. Exact.
+
+    Numbers are counted by parts first, so only the rows of the parts that reach n are moved, and only rows of one part
+    are ranked together, not a whole group. Even numbers (a hash) make the parts alike.
+    """
+    taken = set(rows.columns)
+    if {"__u", "__part", "__before", "__n", "__g"} & taken:
+        raise ValueError("the columns of the choice are taken")
+    drawn = rows.withColumn("__u", number).withColumn("__part", F.floor(F.col("__u") * PARTS))
+    counts = drawn.groupBy(F.col(group).alias("__g"), "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.select("__g", F.col("__part").alias("__p"), before.alias("__before")).where(F.col("__before") < n)
+    near = drawn.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    rank = F.row_number().over(Window.partitionBy(group, "__part").orderBy("__u", *ties))
+    return near.withColumn("__n", rank).where(F.col("__n") + F.col("__before") <= n).select(*rows.columns)
+
+
+def place_in_group(rows: DataFrame, group: str, order: list[str], place: str = "place") -> DataFrame:
+    """Rows with their place, from 0, in their group; a group may hold most of the table, as ranges of it are scanned
+    (see global_scan)."""
+    placed = global_scan(rows, [group, *order], place=place)
+    # a second key makes the small side be dealt again, so that Spark can split the rows of one group
+    first = placed.groupBy(F.col(group).alias("__g")).agg(F.min(place).alias("__first")).withColumn("__g2", F.xxhash64("__g"))
+    both = placed.withColumn("__h", F.xxhash64(group)).join(first, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__h") == F.col("__g2")))
+    return both.select(*rows.columns, (F.col(place) - F.col("__first")).alias(place))

@@ -10,6 +10,7 @@ from cellforge.functions.vec import METRICS, Vec, euclid2
 
 from .fracture import ID_STEP
 from .grid import AT, CELL, surface_flags, with_grid
+from .scan import least_of_groups
 
 #: Numbers in [0, 1) of a cell, by law.
 LAWS = {
@@ -82,8 +83,7 @@ def select_points(points: DataFrame, n: int, key: str = "point_id", group: str |
     number = noise(Vec.of(F.col(key), F.lit(1), F.lit(2)), seed)
     if group is None:
         return points.orderBy(number, key).limit(n)
-    order = Window.partitionBy(group).orderBy(number, key)
-    return points.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+    return least_of_groups(points, group, number, [key], n)
 
 
 def pad_to_power_of_two(points: DataFrame, key: str = "point_id", group: str = "cloud_id", seed: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from cellforge.functions.geometry import triangle_box
 from cellforge.functions.vec import EPSILON, Vec
 
 from .grid import CELL, with_grid
+from .scan import global_scan
 
 O, D = Vec.cols("ox", "oy", "oz"), Vec.cols("dx", "dy", "dz")
 A, B, C = Vec.cols("ax", "ay", "az"), Vec.cols("bx", "by", "bz"), Vec.cols("cx", "cy", "cz")
@@ -241,6 +244,66 @@ def best_neighbours(boxes: DataFrame, radius: int = 100, chunk: int = 4096) -> D
     return both.groupBy("id").agg(F.min(F.struct(area.alias("area"), F.col("o_id").alias("other"))).alias("m")).select("id", "m.other", "m.area")
 
 
+def agglomerate(boxes: DataFrame, radius: int = 100, local: int = 4096) -> DataFrame:
+    """(round, left, right, area): the binary tree over boxes (id, place, min_x .. max_z) that merging best neighbours builds.
+
+    In each round every two clusters that are each other's best neighbour (see best_neighbours; ties go to the lower id)
+    become one, which keeps the id and the place of the one that comes first; places are then counted anew. It ends with
+    one cluster, so n boxes give n - 1 rows; `area` is the surface of the merged box. Once `local` clusters or fewer are
+    left, one task goes on alone: the same rounds, over that many rows at most. Fewer than two boxes give no rows.
+    """
+    box = [f"{n}_{c}" for n in ("min", "max") for c in "xyz"]
+    live = cut(boxes.select("id", "place", *[F.col(c).cast("double").alias(c) for c in box]))
+    kind = live.schema["id"].dataType.simpleString()
+    n, turn, out = live.count(), 0, None
+    while n > max(local, 1):
+        turn += 1
+        best = best_neighbours(live, radius)
+        at = F.struct("place", "id")
+        pairs = (
+            live.join(best, "id").groupBy(F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"))
+            .agg(F.count("*").alias("c"), F.min(at).alias("l"), F.max(at).alias("r"), F.min("area").alias("area"), *[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in box])
+            .where("c = 2").select("l", "r", "area", *box)
+        )
+        pairs = cut(pairs, n)
+        gone = pairs.select(F.explode(F.array("l.id", "r.id")).alias("id"))
+        next_ = live.join(gone, "id", "left_anti").select("id", F.col("place").alias("before"), *box).union(pairs.select("l.id", F.col("l.place"), *box))
+        n -= pairs.count()
+        live = cut(global_scan(next_, ["before"]).drop("before"), n)
+        rows = pairs.select(F.lit(turn).alias("round"), F.col("l.id").alias("left"), F.col("r.id").alias("right"), "area")
+        out = rows if out is None else out.union(rows)
+    rest = live.groupBy(F.lit(turn).alias("turn")).applyInPandas(_agglomerated(radius), f"round int, left {kind}, right {kind}, area double")
+    return rest if out is None else out.union(rest)
+
+
+def _agglomerated(radius: int):
+    """The rounds of agglomerate() over one task's clusters."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        ids, lo, hi = rows["id"].to_numpy(), rows[["min_x", "min_y", "min_z"]].to_numpy(), rows[["max_x", "max_y", "max_z"]].to_numpy()
+        found, turn = [], key[0]
+        while len(ids) > 1:
+            turn += 1
+            area, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+            for d in range(1, min(radius, len(ids) - 1) + 1):
+                e = np.maximum(hi[d:], hi[:-d]) - np.minimum(lo[d:], lo[:-d])
+                both = 2 * (e[:, 0] * e[:, 1] + e[:, 1] * e[:, 2] + e[:, 0] * e[:, 2])
+                for one, far in ((np.arange(len(ids) - d), np.arange(d, len(ids))), (np.arange(d, len(ids)), np.arange(len(ids) - d))):
+                    better = (both < area[one]) | ((both == area[one]) & (ids[far] < ids[other[one]]))
+                    area[one[better]], other[one[better]] = both[better], far[better]
+            left = np.flatnonzero((other[other] == np.arange(len(ids))) & (other > np.arange(len(ids))))
+            right = other[left]
+            found.append(pd.DataFrame({"round": turn, "left": ids[left], "right": ids[right], "area": area[left]}))
+            lo[left], hi[left] = np.minimum(lo[left], lo[right]), np.maximum(hi[left], hi[right])
+            stay = np.ones(len(ids), bool)
+            stay[right] = False
+            ids, lo, hi = ids[stay], lo[stay], hi[stay]
+        return pd.concat(found) if found else pd.DataFrame({"round": [], "left": [], "right": [], "area": []})
+
+    return run
+
+
 def octree_leaves(triangles: DataFrame, levels: int, lo: tuple, side: float) -> DataFrame:
     """(tri_id, level, code): the octree boxes of the last level that each triangle's box overlaps, by path code."""
     step = side / (1 << levels)

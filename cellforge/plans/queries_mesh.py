@@ -274,6 +274,29 @@ def best_neighbours(spark, sf):
     return spatial.best_neighbours(b, 20, 64).select("id", "other", *R(("area", F.col("area"))))
 
 
+_BOXES = "SELECT tri_id AS id, row_number() OVER (ORDER BY ax, tri_id) - 1 AS place, " + ", ".join(f"{f}(a{k}, b{k}, c{k}) AS {n}_{k}" for n, f in (("min", "least"), ("max", "greatest")) for k in "xyz") + " FROM t"
+_BOX = [f"{n}_{k}" for n in ("min", "max") for k in "xyz"]
+_EDGES = [f"(greatest(a.max_{k}, b.max_{k}) - least(a.min_{k}, b.min_{k}))" for k in "xyz"]
+
+
+@query(
+    f"WITH RECURSIVE {TRIANGLES_SQL}, g AS (SELECT 0 AS round, NULL::BIGINT AS other, NULL::DOUBLE AS area, true AS live, * FROM ({_BOXES}) UNION ALL ("
+    f"WITH l AS (SELECT * FROM g WHERE live), e AS (SELECT a.id, b.id AS other, 2 * ({_EDGES[0]} * {_EDGES[1]} + {_EDGES[1]} * {_EDGES[2]} + {_EDGES[0]} * {_EDGES[2]}) AS area FROM l a JOIN l b ON a.id <> b.id AND abs(a.place - b.place) <= 20), "
+    "n AS (SELECT id, other, area FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area, other) AS r FROM e) WHERE r = 1), "
+    "m AS (SELECT p.id, p.other, p.area FROM n p JOIN n q ON q.id = p.other AND q.other = p.id JOIN l a ON a.id = p.id JOIN l b ON b.id = p.other WHERE a.place < b.place), "
+    "k AS (SELECT l.round + 1 AS round, m.other, m.area, l.id, row_number() OVER (ORDER BY l.place) - 1 AS place, "
+    + ", ".join(f"CASE WHEN b.id IS NULL THEN l.{c} ELSE {'least' if c.startswith('min') else 'greatest'}(l.{c}, b.{c}) END AS {c}" for c in _BOX)
+    + " FROM l LEFT JOIN m ON m.id = l.id LEFT JOIN l b ON b.id = m.other WHERE l.id NOT IN (SELECT other FROM m)) "
+    f"SELECT round, other, area, true, id, place, {', '.join(_BOX)} FROM k WHERE (SELECT count(*) FROM l) > 1)) "
+    'SELECT round, id AS "left", other AS "right", round(area, 6) AS area FROM g WHERE other IS NOT NULL'
+)
+def box_tree(spark, sf):
+    """ITR15: rounds of merging; the last 128 clusters are left to one task."""
+    lo, hi = G.triangle_box(A, B, C)
+    b = global_scan(triangles(spark, sf), ["ax", "tri_id"]).select(F.col("tri_id").alias("id"), "place", *lo.named("min_"), *hi.named("max_"))
+    return spatial.agglomerate(b, 20, 128).select("round", "left", "right", *R(("area", F.col("area"))))
+
+
 @query(f"{WITH_T} SELECT tri_id, 3 AS level, ((i & 1) | ((i & 2) << 2) | ((i & 4) << 4)) * 4 + ((j & 1) | ((j & 2) << 2) | ((j & 4) << 4)) * 2 + ((k & 1) | ((k & 2) << 2) | ((k & 4) << 4)) AS code FROM t, range(8) a(i), range(8) b(j), range(8) c(k) WHERE " + " AND ".join(f"{n} BETWEEN least(greatest(floor(least(a{k}, b{k}, c{k}) + 4), 0), 7) AND least(greatest(floor(greatest(a{k}, b{k}, c{k}) + 4), 0), 7)" for n, k in zip("ijk", "xyz")))
 def octree_leaves(spark, sf):
     """JN20, D12."""

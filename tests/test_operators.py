@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellforge.functions.vec import Vec
 from cellforge.operators import clusters, encode, fracture, grid, mesh, metadata, morphology, seeding, spatial, surface
+from cellforge.operators.scan import least_of_groups, place_in_group
 from cellforge.plans import fixtures as fx
 from cellforge.sources import binary, listing, obj, tables
 
@@ -359,3 +360,56 @@ def test_checkpoint_folder_on_a_cluster():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         checkpoint_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def plain_tree(boxes, radius):
+    """(round, left, right, area) by the definition; boxes: [(id, lo, hi)] in order."""
+    live, out, turn = list(boxes), [], 0
+
+    def area(a, b):
+        x, y, z = (max(p, q) - min(r, s) for p, q, r, s in zip(a[2], b[2], a[1], b[1]))
+        return 2 * (x * y + y * z + x * z)
+
+    while len(live) > 1:
+        turn += 1
+        best = {}
+        for i, a in enumerate(live):
+            best[a[0]] = min((area(a, b), b[0]) for j, b in enumerate(live) if i != j and abs(i - j) <= radius)[1]
+        by_id, left, merged = {a[0]: a for a in live}, [], set()
+        for a in live:
+            b = by_id[best[a[0]]]
+            if a[0] in merged:
+                continue
+            if best[b[0]] == a[0]:
+                out.append((turn, a[0], b[0], area(a, b)))
+                merged.add(b[0])
+                a = (a[0], tuple(map(min, a[1], b[1])), tuple(map(max, a[2], b[2])))
+            left.append(a)
+        live = left
+    return sorted(out)
+
+
+@pytest.mark.parametrize("local", [1, 6, 1000])
+def test_agglomeration_follows_its_definition(spark, local):
+    """On a lattice of equal boxes, so that most areas tie, however many clusters one task is given."""
+    rng = np.random.default_rng(5)
+    boxes = [(int(i), (x, y, 0.0), (x + 1.0, y + 1.0, 1.0)) for i, x, y in zip(rng.permutation(24), map(float, rng.integers(0, 5, 24)), map(float, rng.integers(0, 5, 24)))]
+    df = spark.createDataFrame([(i, n, *lo, *hi) for n, (i, lo, hi) in enumerate(boxes)], "id long, place long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    got = sorted(tuple(r) for r in spatial.agglomerate(df, 4, local).collect())
+    assert got == plain_tree(boxes, 4)
+    assert len(got) == 23
+    if local == 6:
+        assert spatial.agglomerate(df.limit(1), 4).count() == spatial.agglomerate(df.limit(0), 4).count() == 0
+
+
+def test_least_of_groups_and_places(spark):
+    rows = [(g, k, float(u)) for g, n in ((1, 5000), (2, 3), (None, 40)) for k, u in enumerate(np.random.default_rng(n).integers(0, 50, n) / 50)]
+    df = spark.createDataFrame(rows, "g int, k int, u double")
+    for n in (1, 10, 1500):
+        got = sorted((r.g or 0, r.k) for r in least_of_groups(df, "g", F.col("u"), ["k"], n).collect())
+        want = [(g or 0, k) for g in (1, 2, None) for _, k in sorted((u, k) for h, k, u in rows if h == g)[:n]]
+        assert got == sorted(want)
+    got = sorted((r.g or 0, r.place, r.k) for r in place_in_group(df, "g", ["u", "k"]).collect())
+    want = [(g or 0, n, k) for g in (1, 2, None) for n, (_, k) in enumerate(sorted((u, k) for h, k, u in rows if h == g))]
+    assert got == sorted(want)
+    assert place_in_group(df.limit(0), "g", ["k"]).count() == least_of_groups(df.limit(0), "g", F.col("u"), ["k"], 3).count() == 0
