@@ -413,3 +413,18 @@ def test_least_of_groups_and_places(spark):
     want = [(g or 0, n, k) for g in (1, 2, None) for n, (_, k) in enumerate(sorted((u, k) for h, k, u in rows if h == g))]
     assert got == sorted(want)
     assert place_in_group(df.limit(0), "g", ["k"]).count() == least_of_groups(df.limit(0), "g", F.col("u"), ["k"], 3).count() == 0
+
+
+def test_listing_takes_a_folder_as_one_model(spark, tmp_path):
+    from cellforge.sources.listing import list_models
+
+    root = tmp_path / "in.obj"  # the folder's own name must not count
+    (root / "sub" / "b.obj" / "deep").mkdir(parents=True)
+    sizes = {"a.obj": 1, "sub/b.obj/part-0.obj": 20, "sub/b.obj/deep/part-1.txt": 300, "sub/b.obj/_SUCCESS": 7, "sub/c.txt": 9, "sub/obj": 9}
+    for name, n in sizes.items():
+        (root / name).write_bytes(b"x" * n)
+    got = {(r.path.split("/in.obj/")[1], r.name, r.length) for r in list_models(spark, str(root), "obj").collect()}
+    assert got == {("a.obj", "a", 1), ("sub/b.obj", "b", 320)}
+    assert [(r.name, r.length) for r in list_models(spark, str(root / "a.obj"), "obj").collect()] == [("a", 1)]
+    with pytest.raises(FileNotFoundError):
+        list_models(spark, str(root), "ply")
