@@ -44,4 +44,21 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
         files = rows // FILE_ROWS + 1
         if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(files)
-    return df.checkpoint(eager=True)
+    return _plain_size(df.checkpoint(eager=True))
+
+
+def _plain_size(df: DataFrame) -> DataFrame:
+    """The same checkpoint, with the size that Spark takes for unknown ones where its estimate is larger still.
+
+    A checkpoint keeps the size that its plan was estimated at, and a join multiplies those of its sides. In a loop of joins
+    the number's digits double with each round, until it alone fills the driver's memory.
+    """
+    plan, spark = df._jdf.queryExecution().analyzed(), df.sparkSession
+    try:
+        if plan.stats().sizeInBytes() < 1 << 63:
+            return df
+    except ValueError:  # so many digits that Python refuses them
+        pass
+    jvm, none = spark._jvm, spark._jvm.scala.Option.empty()
+    plain = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return type(df)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark)

@@ -428,3 +428,13 @@ def test_listing_takes_a_folder_as_one_model(spark, tmp_path):
     assert [(r.name, r.length) for r in list_models(spark, str(root / "a.obj"), "obj").collect()] == [("a", 1)]
     with pytest.raises(FileNotFoundError):
         list_models(spark, str(root), "ply")
+
+
+def test_checkpoints_in_a_loop_of_joins_keep_a_plain_size(spark):
+    from cellforge.lineage import cut
+
+    rows = spark.range(8)
+    for _ in range(9):
+        rows = cut(rows.join(rows.select(F.col("id").alias("other")), F.col("id") == F.col("other")).select("id"), 8)
+    assert sorted(r.id for r in rows.collect()) == list(range(8))
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
