@@ -91,3 +91,12 @@ def test_classifier(spark, docs):
     model = quality_classifier.fit_quality_model(docs, labels)
     rows = quality_classifier.score_quality(docs, model).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score_ <= 1 for r in rows)
+
+
+def test_written_tables_have_data_files_only(spark):
+    from cellforge.llm.common import written
+
+    table = written(spark.range(100))
+    files = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    names = [x.getPath().getName() for x in files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)]
+    assert table.count() == 100 and all(n.startswith("part-") for n in names)
