@@ -438,3 +438,18 @@ def test_checkpoints_in_a_loop_of_joins_keep_a_plain_size(spark):
         rows = cut(rows.join(rows.select(F.col("id").alias("other")), F.col("id") == F.col("other")).select("id"), 8)
     assert sorted(r.id for r in rows.collect()) == list(range(8))
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+
+
+def met_pairs(spark, monkeypatch, find):
+    """Pairs of rays and triangles that `find` brings together, of 400 rays and 1200 triangles as large as their scene."""
+    rng = np.random.default_rng(7)
+    tri = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(1200, 9)))], "tri_id long, " + ", ".join(f"{v}{k} double" for v in "abc" for k in "xyz"))
+    rays = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(400, 6)))], "ray_id long, " + ", ".join(f"{v}{k} double" for v in "od" for k in "xyz"))
+    met, tested = [], spatial._tested
+    monkeypatch.setattr(spatial, "_tested", lambda pairs, *a: met.append(pairs.count()) or tested(pairs, *a))
+    return {(r.ray_id, r.tri_id): (r.t, r) for r in find(rays, tri).collect()}, sum(met)
+
+
+def test_rays_meet_large_triangles_in_few_cells(spark, monkeypatch):
+    hits, met = met_pairs(spark, monkeypatch, spatial.ray_hits)
+    assert len(hits) < met < 400 * 1200
