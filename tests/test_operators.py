@@ -453,3 +453,14 @@ def met_pairs(spark, monkeypatch, find):
 def test_rays_meet_large_triangles_in_few_cells(spark, monkeypatch):
     hits, met = met_pairs(spark, monkeypatch, spatial.ray_hits)
     assert len(hits) < met < 400 * 1200
+
+
+def test_nearest_hits_follow_rays_no_further_than_needed(spark, monkeypatch):
+    hits, _ = met_pairs(spark, monkeypatch, spatial.ray_hits)
+    monkeypatch.undo()
+    near, met = met_pairs(spark, monkeypatch, spatial.nearest_hit)
+    first = {}
+    for (ray, tri), (t, _) in hits.items():
+        first[ray] = min(first.get(ray, (t, tri)), (t, tri))
+    assert {ray: (t, tri) for (ray, tri), (t, _) in near.items()} == first
+    assert met < 400 * 1200 // 2
