@@ -464,3 +464,13 @@ def test_nearest_hits_follow_rays_no_further_than_needed(spark, monkeypatch):
         first[ray] = min(first.get(ray, (t, tri)), (t, tri))
     assert {ray: (t, tri) for (ray, tri), (t, _) in near.items()} == first
     assert met < 400 * 1200 // 2
+
+
+def test_hits_carry_columns_of_triangles(spark):
+    tri = spark.createDataFrame([(5, 0.0, 0.0, 1.0, 4.0, 0.0, 1.0, 0.0, 4.0, 1.0, 1.0, 2.0, 3.0)], "tri_id long, " + ", ".join(f"{v}{k} double" for v in "abc" for k in "xyz") + ", q0 double, q1 double, q2 double")
+    rays = spark.createDataFrame([(1, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "ray_id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    hits = spatial.ray_hits(rays, tri, carry=("q0", "q1", "q2"))
+    assert [tuple(r) for r in spatial.blended(hits, ["ray_id", "tri_id"], ["q"]).collect()] == [(1, 5, 1.75)]
+    plain = spatial.interpolate(spatial.ray_hits(rays, tri), tri.select("tri_id", "q0", "q1", "q2"), ["q"])
+    assert [r.q for r in plain.collect()] == [1.75]
+    assert spatial.ray_hits(rays, tri.limit(0), carry=("q0",)).columns == ["ray_id", "tri_id", "t", "u", "v", "q0"]
