@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, give_back, small_batches, table
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: documents of each language, and code points of each language and of all together.
@@ -239,6 +239,7 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", ou
     an underscore more.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    give_back(docs.sparkSession)
 
     @F.pandas_udf("lang string, score double, bits double")
     def of(texts):

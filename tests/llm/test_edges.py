@@ -100,3 +100,48 @@ def test_written_tables_have_data_files_only(spark):
     files = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
     names = [x.getPath().getName() for x in files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)]
     assert table.count() == 100 and all(n.startswith("part-") for n in names)
+
+
+def test_written_tables_start_no_process_for_their_folders(spark, tmp_path):
+    from cellforge.llm.common import written
+
+    jvm = spark._jvm
+    record = jvm.jdk.jfr.Recording()
+    record.enable("jdk.ProcessStart")
+    record.start()
+    spark.range(100).write.parquet(f"{tmp_path}/plain")
+    table = written(spark.range(100))
+    record.stop()
+    record.dump(jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{tmp_path}/record.jfr")))
+    record.close()
+    events = jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{tmp_path}/record.jfr")))
+    commands = [e.getString("command") for e in events]
+    # what lies in /0 is made by tasks, which run in the driver only here
+    made = [c for c in commands if c.startswith("chmod 0755") and "/0/" not in c]
+    assert any(f"{tmp_path}/plain" in c for c in made) and not any("/table-" in c for c in made), made
+    assert table.count() == 100
+
+
+def test_written_tables_give_free_memory_of_the_driver_back(spark, tmp_path):
+    from pathlib import Path
+
+    from cellforge.llm.common import written
+
+    jvm = spark._jvm
+    memory, status = jvm.org.apache.spark.unsafe.Platform, Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm")
+    resident = lambda: int(status.read_text().split()[1]) * 4096 / 1e6
+    spark.range(100).write.parquet(f"{tmp_path}/first")
+    held = []
+    for _ in range(4000):
+        held.append(memory.allocateMemory(64_000))
+        memory.setMemory(held[-1], 1, 64_000)
+    for n, at in enumerate(held):  # what stays makes the allocator keep what lies between
+        if n % 50:
+            memory.freeMemory(at)
+    jvm.System.gc()
+    before = resident()
+    assert written(spark.range(100)).count() == 100
+    after = resident()
+    for at in held[::50]:
+        memory.freeMemory(at)
+    assert after < before - 150, (before, after)
