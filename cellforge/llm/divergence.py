@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from .common import cut, small_batches, table, written
 
 #: Least number of a language's documents that hold a kept term, and the terms reported for each source.
 LEAST_DOCS, TOP_TERMS = 10, 10
-#: (language, source, term) counts that a task gathers before it hands them on.
-GATHERED = 1 << 18
+#: (language, source, term) counts that a task gathers before it hands them on, and bytes of text (which keep n under 2^31).
+GATHERED, GATHERED_BYTES = 1 << 19, 1 << 30
 #: (source, term) counts that a block of terms holds on average.
 BLOCK_COUNTS = 1 << 16
 #: Bytes as terms see them: A-Z lowered, other ASCII that is no letter a space, all else as it is.
@@ -31,14 +32,16 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes | None, list[int]]] = {}
-        size = 0
+        # a cell is n * 2^32 + docs
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = read = 0
 
         def result() -> pa.RecordBatch:
-            cells = [(lang, source, term, n, d) for (lang, source), terms in held.items() for term, (n, d) in terms.items()]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*cells), kinds)]
-            columns[2] = columns[2].cast(pa.string())
+            of = np.repeat(np.arange(len(held)), [len(t) + 1 for t in held.values()])
+            terms = [t for group in held.values() for t in (None, *group)]
+            cells = np.fromiter((c for group in held.values() for c in (0, *group.values())), np.int64, len(terms))
+            lang, source = (pa.array([g[i] for g in held], pa.string()).take(pa.array(of)) for i in (0, 1))
+            columns = [lang, source, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(cells >> 32), pa.array(cells & (1 << 32) - 1)]
             return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
@@ -46,23 +49,16 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for i, group in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 terms = held.get(group)
                 if terms is None:
-                    terms = held[group] = {None: [0, 0]}
-                    size += 1
+                    terms = held[group] = {}
                 size -= len(terms)
-                own: dict[bytes, int] = {}
-                for term in texts[i].as_py().translate(PLAIN).split():
-                    own[term] = own.get(term, 0) + 1
-                for term, n in own.items():
-                    cell = terms.get(term)
-                    if cell is None:
-                        terms[term] = [n, 1]
-                    else:
-                        cell[0] += n
-                        cell[1] += 1
+                text, known = texts[i].as_py(), terms.get
+                for term, n in Counter(text.translate(PLAIN).split()).items():
+                    terms[term] = known(term, 0) + (n << 32) + 1
                 size += len(terms)
-                if size >= GATHERED:
+                read += len(text)
+                if size >= GATHERED or read >= GATHERED_BYTES:
                     yield result()
-                    held, size = {}, 0
+                    held, size, read = {}, 0, 0
         if held:
             yield result()
 

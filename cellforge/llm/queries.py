@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, divergence, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from . import bpe, decontaminate, divergence, hard_negatives, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 
-MODULES = [line_dedup, simhash, packing, sharding, quality_rules, substring_dedup, decontaminate, html_extract, language_id, quality_classifier, divergence, bpe]
+MODULES = [line_dedup, simhash, packing, sharding, quality_rules, substring_dedup, decontaminate, html_extract, language_id, quality_classifier, hard_negatives, divergence, bpe]
 
 
 def queries() -> dict:
