@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellforge.lineage import cut
-from cellforge.functions.cells import EMPTY, FREE
+from cellforge.functions.cells import FREE
 from cellforge.functions.vec import METRICS, Vec
 
+from .blocks import BLOCK, flood_blocks, grid_parts
 from .grid import AT, CELL, NEIGHBOURHOODS, occupied, with_grid
 
 #: Seeds that may stand as literals in one expression.
@@ -128,78 +127,15 @@ def voronoi(voxels: DataFrame, seeds: list[tuple[int, int, int, int]], reach: fl
 # flood
 
 
-def _offsets(n: int) -> np.ndarray:
-    return np.array(NEIGHBOURHOODS[n], np.int64)
-
-
-def _flood_dense(grid: np.ndarray, cells: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and levels of a breadth-first flood over the FREE cells of a padded dense grid; per level the least value wins."""
-    level = np.full(grid.shape, -1, np.int64)
-    label = np.zeros(grid.shape, np.int64)
-    for c, v in zip(cells, values):
-        c = tuple(c)
-        label[c] = v if label[c] == 0 else min(label[c], v)
-        level[c] = 0
-    frontier = np.unique(cells, axis=0) if len(cells) else cells
-    step = 0
-    while len(frontier):
-        step += 1
-        to = (frontier[:, None, :] + offsets[None]).reshape(-1, 3)
-        v = np.repeat(label[tuple(frontier.T)], len(offsets))
-        ok = (grid[tuple(to.T)] != EMPTY) & (level[tuple(to.T)] < 0)
-        to, v = to[ok], v[ok]
-        if not len(to):
-            break
-        order = np.lexsort((v, to[:, 2], to[:, 1], to[:, 0]))
-        to, v = to[order], v[order]
-        first = np.append(True, (np.diff(to, axis=0) != 0).any(axis=1))
-        frontier = to[first]
-        label[tuple(frontier.T)] = v[first]
-        level[tuple(frontier.T)] = step
-    return label, level
-
-
-def _dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded occupancy, the cells' places in it, and the shift."""
-    at = rows[["x", "y", "z"]].to_numpy(np.int64)
-    shift = at.min(axis=0) - 1
-    grid = np.zeros(at.max(axis=0) - shift + 2, np.int64)
-    at = at - shift
-    grid[tuple(at.T)] = 1
-    return grid, at, shift
-
-
-def _places(seeds: pd.DataFrame, grid: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-    at = seeds[["sx", "sy", "sz"]].to_numpy(np.int64) - shift
-    ok = ((at >= 0) & (at < grid.shape)).all(axis=1)
-    seeds, at = seeds[ok], at[ok]
-    ok = grid[tuple(at.T)] != EMPTY
-    return at[ok], seeds[ok]
-
-
-def _per_grid(voxels: DataFrame, seeds: DataFrame, run: Callable, schema: str) -> DataFrame:
-    left = occupied(with_grid(voxels)).select(*CELL)
-    return left.groupBy("grid_id").cogroup(with_grid(seeds).groupBy("grid_id")).applyInPandas(run, schema)
-
-
-def flood(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 6) -> DataFrame:
+def flood(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 6, block: int = BLOCK) -> DataFrame:
     """(cell, value, level) of the cells that a breadth-first flood from the seeds reaches; unreached cells stay out.
 
-    A level goes to all neighbours at once and the least seed id wins a cell. A grid is one group: it is bounded by its
-    dims (128^3 in production) and many runs flood side by side. flood_frontier() is for grids beyond one task.
+    A level goes to all neighbours at once and the least seed id wins a cell. Grids are dealt to tasks by blocks (see
+    blocks.flood_blocks), many runs side by side. Seeds on empty cells take no part.
     """
-    offsets = _offsets(neighbourhood)
-
-    def run(cells: pd.DataFrame, seed_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(cells) or not len(seed_rows):
-            return pd.DataFrame({c: [] for c in (*CELL, "value", "level")})
-        grid, at, shift = _dense(cells)
-        places, seed_rows = _places(seed_rows, grid, shift)
-        label, level = _flood_dense(grid, places, seed_rows["seed_id"].to_numpy(np.int64), offsets)
-        out = cells[CELL].assign(value=label[tuple(at.T)], level=level[tuple(at.T)])
-        return out[out["level"] >= 0]
-
-    return _per_grid(voxels, seeds, run, "grid_id long, x int, y int, z int, value int, level int")
+    sources = with_grid(seeds).select("grid_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), F.col("seed_id").alias("label"))
+    reached = flood_blocks(occupied(with_grid(voxels)), sources, neighbourhood, block).where("level >= 0")
+    return reached.select(*CELL, F.col("label").cast("int").alias("value"), "level")
 
 
 def flood_frontier(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 6, every: int = 4, max_levels: int = 4096) -> DataFrame:
@@ -221,83 +157,44 @@ def flood_frontier(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 6,
     raise RuntimeError(f"the flood did not end in {max_levels} levels")
 
 
-def flood_repaired(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 26, max_rounds: int = 64) -> DataFrame:
+def flood_repaired(voxels: DataFrame, seeds: DataFrame, neighbourhood: int = 26, max_rounds: int = 64, block: int = BLOCK) -> DataFrame:
     """Flood from several sub-seeds (seed_id, sub_seed) of each fragment, repaired until every fragment is connected.
 
     After a flood, touching cells of one fragment take the least sub-seed of their part. A fragment keeps the part of
     its least sub-seed; cells of other parts are freed and flooded again from what was kept, until none is freed; an error
-    if that takes over `max_rounds` rounds. Cells that nothing reaches are FREE. Output: cell, value, sub_seed.
+    if that takes over `max_rounds` rounds. Cells that nothing reaches are FREE. Output: cell, value, sub_seed. Floods and parts
+    are found by blocks, what a fragment keeps by an aggregate, so no task holds a grid or a fragment.
+    """
+    cells = cut(occupied(with_grid(voxels)).select(*CELL))
+    at = [F.col(f"s{c}").alias(c) for c in "xyz"]
+    word = F.col("seed_id").cast("long") * ID_STEP + F.col("sub_seed")
+    sources = with_grid(seeds).select("grid_id", *at, word.alias("label"))
+    for _ in range(max_rounds):
+        flooded = flood_blocks(cells, sources, neighbourhood, block)
+        live = flooded.where("level >= 0").select(*CELL, F.shiftright("label", 31).alias("value"), F.col("label").bitwiseAND(ID_STEP - 1).alias("sub_seed"))
+        live = live.where(F.col("value") > FREE)
+        parts = grid_parts(live, neighbourhood, block).join(live, [*CELL, "value"])
+        least = parts.groupBy("grid_id", "value", "part").agg(F.min("sub_seed").alias("sub_seed"))
+        kept = least.groupBy("grid_id", "value").agg(F.min("sub_seed").alias("keep"))
+        labelled = cut(parts.drop("sub_seed").join(least, ["grid_id", "value", "part"]).join(kept, ["grid_id", "value"]).select(*CELL, "value", "sub_seed", "keep"))
+        if labelled.where("sub_seed <> keep").isEmpty():
+            break
+        sources = labelled.where("sub_seed = keep").select(*CELL, (F.col("value") * ID_STEP + F.col("sub_seed")).alias("label"))
+    else:
+        raise RuntimeError(f"the repair did not end in {max_rounds} rounds")
+    out = cells.join(labelled, CELL, "left")
+    return out.select(*CELL, F.coalesce("value", F.lit(FREE)).cast("int").alias("value"), F.coalesce("sub_seed", F.lit(0)).cast("int").alias("sub_seed"))
+
+
+def keep_connected(labelled: DataFrame, seeds: DataFrame, neighbourhood: int = 6, block: int = BLOCK) -> DataFrame:
+    """Cells that their own seed reaches over cells of its label; the others become EMPTY, so they are left out.
+
+    The connected parts of each label are found by blocks; those that hold a seed of their label stay.
     """
-    offsets = _offsets(neighbourhood)
-    faces = _offsets(neighbourhood)
-
-    def parts(label: np.ndarray, sub: np.ndarray, at: np.ndarray) -> np.ndarray:
-        while True:
-            old = sub[tuple(at.T)]
-            new = old.copy()
-            for o in faces:
-                to = tuple((at + o).T)
-                same = (label[to] == label[tuple(at.T)]) & (label[to] > FREE)
-                new = np.where(same, np.minimum(new, sub[to]), new)
-            if (new == old).all():
-                return sub
-            sub = sub.copy()
-            sub[tuple(at.T)] = new
-
-    def run(cells: pd.DataFrame, seed_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(cells):
-            return pd.DataFrame({c: [] for c in (*CELL, "value", "sub_seed")})
-        grid, at, shift = _dense(cells)
-        places, seed_rows = _places(seed_rows, grid, shift)
-        word = seed_rows["seed_id"].to_numpy(np.int64) * ID_STEP + seed_rows["sub_seed"].to_numpy(np.int64)
-        label, sub = np.zeros(grid.shape, np.int64), np.zeros(grid.shape, np.int64)
-        for _ in range(max_rounds):
-            packed, level = _flood_dense(grid, places, word, offsets)
-            label, sub = packed >> 31, packed & (ID_STEP - 1)
-            sub = parts(label, sub, at)
-            live = at[label[tuple(at.T)] > FREE]
-            if not len(live):
-                break
-            ids, subs = label[tuple(live.T)], sub[tuple(live.T)]
-            least = pd.Series(subs).groupby(ids).min()
-            bad = subs != least.loc[ids].to_numpy()
-            if not bad.any():
-                break
-            places, word = live[~bad], ids[~bad] * ID_STEP + subs[~bad]
-            if not len(places):
-                break
-        else:
-            raise RuntimeError(f"the repair did not end in {max_rounds} rounds")
-        value = np.where(label[tuple(at.T)] > FREE, label[tuple(at.T)], FREE)
-        return cells[CELL].assign(value=value, sub_seed=np.where(value > FREE, sub[tuple(at.T)], 0))
-
-    return _per_grid(voxels, seeds, run, "grid_id long, x int, y int, z int, value int, sub_seed int")
-
-
-def keep_connected(labelled: DataFrame, seeds: DataFrame, neighbourhood: int = 6) -> DataFrame:
-    """Cells that their own seed reaches over cells of its label; the others become EMPTY, so they are left out."""
-    offsets = _offsets(neighbourhood)
-
-    def run(cells: pd.DataFrame, seed_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(cells) or not len(seed_rows):
-            return pd.DataFrame({c: [] for c in (*CELL, "value")})
-        grid, at, shift = _dense(cells)
-        grid[tuple(at.T)] = cells["value"].to_numpy(np.int64)
-        places, seed_rows = _places(seed_rows, grid, shift)
-        reached = np.zeros(grid.shape, bool)
-        mine = grid[tuple(places.T)] == seed_rows["seed_id"].to_numpy()
-        front = places[mine]
-        reached[tuple(front.T)] = True
-        while len(front):
-            to = (front[:, None, :] + offsets[None]).reshape(-1, 3)
-            of = np.repeat(grid[tuple(front.T)], len(offsets))
-            to = to[(grid[tuple(to.T)] == of) & ~reached[tuple(to.T)]]
-            front = np.unique(to, axis=0)
-            reached[tuple(front.T)] = True
-        return cells[reached[tuple(at.T)]][[*CELL, "value"]]
-
-    left = occupied(with_grid(labelled)).select(*CELL, "value")
-    return left.groupBy("grid_id").cogroup(with_grid(seeds).groupBy("grid_id")).applyInPandas(run, "grid_id long, x int, y int, z int, value int")
+    parts = cut(grid_parts(occupied(with_grid(labelled)), neighbourhood, block))
+    own = with_grid(seeds).select("grid_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), F.col("seed_id").alias("value"))
+    held = parts.join(own, [*CELL, "value"], "left_semi").select("grid_id", "part").distinct()
+    return parts.join(held, ["grid_id", "part"], "left_semi").select(*CELL, "value")
 
 
 def least_sub_seed(labelled: DataFrame) -> DataFrame:

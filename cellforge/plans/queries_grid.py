@@ -187,13 +187,13 @@ _FLOOD = (
 @query(_FLOOD.format(cells=grid_sql(), o=N6))
 def flood_fragments(spark, sf):
     """ITR1 over the six-neighbourhood."""
-    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 6).drop("grid_id")
+    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 6, block=16).drop("grid_id")
 
 
 @query(_FLOOD.format(cells=grid_sql(), o=N26))
 def flood_fragments_26(spark, sf):
     """ITR1 over the 26-neighbourhood."""
-    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 26).drop("grid_id")
+    return fracture.flood(cells_of(spark, sf), seed_table(spark, FLOOD_SEEDS), 26, block=16).drop("grid_id")
 
 
 @query(_FLOOD.format(cells=grid_sql(), o=N6))
@@ -210,7 +210,7 @@ def _sub_seeds(spark):
 @query(None)
 def flood_repaired(spark, sf):
     """ITR1 to ITR4, without SQL: an iteration within an iteration; tests check connectedness and against a plain version."""
-    return fracture.flood_repaired(cells_of(spark, sf, 16), _sub_seeds(spark), 6).drop("grid_id")
+    return fracture.flood_repaired(cells_of(spark, sf, 16), _sub_seeds(spark), 6, block=8).drop("grid_id")
 
 
 @query(f"WITH {labelled_sql(16)} SELECT value, min((x + y * 3 + z * 7) % 5 + 1) AS sub_seed FROM lab GROUP BY value")
@@ -232,7 +232,7 @@ _PART_SEEDS = [(2 + (x // 4 + y // 4) % 2, x, y, z) for x, y, z in ((1, 1, 1), (
 def connected_fragments(spark, sf):
     """ITR5, ITR6."""
     lab = cells_of(spark, sf).withColumn("value", F.when((F.floor(F.col("x") / 4) + F.floor(F.col("y") / 4)) % 2 == 0, 2).otherwise(3))
-    return fracture.keep_connected(lab, seed_table(spark, _PART_SEEDS)).drop("grid_id")
+    return fracture.keep_connected(lab, seed_table(spark, _PART_SEEDS), block=8).drop("grid_id")
 
 
 def _erosion_sql(kind: str, size: int, probability: float, threshold: float) -> str:
