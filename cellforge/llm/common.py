@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables written in each open settled() of a thread, the innermost last.
+_open = threading.local()
+#: Shuffle files of a query are deleted when it has ended, not when the driver happens to collect what points to them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the checkpoint folder: columnar, compressed, read by column. The table is deleted
-    when the application ends. It gets no _SUCCESS file, as nobody else reads it. For that file and for each folder that it
-    makes, a local file system would start a process in the driver, which counts with all of the driver's memory until its
-    program is loaded; so there the folders are made first. Free memory of the driver goes back to the system.
+    when the application ends, or at the end of the settled() around it. It gets no _SUCCESS file, as nobody else reads it.
+    For that file and for each folder that it makes, a local file system would start a process in the driver, which counts with all
+    of the driver's memory until its program is loaded; so there the folders are made first. The shuffle files of the query
+    are deleted at once, and free memory of the driver goes back to the system.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -30,11 +39,41 @@ def written(df: DataFrame) -> DataFrame:
     at = sc._jvm.org.apache.hadoop.fs.Path(passing(spark, path))
     if at.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
         sc._jvm.java.io.File(f"{at.toUri().getPath()}/_temporary/0").mkdirs()
-    df.write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        # the plan is made anew, as a plan keeps the setting that it was made under
+        df.select("*").write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     give_back(spark)
+    if getattr(_open, "paths", None):
+        _open.paths[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make() as a written table, after which the tables that were written on the way are deleted.
+
+    What make() returns must be all that is used of them. Calls may be nested; an error leaves the tables to the end of the
+    application.
+    """
+    if not hasattr(_open, "paths"):
+        _open.paths = []
+    _open.paths.append([])
+    try:
+        out = written(make())
+    finally:
+        *passed, last = _open.paths.pop() or [None]
+    sc = spark.sparkContext
+    for path in passed:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    if _open.paths:
+        _open.paths[-1].append(last)
+    return out
+
+
 def give_back(spark: SparkSession) -> None:
     """Returns memory that the driver's two processes have freed, but their allocators hold, to the system.
 

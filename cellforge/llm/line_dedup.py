@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, fresh, table, written
+from .common import WORD_GAP, fresh, settled, table, written
 
 #: Lines of fewer words are only compared exactly: a line of one word is an edit away from every other one.
 FUZZY_WORDS = 2
@@ -128,15 +128,15 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     """(pos, near): each distinct line that an earlier one is a word edit away from, with the earliest such line."""
-    ends = distinct.where("ends is not null").select("doc_id", "line_no", F.posexplode("ends").alias("role", "key"))
+    ends = distinct.where("ends is not null").select("doc_id", "text_hash", "line_no", F.posexplode("ends").alias("role", "key"))
     shared = ends.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = (
         _dealt(ends, ["key"]).join(_dealt(shared, ["key"]).hint("shuffle_hash"), ["key", "again"], "left_semi")
-        .groupBy(F.col("doc_id").alias("__id"), "line_no").agg(F.collect_set("role").alias("roles"))
-        .groupBy("__id").agg(F.collect_list(F.struct("line_no", "roles")).alias("wanted"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "line_no").agg(F.collect_set("role").alias("roles"))
+        .groupBy("__id", "__hash").agg(F.collect_list(F.struct("line_no", "roles")).alias("wanted"))
     )
     lines = (
-        base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["__id"]))
+        base.join(wanted.hint("shuffle_hash"), base["doc_id"].eqNullSafe(wanted["__id"]) & (base["text_hash"] == wanted["__hash"]))
         .select("doc_id", "text_hash", "wanted", F.split("text", "\n").alias("lines"))
         .select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda x: F.struct(x["line_no"].alias("line_no"), F.get("lines", x["line_no"]).alias("line"), x["roles"].alias("roles")))).alias("x"))
         .select(F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), _normal(_trim(F.col("x.line"))).alias("line"), "x.roles")
@@ -170,7 +170,7 @@ def _near(base: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     earliest = variants.groupBy(*cut_key).agg(F.min("pos").alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = _dealt(variants, cut_key).join(_dealt(earliest, cut_key).hint("shuffle_hash"), [*cut_key, "again"]).where("pos <> kept").groupBy("pos", "kept").agg(F.min("place").alias("place"))
-    text = lines.select("pos", "w")
+    text = lines.select("pos", "w").dropDuplicates(["pos"])  # rows equal in id and text give the same lines
     both = pairs.join(text, "pos").join(text.select(F.col("pos").alias("kept"), F.col("w").alias("v")), "kept")
     w, v, at = F.col("w"), F.col("v"), F.col("place")
     after = lambda a, b: F.slice(a, at + F.when(F.size(a) >= F.size(b), 2).otherwise(1), F.size(a) + 1)
@@ -219,13 +219,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts stay as they are. `count_col` names a column for the number of removed lines. An empty table gives no
     rows.
     """
-    decided = line_decisions(docs, id_col, text_col, fuzzy_words)
-    names = {n: fresh(docs.columns, f"__{n}") for n in ("hash", "id", "all", "gone", "text")}
+    decided = settled(docs.sparkSession, lambda: line_decisions(docs, id_col, text_col, fuzzy_words))
+    names = {n: fresh(docs.columns, f"__{n}") for n in ("hash", "id", "other", "gone", "text")}
     col = {n: F.col(c) for n, c in names.items()}
     rows = docs.withColumn(names["hash"], _row_hash(F.col(text_col)))
-    per_id = decided.groupBy(F.col("doc_id").alias(names["id"])).agg(F.collect_list(F.struct("text_hash", F.col("removed.line_no").alias("gone"))).alias(names["all"]))
-    joined = rows.join(per_id.hint("shuffle_hash"), rows[id_col].eqNullSafe(per_id[names["id"]]), "left")
-    joined = joined.withColumn(names["gone"], F.get(F.filter(col["all"], lambda x: x["text_hash"] == col["hash"]), F.lit(0))["gone"])
+    gone = decided.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["other"]), F.col("removed.line_no").alias(names["gone"]))
+    joined = rows.join(gone.hint("shuffle_hash"), rows[id_col].eqNullSafe(gone[names["id"]]) & (rows[names["hash"]] == gone[names["other"]]), "left")
     # what stands between removed lines stays; the text is split only where lines go
     edges = F.concat(F.array(F.lit(-1)), col["gone"])
     between = lambda lines: F.flatten(F.transform(edges, lambda e, i: F.slice(lines, e + 2, F.coalesce(F.get(col["gone"], i), F.size(lines)) - e - 1)))

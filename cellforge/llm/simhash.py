@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, written
+from .common import cut, settled, small_batches, table, written
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -298,7 +298,7 @@ def node(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
     """`docs` with one document (the least id, then the least text hash; null ids last) of each group of similar_links()."""
-    parts = cut(connected_components(similar_links(docs, id_col, text_col, least, shingle)).withColumnRenamed("node", "__node"))
+    parts = settled(docs.sparkSession, lambda: connected_components(similar_links(docs, id_col, text_col, least, shingle)).withColumnRenamed("node", "__node"))
     found = docs.select(node(docs, id_col, text_col).alias("__node"), F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h")).alias("rank"))
     best = found.join(parts, "__node").groupBy("root").agg(F.min(F.struct("rank", "__node")).alias("best")).select("best.__node")
     gone = parts.select("__node").join(best, "__node", "left_anti")

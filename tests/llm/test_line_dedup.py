@@ -111,7 +111,9 @@ def test_template_lines_of_one_key_are_split(spark):
     try:
         out = line_dedup.dedup_lines(df, count_col="n_removed")
         rows = out.collect()
-        plan = out._jdf.queryExecution().toString()
+        decided = line_dedup.line_decisions(df)
+        decided.collect()
+        plan = decided._jdf.queryExecution().toString()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -122,4 +124,5 @@ def test_template_lines_of_one_key_are_split(spark):
 
 def test_plan_has_no_python(spark, sf):
     plan = line_dedup.op1_line_dedup(spark, sf)._jdf.queryExecution().toString()
+    plan += line_dedup.line_decisions(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
