@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import fresh, table, written
+from cellforge.llm.common import fresh, settled, table, written
 from cellforge.llm.decontaminate import decontaminate
 from cellforge.llm.language_id import UNKNOWN, fit_language_model, held_out, identify_languages
 from cellforge.llm.line_dedup import dedup_lines
@@ -31,10 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one (see line_dedup.line_decisions); n_chars follows the text.
 
-    Documents that lose their last line go; null and empty texts stay. A word edit is let pass in lines of CLEAN_WORDS words
+    Documents that lose their last line go; null and empty texts stay; without a column n_chars there is none to follow. A word edit is let pass in lines of CLEAN_WORDS words
     or more: in shorter ones a word is over an eighth of the line, and many clean short lines differ in one.
     """
-    return dedup_lines(docs, fuzzy_words=CLEAN_WORDS).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    out = dedup_lines(docs, fuzzy_words=CLEAN_WORDS)
+    kinds = {c.lower(): k for c, k in docs.dtypes}
+    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])).select(*docs.columns) if "n_chars" in kinds else out
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents; each stage's result is written and read again by the next, which then replaces it."""
+
+    def after(n: int) -> DataFrame:
+        """The written result of the first n stages."""
+        return settled(spark, lambda: STAGES[n - 1][1](spark, after(n - 1), sf_dir)) if n else table(spark, sf_dir, "documents")
+
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)
