@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from cellforge.functions.geometry import point_in_triangle, triangle_area, trian
 from cellforge.functions.vec import Vec
 
 from .scan import least_of_groups, place_in_group
+from .simplify import simplified
 from .spatial import A, B, C, column_hits
 
 
@@ -212,107 +211,9 @@ def subdivide(triangles: DataFrame, largest: float, max_rounds: int = 32) -> Dat
 # simplification
 
 
-def _simplify(points: np.ndarray, faces: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """Quadric edge collapses, cheapest first, until `target` faces are left; flips of a face's normal are refused."""
-    p = points.astype(float).copy()
-    f = [list(x) for x in faces]
-    alive = [True] * len(f)
-    around: list[set[int]] = [set() for _ in p]
-    for i, t in enumerate(f):
-        for v in t:
-            around[v].add(i)
-    q = np.zeros((len(p), 4, 4))
-    for t in f:
-        n = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
-        size = np.linalg.norm(n)
-        if size:
-            plane = np.append(n / size, -(n / size) @ p[t[0]])
-            q[t] += np.outer(plane, plane)
-    version = [0] * len(p)
-
-    def cost(a: int, b: int) -> tuple[float, np.ndarray]:
-        m = q[a] + q[b]
-        ends = [p[a], p[b], (p[a] + p[b]) / 2]
-        if abs(np.linalg.det(m[:3, :3])) > 1e-10:
-            ends.append(-np.linalg.solve(m[:3, :3], m[:3, 3]))
-        errors = [float(np.append(x, 1) @ m @ np.append(x, 1)) for x in ends]
-        k = int(np.argmin(errors))
-        return errors[k], ends[k]
-
-    heap: list[tuple] = []
-
-    def push(a: int, b: int) -> None:
-        a, b = min(a, b), max(a, b)
-        e, x = cost(a, b)
-        heapq.heappush(heap, (e, a, b, version[a], version[b], tuple(x)))
-
-    for a, b in {tuple(sorted((t[i], t[(i + 1) % 3]))) for t in f for i in range(3)}:
-        push(a, b)
-    left = len(f)
-    while left > target and heap:
-        _, a, b, va, vb, x = heapq.heappop(heap)
-        if (va, vb) != (version[a], version[b]):
-            continue
-        x = np.array(x)
-        shared = around[a] & around[b]
-        rest = (around[a] | around[b]) - shared
-        ring = lambda v: {w for i in around[v] for w in f[i]} - {a, b}
-        if len(ring(a) & ring(b)) > 2:
-            continue
-        flips = False
-        for i in rest:
-            t = f[i]
-            old = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
-            w = [x if v in (a, b) else p[v] for v in t]
-            new = np.cross(w[1] - w[0], w[2] - w[0])
-            if old @ new <= 0.2 * np.linalg.norm(old) * np.linalg.norm(new):
-                flips = True
-                break
-        if flips:
-            continue
-        for i in shared:
-            alive[i] = False
-            for v in f[i]:
-                around[v].discard(i)
-            left -= 1
-        for i in list(around[b]):
-            f[i] = [a if v == b else v for v in f[i]]
-            around[a].add(i)
-        around[b].clear()
-        p[a] = x
-        q[a] = q[a] + q[b]
-        version[a] += 1
-        version[b] = -1
-        for w in {v for i in around[a] for v in f[i]} - {a}:
-            push(a, w)
-    kept = np.array([t for t, ok in zip(f, alive) if ok], np.int64).reshape(-1, 3)
-    used = np.unique(kept)
-    return np.column_stack([used, p[used]]) if len(used) else np.zeros((0, 4)), kept
-
-
 def simplify(vertices: DataFrame, faces: DataFrame, target: int) -> DataFrame:
-    """Triangles of each mesh after quadric simplification to `target` faces; meshes at or below it stay.
-
-    Collapses depend on one another, so a mesh is one group; meshes run side by side.
-    """
-
-    def run(key: tuple, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        columns = [f"{p}{k}" for p in "abc" for k in "xyz"]
-        ids = v["vertex_id"].to_numpy()
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids, f[["v0", "v1", "v2"]].to_numpy(), sorter=order)].reshape(-1, 3)
-        points = v[["x", "y", "z"]].to_numpy(float)
-        kept, tri = _simplify(points, at, target)
-        place = {int(r[0]): r[1:] for r in kept}
-        rows = np.array([np.concatenate([place[int(i)] for i in t]) for t in tri]).reshape(-1, 9)
-        out = pd.DataFrame(rows, columns=columns)
-        out.insert(0, "tri_id", np.arange(len(out)))
-        out.insert(0, "mesh_id", key[0])
-        return out
-
-    v = vertices.select(F.col("mesh_id").alias("mesh_id"), "vertex_id", "x", "y", "z")
-    f = faces.select(F.col("mesh_id").alias("mesh_id"), "face_id", "v0", "v1", "v2")
-    return v.groupBy("mesh_id").cogroup(f.groupBy("mesh_id")).applyInPandas(run, "mesh_id long, tri_id long, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz"))
+    """Triangles of each mesh after quadric simplification to `target` faces (see simplify.simplified); tri_id is the face's."""
+    return triangles_of(*simplified(vertices, faces, target))
 
 
 def signed_volume(triangles: DataFrame) -> DataFrame:

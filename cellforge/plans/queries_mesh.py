@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellforge.functions import geometry as G
 from cellforge.functions.cells import noise, noise_sql
 from cellforge.functions.vec import Vec, chebyshev, euclid, manhattan
-from cellforge.operators import clusters, mesh as M, metadata, seeding, spatial, surface
+from cellforge.operators import clusters, mesh as M, metadata, seeding, simplify, spatial, surface
 from cellforge.operators.scan import global_scan
 
 from .fixtures import DIMS, LO, MESH_SQL, POINTS_SQL, RAYS_SQL, SIZE, TRIANGLES_SQL, labelled, labelled_sql, mesh, octahedra, points, rays, shell, shell_sql, table, triangles
@@ -435,10 +435,80 @@ def iso_surfaces(spark, sf):
     return a.join(v.groupBy("label").agg(F.count("*").alias("vertices")), "label").select("label", "triangles", (F.col("triangles") / 2).alias("half"), "area", "vertices")
 
 
-@query(None)
+def _collapses_sql() -> str:
+    terms, at = simplify.TERMS, {"x": "px", "y": "py", "z": "pz", "w": "1"}
+    error = " + ".join(f"{1 if t[0] == t[1] else 2} * q{t} * {at[t[0]]} * {at[t[1]]}" for t in terms)
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    rows = ["qxx", "qxy", "qxz", "qxy", "qyy", "qyz", "qxz", "qyz", "qzz"]
+    least = [det([f"(-q{'xyz'[i // 3]}w)" if i % 3 == k else c for i, c in enumerate(rows)]) for k in range(3)]
+    old, new = cross_sql("v", "u", "w"), cross_sql("p", "u", "w")
+    dot = lambda a, b: " + ".join(f"{x} * {y}" for x, y in zip(a, b))
+    point = lambda n, xyz, where="": f"SELECT mesh_id, a, b, n_faces, {n} AS n, {', '.join(f'{c} AS p{k}' for k, c in zip('xyz', xyz))}, {', '.join(f'q{t}' for t in terms)} FROM d {where}"
+    return f"""WITH {MESH_SQL},
+        pl AS (SELECT ft.mesh_id, unnest([v0, v1, v2]) AS vertex_id, {NX} / {LEN} AS nx, {NY} / {LEN} AS ny, {NZ} / {LEN} AS nz, -({NX} * ax + {NY} * ay + {NZ} * az) / {LEN} AS nw FROM ft JOIN f ON f.mesh_id = ft.mesh_id AND f.face_id = ft.tri_id),
+        qv AS (SELECT v.*, {', '.join(f'sum(n{t[0]} * n{t[1]}) AS q{t}' for t in terms)} FROM v JOIN pl USING (mesh_id, vertex_id) GROUP BY ALL),
+        co AS (SELECT mesh_id, v0 AS v, v1 AS u, v2 AS w FROM f UNION ALL SELECT mesh_id, v1, v2, v0 FROM f UNION ALL SELECT mesh_id, v2, v0, v1 FROM f),
+        e AS (SELECT mesh_id, least(v, u) AS a, greatest(v, u) AS b, count(*) AS n_faces FROM co GROUP BY ALL),
+        rim AS (SELECT DISTINCT mesh_id, unnest([a, b]) AS v FROM e WHERE n_faces <> 2),
+        d AS (SELECT e.*, k.v IS NULL AS free, {', '.join(f'i.{k} AS a{k}, j.{k} AS b{k}' for k in 'xyz')}, {', '.join(f'i.q{t} + j.q{t} AS q{t}' for t in terms)} FROM e
+          JOIN qv i ON i.mesh_id = e.mesh_id AND i.vertex_id = a JOIN qv j ON j.mesh_id = e.mesh_id AND j.vertex_id = b
+          LEFT JOIN rim k ON k.mesh_id = e.mesh_id AND k.v = a LEFT JOIN rim l ON l.mesh_id = e.mesh_id AND l.v = b
+          WHERE (k.v IS NULL) = (l.v IS NULL) AND n_faces = CASE WHEN k.v IS NULL THEN 2 ELSE 1 END),
+        c AS (SELECT *, round({error}, {simplify.DIGITS}) + 0 AS cost FROM ({point(0, [f'a{k}' for k in 'xyz'])} UNION ALL {point(1, [f'b{k}' for k in 'xyz'])} UNION ALL {point(2, [f'(a{k} + b{k}) * 0.5::DOUBLE' for k in 'xyz'])}
+          UNION ALL {point(3, [f'{x} / {det(rows)}' for x in least], f'WHERE free AND abs({det(rows)}) > {simplify.SINGULAR}')})),
+        m AS (SELECT *, {noise_sql('a', 'b', '1')} AS key FROM c QUALIFY row_number() OVER (PARTITION BY mesh_id, a, b ORDER BY cost, n) = 1),
+        en AS (SELECT *, a AS v, b AS other FROM m UNION ALL SELECT *, b, a FROM m),
+        tu AS (SELECT DISTINCT mesh_id, a, b FROM (SELECT en.mesh_id, en.a, en.b, px, py, pz, {', '.join(f'{c}v.{k} AS {c}{k}' for c in 'vuw' for k in 'xyz')} FROM en JOIN co ON co.mesh_id = en.mesh_id AND co.v = en.v AND co.u <> other AND co.w <> other
+          JOIN v vv ON vv.mesh_id = co.mesh_id AND vv.vertex_id = co.v JOIN v uv ON uv.mesh_id = co.mesh_id AND uv.vertex_id = co.u JOIN v wv ON wv.mesh_id = co.mesh_id AND wv.vertex_id = co.w)
+          WHERE {dot(old, new)} <= sqrt(({dot(old, old)}) * ({dot(new, new)})) * {simplify.TURNS}::DOUBLE + 1e-12),
+        ne AS (SELECT DISTINCT mesh_id, v, unnest([u, w]) AS near FROM co),
+        sh AS (SELECT m.mesh_id, a, b, n_faces, count(*) AS n FROM m JOIN ne i ON i.mesh_id = m.mesh_id AND i.v = a JOIN ne j ON j.mesh_id = m.mesh_id AND j.v = b AND j.near = i.near GROUP BY ALL),
+        fo AS (SELECT DISTINCT m.mesh_id, a, b FROM m JOIN co i ON i.mesh_id = m.mesh_id AND i.v = a JOIN co j ON j.mesh_id = m.mesh_id AND j.v = b AND least(i.u, i.w) = least(j.u, j.w) AND greatest(i.u, i.w) = greatest(j.u, j.w)),
+        ok AS (SELECT m.* FROM m ANTI JOIN tu USING (mesh_id, a, b) ANTI JOIN fo USING (mesh_id, a, b) ANTI JOIN (SELECT * FROM sh WHERE n <> n_faces) s USING (mesh_id, a, b)),
+        own AS (SELECT mesh_id, v, min((cost, key, a, b)) AS r FROM (SELECT *, unnest([a, b]) AS v FROM ok) GROUP BY ALL),
+        wide AS (SELECT mesh_id, v, min(r) AS r FROM (SELECT * FROM own UNION ALL SELECT ne.mesh_id, near, r FROM ne JOIN own USING (mesh_id, v)) GROUP BY ALL)
+        SELECT ok.mesh_id, a, b, n_faces, round(cost, 6) AS cost, round(px, 6) AS x, round(py, 6) AS y, round(pz, 6) AS z FROM ok
+        JOIN wide i ON i.mesh_id = ok.mesh_id AND i.v = a AND i.r = (cost, key, a, b) JOIN wide j ON j.mesh_id = ok.mesh_id AND j.v = b AND j.r = (cost, key, a, b)"""
+
+
+@query(_collapses_sql(), zeros=("x", "y", "z"))
+def first_collapses(spark, sf):
+    """MSH13, FN21: the edges that collapse in the first choice, with quadrics, best points and tests."""
+    v, f = mesh(spark, sf)
+    return simplify.collapses(simplify.quadrics(v, f), f).select("mesh_id", "a", "b", "n_faces", *R(("cost", F.col("cost")), ("x", F.col("x")), ("y", F.col("y")), ("z", F.col("z"))))
+
+
+@query("SELECT m AS mesh_id, true AS at_target, true AS on_vertices, true AS no_edge_over_two FROM range(4) t(m)")
 def simplified_meshes(spark, sf):
-    """MSH13, without SQL: edge collapses in order of their cost; tests check the counts, the surface and the error."""
-    return M.simplify(*mesh(spark, sf), 400)
+    """MSH13: meshes at their target (one face below it where the last edge is an inner one); every face has three vertices of
+    the mesh, no edge more than two faces."""
+    v, f = simplify.simplified(*mesh(spark, sf), 400)
+    sizes = f.groupBy("mesh_id").agg(F.count("*").between(399, 400).alias("at_target"))
+    c = simplify.corners(f)
+    held = c.join(v.select("mesh_id", F.col("vertex_id").alias("v"), F.lit(1).alias("held")), ["mesh_id", "v"], "left").groupBy("mesh_id").agg((F.count("held") == F.count("*")).alias("on_vertices"))
+    edges = c.groupBy("mesh_id", F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).agg(F.count("*").alias("n")).groupBy("mesh_id").agg((F.max("n") <= 2).alias("no_edge_over_two"))
+    return sizes.join(held, "mesh_id").join(edges, "mesh_id").select("mesh_id", "at_target", "on_vertices", "no_edge_over_two")
+
+
+@query("SELECT 'm' || m || '_1f_24x24x1r_0it_0_' || t || 't.obj' AS name, true AS at_target, true AS in_range FROM range(4) a(m), (VALUES (900), (600)) k(t)")
+def exported_meshes(spark, sf):
+    """SNK15: each mesh brought to every target size, written as OBJ text under its name and counted in what is read again."""
+    from cellforge.operators.scan import place_in_group
+    from cellforge.sources.obj import obj_lines, parse_obj
+
+    out, (v, f) = None, mesh(spark, sf)
+    for n in (900, 600):
+        v, f = simplify.simplified(v, f, n)  # a smaller target starts from the larger one's mesh
+        places = place_in_group(v.select("mesh_id", "vertex_id"), "mesh_id", ["vertex_id"])
+        dense = v.join(places, ["mesh_id", "vertex_id"]).withColumn("vertex_id", F.col("place"))
+        faces = M.remap(f, places.select("mesh_id", F.col("vertex_id").alias("old"), F.col("place").alias("new")))
+        name = F.concat(F.lit("m"), "mesh_id", F.lit(f"_1f_24x24x1r_0it_0_{n}t.obj"))
+        lines = obj_lines(dense, faces).select(name.alias("mesh"), F.struct("part", "n").alias("line_no"), "line")
+        got_v, got_f = parse_obj(lines)
+        most = got_v.groupBy("mesh").agg(F.max("vertex_id").alias("last"))
+        part = got_f.join(most, "mesh").groupBy(F.col("mesh").alias("name")).agg(F.count("*").between(n - 1, n).alias("at_target"), (F.max(F.greatest("v0", "v1", "v2")) <= F.max("last")).alias("in_range"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _halves_sql(limit: float) -> str:
