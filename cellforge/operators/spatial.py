@@ -287,11 +287,13 @@ def face_adjacency(faces: DataFrame) -> DataFrame:
     return left.join(right, ["mesh_id", "v"]).where("a < b").groupBy("mesh_id", "a", "b").agg(F.count("*").alias("shared"))
 
 
-def best_neighbours(boxes: DataFrame, radius: int = 100, chunk: int = 4096) -> DataFrame:
+def best_neighbours(boxes: DataFrame, radius: int = 100, chunk: int | None = None) -> DataFrame:
     """(id, other, area): for each box the one within `radius` places in Morton order whose union has the least surface.
 
-    Places are cut into chunks that overlap by the radius, so a task holds one chunk, not the whole order.
+    Places are cut into chunks of twice the radius unless given, which overlap by the radius, so a box meets four times as many
+    as it needs, and a task holds some chunks, not the whole order.
     """
+    chunk = chunk or max(2 * radius, 1)
     places = boxes.select("id", "place", *[f"{n}_{c}" for n in ("min", "max") for c in "xyz"])
     chunks = F.array_distinct(F.transform(F.array(F.lit(-radius), F.lit(0), F.lit(radius)), lambda s: F.floor((F.col("place") + s) / chunk)))
     other = places.select(F.explode(chunks).alias("chunk"), *[F.col(c).alias(f"o_{c}") for c in places.columns])

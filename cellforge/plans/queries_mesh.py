@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellforge.functions import geometry as G
 from cellforge.functions.cells import noise, noise_sql
 from cellforge.functions.vec import Vec, chebyshev, euclid, manhattan
-from cellforge.operators import clusters, mesh as M, metadata, seeding, simplify, spatial, surface
+from cellforge.operators import clusters, mesh as M, metadata, seeding, simplify, spatial, surface, tree
 from cellforge.operators.scan import global_scan
 
 from .fixtures import DIMS, LO, MESH_SQL, POINTS_SQL, RAYS_SQL, SIZE, TRIANGLES_SQL, labelled, labelled_sql, mesh, octahedra, points, rays, shell, shell_sql, table, triangles
@@ -173,6 +173,13 @@ def nearest_hits(spark, sf):
     return spatial.nearest_hit(rays(spark, sf), triangles(spark, sf).drop("mesh_id")).select("ray_id", "tri_id", *R(("t", F.col("t"))))
 
 
+@query(f"{WITH_T}, {RAYS_SQL}, {_hits_sql()} SELECT ray_id, tri_id, round(t, 6) AS t, round(u, 6) AS u, round(v, 6) AS v, true AS visited FROM (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, tri_id) AS n FROM hit) WHERE n = 1", zeros=("u", "v"))
+def tree_hits(spark, sf):
+    """JN8, JN16: nearest hits by the traversal of a tree of boxes."""
+    found = tree.traverse(rays(spark, sf), tree.box_levels(triangles(spark, sf).drop("mesh_id")))
+    return found.select("ray_id", "tri_id", *R(("t", F.col("t")), ("u", F.col("u")), ("v", F.col("v"))), (F.col("visited") > 0).alias("visited"))
+
+
 @query(f"{WITH_T}, {RAYS_SQL}, {_hits_sql()} SELECT hit.ray_id, hit.tri_id, round(ax * (1 - u - v) + bx * u + cx * v, 6) AS x FROM hit JOIN t USING (tri_id)", zeros=("x",))
 def interpolated_hits(spark, sf):
     """JN18."""
