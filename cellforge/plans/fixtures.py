@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellforge.lineage import cut
+
 #: Cells an axis of the derived grid, and its seeds (id, x, y, z).
 N = 32
 SEEDS = [(2, 3, 4, 5), (3, 20, 21, 7), (4, 11, 30, 29), (5, 28, 2, 16)]
@@ -127,3 +129,21 @@ def octahedra(spark: SparkSession, sf: str, c: float = 16.25) -> DataFrame:
         order = (0, 1, 2) if s[0] * s[1] * s[2] > 0 else (0, 2, 1)
         faces.append(F.struct(F.lit(n).cast("long").alias("tri_id"), *[col.cast("double").alias(f"{v}{k}") for v, axis in zip("abc", order) for k, col in zip("xyz", corner(axis, s[axis]))]))
     return sizes.select("mesh_id", F.explode(F.array(*faces)).alias("t")).select("mesh_id", "t.*")
+
+
+#: Parts of the event table that arrive one after the other, and how much later than in order an event comes at most, in seconds.
+ARRIVALS, DELAY = 5, 3 * 3600
+
+
+def arriving_events(spark: SparkSession, sf: str, path: str) -> None:
+    """Writes the events to files in the order in which they might arrive, which is not that of their times: each is up to DELAY
+    late, by its id. A last event without a user, far in the future, moves the watermark past all others."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seconds = F.unix_seconds("ts")
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    width = (last + DELAY - first) // ARRIVALS + 1
+    part = F.floor((seconds - first + F.pmod(F.col("event_id") * 7919, F.lit(DELAY))) / width)
+    dealt = cut(events.withColumn("part", part))
+    for n in range(ARRIVALS):
+        dealt.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+    events.limit(1).withColumn("user_id", F.lit(None).cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(last + 400 * 24 * 3600))).coalesce(1).write.mode("append").parquet(path)

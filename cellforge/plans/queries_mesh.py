@@ -12,8 +12,9 @@ from cellforge.functions.cells import noise, noise_sql
 from cellforge.functions.vec import Vec, chebyshev, euclid, manhattan
 from cellforge.operators import clusters, mesh as M, metadata, seeding, simplify, spatial, surface, tree
 from cellforge.operators.scan import global_scan
+from cellforge.lineage import checkpoint_folder, passing
 
-from .fixtures import DIMS, LO, MESH_SQL, POINTS_SQL, RAYS_SQL, SIZE, TRIANGLES_SQL, labelled, labelled_sql, mesh, octahedra, points, rays, shell, shell_sql, table, triangles
+from .fixtures import DELAY, DIMS, LO, MESH_SQL, POINTS_SQL, RAYS_SQL, SIZE, TRIANGLES_SQL, arriving_events, labelled, labelled_sql, mesh, octahedra, points, rays, shell, shell_sql, table, triangles
 from .registry import query
 
 A, B, C = Vec.cols("ax", "ay", "az"), Vec.cols("bx", "by", "bz"), Vec.cols("cx", "cy", "cz")
@@ -732,7 +733,10 @@ def dense_ids(spark, sf):
 # telemetry, sources and sinks
 
 
-@query("WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stage FROM m), s AS (SELECT user_id, stage::BIGINT AS stage, any_value(event_type) AS event_type, min(ts) AS start, count(*) AS events FROM r GROUP BY user_id, stage) SELECT user_id, stage, event_type, round(epoch_us(lead(start) OVER w2 - start) / 1000000.0, 3) AS seconds, events FROM (SELECT user_id, stage, event_type, start, events FROM s) WINDOW w2 AS (PARTITION BY user_id ORDER BY stage)".replace("epoch_us(lead(start) OVER w2 - start)", "(epoch_us(lead(start) OVER w2) - epoch_us(start))"))
+_STAGES = "WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stage FROM m), s AS (SELECT user_id, stage::BIGINT AS stage, any_value(event_type) AS event_type, min(ts) AS start, count(*) AS events FROM r GROUP BY user_id, stage) SELECT user_id, stage, event_type, round(epoch_us(lead(start) OVER w2 - start) / 1000000.0, 3) AS seconds, events FROM (SELECT user_id, stage, event_type, start, events FROM s) WINDOW w2 AS (PARTITION BY user_id ORDER BY stage)".replace("epoch_us(lead(start) OVER w2 - start)", "(epoch_us(lead(start) OVER w2) - epoch_us(start))")
+
+
+@query(_STAGES)
 def event_stages(spark, sf):
     """WIN9, STR2, SNK17."""
     from cellforge.streaming.telemetry import stages
@@ -740,7 +744,10 @@ def event_stages(spark, sf):
     return stages(table(spark, sf, "events")).select("user_id", "stage", "event_type", F.round("seconds", 3).alias("seconds"), "events")
 
 
-@query("SELECT time_bucket(INTERVAL '10 seconds', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2")
+_SAMPLES = "SELECT time_bucket(INTERVAL '10 seconds', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2"
+
+
+@query(_SAMPLES)
 def event_samples(spark, sf):
     """STR1, AGG19."""
     from cellforge.streaming.telemetry import samples
@@ -748,18 +755,40 @@ def event_samples(spark, sf):
     return samples(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"), "largest")
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
-def event_stream(spark, sf):
-    """STR1 as a stream: the event table read as a stream to its end, in complete mode."""
+def _arrivals(spark, sf):
+    """(stream of the events in the order of their arrival, a folder for what comes of it)."""
     import uuid
 
-    name = f"event_stream_{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    agg = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{checkpoint_folder(spark)}/events-{uuid.uuid4().hex}"
+    passing(spark, at)
+    arriving_events(spark, sf, f"{at}/in")
+    schema = spark.read.parquet(f"{at}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at
+
+
+@query(_SAMPLES)
+def event_stream(spark, sf):
+    """STR1 as a stream: events arrive late and in several batches; periods behind the watermark are appended to files."""
+    from cellforge.streaming.telemetry import record_stream, samples
+
+    stream, at = _arrivals(spark, sf)
+    found = samples(stream, late=f"{DELAY} seconds")
+    record_stream(found, f"{at}/out", f"{at}/state").awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{at}/out")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "largest")
+
+
+@query(_STAGES)
+def streamed_stages(spark, sf):
+    """STR2, SNK17 as a stream: state by event time, with timers, over events that arrive late and in several batches."""
+    from cellforge.streaming.telemetry import record_stream, stage_stream
+
+    stream, at = _arrivals(spark, sf)
+    found = stage_stream(stream, late=f"{DELAY} seconds", idle=366 * 24 * 3600)
+    record_stream(found, f"{at}/out", f"{at}/state").awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{at}/out").where("user_id is not null")
+    seconds = (F.unix_micros("next_start") - F.unix_micros("start")).cast("double") / 1e6
+    return rows.select("user_id", "stage", "event_type", F.round(seconds, 3).alias("seconds"), "events")
 
 
 @query(f"WITH {MESH_SQL} SELECT mesh_id::VARCHAR AS mesh, face_id, v0, v1, v2 FROM f")

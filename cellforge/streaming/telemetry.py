@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def _micros(t: Column) -> Column:
@@ -31,30 +33,103 @@ def samples(events: DataFrame, every: str = "10 seconds", late: str | None = Non
     return events.groupBy(F.window(ts, every).alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("largest")).select(F.col("w.start").alias("start"), kind, "n", "total", "largest")
 
 
-def stage_stream(events: DataFrame, by: str = "user_id", kind: str = "event_type", ts: str = "ts") -> DataFrame:
-    """Finished stages of a stream of events: (by, kind, start, end, events). The state of a key is its open stage.
+#: The state store that state with timers needs, and the setting that names it.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 
-    Events of a key are taken in order of time within a micro-batch.
+
+class OpenStage(StatefulProcessor):
+    """State of a key: the events that an earlier one may still precede, and the stage that is open before them.
+
+    A timer goes off when the watermark has passed the first waiting event; then all events behind the watermark are taken in
+    order. A key that has been silent for `idle` gives its last stage, without an end, and leaves no state.
+    """
+
+    def __init__(self, columns: list[str], idle_ms: int):
+        self.columns, self.idle_ms = columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, tie long, kind string")
+        self.open = handle.getValueState("open", "stage long, kind string, start long, last long, events long")
+
+    def _wake(self, us: int, more_ms: int = 0) -> None:
+        self.handle.registerTimer(us // 1000 + 1 + more_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            new = list(zip(frame["us"].tolist(), frame["tie"].tolist(), frame["kind"].tolist()))
+            self.waiting.appendList(new)
+            first = min([x[0] for x in new] + ([] if first is None else [first]))
+        if first is not None:
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        now, out = list(self.open.get()) if self.open.exists() else None, []
+        later = [x for x in waiting if x[0] > passed]
+        idle_us = self.idle_ms * 1000
+        for us, _, kind in waiting[: len(waiting) - len(later)]:
+            if now and us - now[3] > idle_us:  # as the timer would have done
+                out.append((now[0], now[1], now[2], None, now[4]))
+                now = None
+            if now and now[1] == kind:
+                now[3], now[4] = us, now[4] + 1
+                continue
+            if now:
+                out.append((now[0], now[1], now[2], us, now[4]))
+            now = [now[0] + 1 if now else 1, kind, us, us, 1]
+        if later:
+            self.waiting.put(later)
+            self._wake(later[0][0])
+        else:
+            self.waiting.clear()
+        if now and passed - now[3] > idle_us:
+            out.append((now[0], now[1], now[2], None, now[4]))
+            self.open.clear()
+        elif now:
+            self.open.update(tuple(now))
+            self._wake(now[3], self.idle_ms + 1)
+        if out:
+            frame = pd.DataFrame(out, columns=self.columns[1:]).astype({self.columns[4]: "Int64"})
+            frame.insert(0, self.columns[0], key[0])
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def stage_stream(events: DataFrame, by: str = "user_id", kind: str = "event_type", ts: str = "ts", tie: str = "event_id", late: str = "1 hour", idle: int = 24 * 3600) -> DataFrame:
+    """Finished stages of a stream of events: (by, stage, kind, start, next_start, events), as stages() gives them.
+
+    Events may come in any order up to `late` behind the newest; a stage ends when the watermark has passed the first event of
+    another kind after it. A key without an event for `idle` seconds gives its last stage, with no next_start, and is
+    forgotten, so state is bounded by the keys that are active; its stages count from 1 again if it comes back. Events later
+    than `late` are dropped, as behind any watermark; those without a time or a key's type of `by` other than long are not
+    supported. Needs the state store STORE (see record_stages).
     """
-    schema = f"{by} long, {kind} string, start timestamp, `end` timestamp, events long"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        for k, t in zip(rows[kind], rows[ts]):
-            at = int(pd.Timestamp(t).value // 1000)
-            if now is None:
-                now = (k, at, 1)
-            elif now[0] == k:
-                now = (k, now[1], now[2] + 1)
-            else:
-                out.append((key[0], now[0], pd.Timestamp(now[1], unit="us"), pd.Timestamp(at, unit="us"), now[2]))
-                now = (k, at, 1)
-        state.update(now)
-        yield pd.DataFrame(out, columns=[by, kind, "start", "end", "events"])
-
-    return events.groupBy(by).applyInPandasWithState(run, schema, f"{kind} string, start_us long, events long", "append", "NoTimeout")
+    rows = events.select(F.col(by).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("at"), F.col(kind).alias("kind"), F.col(tie).cast("long").alias("tie"))
+    rows = rows.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    columns = ["key", "stage", "kind", "start_us", "next_us", "events"]
+    schema = "key long, stage long, kind string, start_us long, next_us long, events long"
+    out = rows.groupBy("key").transformWithStateInPandas(OpenStage(columns, idle * 1000), schema, "Append", "EventTime")
+    return out.select(F.col("key").alias(by), "stage", F.col("kind").alias(kind), F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("next_us").alias("next_start"), "events")
+
+
+def record_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Starts a query that appends the rows of a stream to Parquet files at `path`, each once: what is done is kept at `checkpoint`,
+    and a new start goes on from there. With `once` it ends when it has read all that is there."""
+    conf = rows.sparkSession.conf
+    before = conf.get(STORE_SETTING, None)
+    conf.set(STORE_SETTING, STORE)  # a query keeps the settings that it was started under
+    try:
+        writer = rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        conf.unset(STORE_SETTING) if before is None else conf.set(STORE_SETTING, before)
 
 
 def record_events(events: DataFrame, path: str) -> None:

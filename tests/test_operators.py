@@ -276,19 +276,6 @@ def test_metadata_files(spark, tmp_path):
     assert back.columns == ["Filename", "Voxelization size", "Points"] and back.first()[2] == "7"
 
 
-def test_stage_stream(spark, sf, tmp_path):
-    from cellforge.streaming.telemetry import record_events, stage_stream, stages
-
-    events = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 6").withColumn("ts", F.col("ts").cast("timestamp"))
-    record_events(events.coalesce(1), str(tmp_path / "events"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    q = stage_stream(stream).writeStream.outputMode("append").format("memory").queryName("finished_stages").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.user_id, r.event_type, r.start) for r in spark.table("finished_stages").collect()}
-    want = {(r.user_id, r.event_type, r.start) for r in stages(events).where("next_start is not null").collect()}
-    assert got == want
-
-
 def test_frontier_floods_the_whole_grid(spark):
     from cellforge.plans.catalog import QUERIES
 
