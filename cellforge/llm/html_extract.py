@@ -48,9 +48,9 @@ NEUTRAL = frozenset(
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
-#: What the score of a path below such an element counts for, beside that of other paths; nothing where an <article> or
-#: <main> outside such elements has this share of the text, or the text below them is shorter than this.
-AROUND_FACTOR, MARKED_SHARE, AROUND_LEAST = 0.05, 0.05, 500
+#: What the score of a path below such an element counts for, beside that of other paths; nothing where the page has text in an
+#: <article> or <main> outside such elements.
+AROUND_FACTOR = 0.05
 
 
 @cache
@@ -209,21 +209,20 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def _around_factor(found: list[Block]) -> float:
-    marked: dict[Node, bool] = {}
-    inside = around = 0
+    """0 if some text outside links stands in an <article> or <main> and not below an element named as around it, else
+    AROUND_FACTOR; how much text that is makes no difference."""
+    marked: dict[Node | None, bool] = {None: False}
     for b in found:
-        if b.node.around:
-            around += b.free
-            continue
-        way, node = [], b.node
-        while node is not None and node not in marked:
-            way.append(node)
-            node = node.parent
-        at = node is not None and marked[node]
-        for n in reversed(way):
-            at = marked[n] = at or n.tag in ("article", "main")
-        inside += b.free * at
-    return 0.0 if inside and (around < AROUND_LEAST or inside >= MARKED_SHARE * sum(b.free for b in found)) else AROUND_FACTOR
+        if b.free and not b.node.around:
+            way, node = [], b.node
+            while node not in marked:
+                way.append(node)
+                node = node.parent
+            for n in reversed(way):
+                marked[n] = marked[n.parent] or n.tag in ("article", "main")
+            if marked[b.node]:
+                return 0.0
+    return AROUND_FACTOR
 
 
 def path_scores(found: list[Block], spread: int = 2) -> dict[int, float]:

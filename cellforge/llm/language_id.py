@@ -19,6 +19,8 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 32_768
 SAMPLE_TOTAL = 196_608
+#: Code points of the pieces that the sample is made of.
+SAMPLE_PIECE = 1024
 #: Texts are parsed in pieces of this length, many at a time.
 PIECE = 1024
 #: Added to a table entry on whose symbol a new phrase starts.
@@ -93,14 +95,13 @@ class Model:
 
     @staticmethod
     def fit(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> "Model":
-        """`samples`: texts by language. Each gives as much of its sample as the bounds allow; `bits`, the logarithm of its
+        """`samples`: pieces of text by language, the first ones first. Each gives as much of its sample as the bounds allow; `bits`, the logarithm of its
         length, makes the phrases of samples of different lengths compare."""
         languages = sorted(samples)
         texts = {}
         for k in languages:
             parts = [normalise(t) for t in samples[k]]
-            share = max(256, 4 * chars // max(1, len(parts)))
-            texts[k] = np.concatenate([np.concatenate([p[:share], [32]]) for p in parts] or [np.zeros(0)]).astype(np.uint32)
+            texts[k] = np.concatenate([np.concatenate([p, [32]]) for p in parts] or [np.zeros(0)]).astype(np.uint32)
         size = min(chars, total // max(1, len(languages)))
         texts = {k: t[:size] for k, t in texts.items()}
         alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *texts.values()]))
@@ -215,19 +216,29 @@ def held_out(id_col: str, of: int, part: int) -> Column:
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on a bounded sample: the `sample_docs` labelled rows of each language that come first by a hash of the id.
+    """Fits on a bounded sample: pieces of SAMPLE_PIECE code points of the `sample_docs` documents of each language that come first
+    by a hash of id and text.
 
-    Null languages, ids and texts are left out. An empty table gives a model that knows no language.
+    Documents equal in id, text and language count once, however often they appear. A document's pieces come in the order of a hash
+    of their place, so any part of a text may be learned from; of a language first each document's first piece is taken,
+    then each one's second, until there are three times `chars` code points (letters and single spaces between are fewer). Null languages,
+    ids and texts are left out. An empty table gives a model that knows no language.
     """
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("id").isNotNull()).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select(F.col("id").alias("__id"), "n")
-    ids = [r["__id"] for r in chosen.collect()]
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id", "h"), "id", "h")
+    chosen = known.select("lang", "id", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("lang", "id", "h").collect()
     texts: dict[str, list[str]] = {}
-    if ids:
-        part = docs.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars).alias("text"))
-        for r in sorted(part.where("lang is not null and text is not null").collect(), key=lambda r: (r["lang"], str(r["id"]), r["text"])):
-            texts.setdefault(r["lang"], []).append(r["text"])
+    if chosen:
+        part = known.where(F.col("id").isin([r["id"] for r in chosen]) & F.col("h").isin([r["h"] for r in chosen]))
+        most = max(1, -(-3 * chars // SAMPLE_PIECE))
+        places = F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / SAMPLE_PIECE), F.lit(0)))
+        by_hash = F.slice(F.array_sort(F.transform(places, lambda k: F.struct(F.xxhash64("h", k).alias("rank"), k.alias("k")))), 1, most)
+        pieces = part.select("lang", "id", "h", F.posexplode(F.transform(by_hash, lambda x: F.substring("text", (x["k"] * SAMPLE_PIECE + 1).cast("int"), F.lit(SAMPLE_PIECE)))).alias("r", "piece"))
+        order = Window.partitionBy("lang").orderBy("r", F.xxhash64("id", "h"), "id", "h")
+        pieces = pieces.dropDuplicates(["lang", "id", "h", "r"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+        for r in pieces.orderBy("lang", "n").select("lang", "piece").collect():
+            texts.setdefault(r["lang"], []).append(r["piece"])
     return Model.fit(texts, chars)
 
 

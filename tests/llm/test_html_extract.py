@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from cellforge.llm.html_extract import blocks_of, content_paths, extract_main_text, main_text, op7_html_extraction, path_scores
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no, no.";</script><style>p{}</style></head>
@@ -167,3 +169,13 @@ def test_path_scores_against_a_plain_version(spark, sf):
         several += len(path_scores(found)) > len(content)
         assert [b.text for b in found if b.node.path in content] == want
     assert several > 5
+
+
+@pytest.mark.parametrize("n", [1, 480, 520, 20_000])
+def test_comments_never_stand_for_a_short_article(n):
+    comment = "A reader writes here, at length. " * (n // 33 + 1)
+    for name in ("comments-area", "newsletter", "ad-slot"):
+        page = f'<html><body><article><p>Short story.</p></article><div class="{name}"><p>{comment[:n]}</p></div></body></html>'
+        assert main_text(page) == "Short story."
+    # without marks the ratios decide, and a named element counts less but is not shut out
+    assert "A reader" in main_text(f'<html><body><div class="comments-area"><p>{comment}</p></div></body></html>')

@@ -119,3 +119,17 @@ def test_capitals_count_alike_at_every_length():
         for n in (4999, 5000, 5001):
             t = (word * 2000)[:n]
             assert qc.features(t)[2][at] == sum(x.isupper() for x in t) / n > 0
+
+
+def test_one_id_on_all_rows_and_any_part_of_a_text(spark):
+    """A model of rows that all have one id, two texts of which are on most rows; the telling part of a text is at its end."""
+    from cellforge.llm import language_id
+
+    rows = [(5, "der die das und nicht mit einer " * 40, "de")] * 3000 + [(5, "the and with of not that which " * 40, "en")] * 3000
+    rows += [(5, "0 1 2 3 " * 20_000 + f"qq{chr(97 + i)} zx{chr(98 + i)} wvw " * 9_000, "xx") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit_language_model(docs)
+    assert model.languages == ["de", "en", "xx"]
+    got = [k for k, _, _ in model.predict(["das ist nicht mit der", "that which is not of the", "wvw qqa zxb wvw qqb"])]
+    assert got == ["de", "en", "xx"]
+    assert language_id.fit_language_model(docs.limit(0)).languages == []
