@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -107,3 +108,27 @@ def test_repetitive_texts_and_excerpts(spark):
     docs = spark.createDataFrame([(1, " ".join(item[100:250])), (2, "a b c " + " ".join(item[300:340])), (3, "word " * 3000), (4, "word " * 30)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.equal_tokens for r in dec.contaminated(docs, bench).collect()}
     assert got == {(1, 1): 150, (3, 2): 2000}
+
+
+def met_by_a_mask(n, changed):
+    return any(all(m[p - o] == "0" for p in changed if o <= p < o + len(m)) for m in dec.MASKS for o in range(n - len(m) + 1))
+
+
+def test_recall_of_short_runs_by_length_and_substitutions(spark):
+    """Every placing of up to a fifth of substitutions within runs of 8 to 19 tokens, by the masks; some through the operator."""
+    share = {}
+    for n in range(8, 20):
+        for k in range(1, n // 5 + 1):
+            placings = list(itertools.combinations(range(1, n - 1), k))
+            share[n, k] = sum(met_by_a_mask(n, p) for p in placings) / len(placings)
+    assert min(share.values()) >= 0.9 and min(v for (n, _), v in share.items() if n >= 16) > 0.999, share
+    random.seed(30)
+    items, docs = [], []
+    for n in (8, 9, 10, 12, 15):
+        for p in itertools.combinations(range(1, n - 1), n // 5):
+            item = [f"t{random.randrange(10**6)}" for _ in range(n)]
+            copy = [f"x{random.randrange(10**6)}" if i in p else w for i, w in enumerate(item)]
+            items.append((len(items), " ".join(item)))
+            docs.append((len(docs), " ".join([*(f"y{random.randrange(10**6)}" for _ in range(30)), *copy, *(f"y{random.randrange(10**6)}" for _ in range(30))])))
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d == i for d, i in got) and len(got) >= 0.95 * len(docs)
