@@ -27,17 +27,15 @@ def grid_sql(n: int = N) -> str:
     return f"g AS (SELECT DISTINCT (l_orderkey % {n})::INT AS x, (l_partkey % {n})::INT AS y, (l_suppkey % {n})::INT AS z FROM lineitem)"
 
 
-def shell(spark: SparkSession, n: int = 24) -> DataFrame:
-    """A hollow ball, so with true empty space inside and out."""
-    x, y, z = F.floor(F.col("id") / (n * n)), F.floor(F.col("id") / n) % n, F.col("id") % n
-    r2 = sum(((2 * c - (n - 1)) * (2 * c - (n - 1)) for c in (x, y, z)), F.lit(0)) * 100
-    return spark.range(n**3).where(r2.between(9 * n * n, 81 * n * n)).select(F.lit(0).cast("long").alias("grid_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), F.lit(1).alias("value"))
+def shell(spark: SparkSession, sf: str, n: int = 24) -> DataFrame:
+    """The cells of the grid of n cells an axis that lie in a hollow ball, so with true empty space inside and out."""
+    r2 = sum(((2 * F.col(c) - (n - 1)) * (2 * F.col(c) - (n - 1)) for c in "xyz"), F.lit(0)) * 100
+    return grid(spark, sf, n).where(r2.between(9 * n * n, 81 * n * n))
 
 
 def shell_sql(n: int = 24) -> str:
-    at = "x, y, z"
     r2 = " + ".join(f"(2 * {c} - {n - 1}) * (2 * {c} - {n - 1})" for c in "xyz")
-    return f"g AS (SELECT {at} FROM (SELECT (i // {n * n})::INT AS x, (i // {n} % {n})::INT AS y, (i % {n})::INT AS z FROM range({n**3}) t(i)) WHERE 100 * ({r2}) BETWEEN {9 * n * n} AND {81 * n * n})"
+    return f"{grid_sql(n).replace('g AS', 'whole AS', 1)}, g AS (SELECT * FROM whole WHERE 100 * ({r2}) BETWEEN {9 * n * n} AND {81 * n * n})"
 
 
 def labelled(spark: SparkSession, sf: str, n: int = N) -> DataFrame:

@@ -133,7 +133,7 @@ def padded_grid(spark, sf):
     """MSH6."""
     from cellforge.operators.surface import pad_free
 
-    return pad_free(shell(spark, 16), (16, 16, 16)).drop("grid_id")
+    return pad_free(shell(spark, sf, 16), (16, 16, 16)).drop("grid_id")
 
 
 @query("SELECT n_nationkey, round(h, 6) AS hue, round(v - v * s * greatest(0, least(k5, 4 - k5, 1)), 6) AS r, round(v - v * s * greatest(0, least(k3, 4 - k3, 1)), 6) AS g, round(v - v * s * greatest(0, least(k1, 4 - k1, 1)), 6) AS b FROM (SELECT *, 0.8 AS s, 0.9 AS v, (h / 60 + 5) - 6 * floor((h / 60 + 5) / 6) AS k5, (h / 60 + 3) - 6 * floor((h / 60 + 3) / 6) AS k3, (h / 60 + 1) - 6 * floor((h / 60 + 1) / 6) AS k1 FROM (SELECT n_nationkey, (n_nationkey * 0.618033988749895::DOUBLE - floor(n_nationkey * 0.618033988749895::DOUBLE)) * 360 AS h FROM nation))")
@@ -153,7 +153,7 @@ def grid_sizes(spark, sf):
 @query(f"WITH {shell_sql()}, o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)) SELECT g.x, g.y, g.z, bool_or(h.x IS NULL) AS is_surface FROM g JOIN o ON g.x + dx BETWEEN 0 AND 23 AND g.y + dy BETWEEN 0 AND 23 AND g.z + dz BETWEEN 0 AND 23 LEFT JOIN g h ON h.x = g.x + dx AND h.y = g.y + dy AND h.z = g.z + dz GROUP BY 1, 2, 3")
 def surface_flags(spark, sf):
     """FLT2."""
-    return grid.surface_flags(shell(spark), (24, 24, 24)).drop("grid_id", "value")
+    return grid.surface_flags(shell(spark, sf), (24, 24, 24)).drop("grid_id", "value")
 
 
 @query(f"WITH {shell_sql()}, o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)), f AS (SELECT g.x, g.y, g.z, bool_or(h.x IS NULL) AS s FROM g JOIN o ON g.x + dx BETWEEN 0 AND 23 AND g.y + dy BETWEEN 0 AND 23 AND g.z + dz BETWEEN 0 AND 23 LEFT JOIN g h ON h.x = g.x + dx AND h.y = g.y + dy AND h.z = g.z + dz GROUP BY 1, 2, 3) SELECT 'outer' AS location, count(*) FILTER (WHERE s) AS n FROM f UNION ALL SELECT 'inner', count(*) FILTER (WHERE NOT s) FROM f UNION ALL SELECT 'both', count(*) FROM f")
@@ -161,7 +161,7 @@ def seed_locations(spark, sf):
     """FLT4."""
     out = None
     for where in ("outer", "inner", "both"):
-        part = seeding.candidates(shell(spark), (24, 24, 24), where).agg(F.count("*").alias("n")).select(F.lit(where).alias("location"), "n")
+        part = seeding.candidates(shell(spark, sf), (24, 24, 24), where).agg(F.count("*").alias("n")).select(F.lit(where).alias("location"), "n")
         out = part if out is None else out.union(part)
     return out
 
@@ -275,7 +275,7 @@ def despeckle(spark, sf):
 )
 def parity_fill(spark, sf):
     """ITR16."""
-    return grid.parity_fill(shell(spark, 16), (16, 16, 16)).drop("grid_id")
+    return grid.parity_fill(shell(spark, sf, 16), (16, 16, 16)).drop("grid_id")
 
 
 @query(f"WITH {POINTS_SQL}, c AS (SELECT *, least(greatest(floor((x + 4) / 0.5), 0), 15)::INT AS cx, least(greatest(floor((y + 4) / 0.5), 0), 15)::INT AS cy, least(greatest(floor((z + 4) / 0.5), 0), 15)::INT AS cz FROM p) SELECT cloud_id AS grid_id, cx AS x, cy AS y, cz AS z, arg_max(point_id, point_id)::INT AS value FROM c GROUP BY ALL")
@@ -404,7 +404,7 @@ _SURFACE = "o AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-1, 2) a(i),
 @query(f"WITH {shell_sql()}, {_SURFACE}, n AS (SELECT *, row_number() OVER (ORDER BY {_NOISE}, x, y, z) AS r FROM f) SELECT (row_number() OVER (ORDER BY x, y, z) + 1)::INT AS seed_id, x AS sx, y AS sy, z AS sz FROM n WHERE r <= 12")
 def uniform_seeds(spark, sf):
     """SMP6, SMP8, SMP11, WIN12, SET4."""
-    return seeding.uniform_seeds(shell(spark), 12, (24, 24, 24), "outer", seed=3).drop("grid_id")
+    return seeding.uniform_seeds(shell(spark, sf), 12, (24, 24, 24), "outer", seed=3).drop("grid_id")
 
 
 _LAWS = {
@@ -420,7 +420,7 @@ for _law in _LAWS:
     )
     def law_seeds(spark, sf, law=_law):
         """SMP8, EXT4."""
-        return seeding.uniform_seeds(shell(spark), 12, (24, 24, 24), "outer", law=law, seed=3).drop("grid_id")
+        return seeding.uniform_seeds(shell(spark, sf), 12, (24, 24, 24), "outer", law=law, seed=3).drop("grid_id")
 
 
 @query(
@@ -431,17 +431,17 @@ for _law in _LAWS:
 )
 def near_seeds(spark, sf):
     """SMP7, SET2."""
-    return seeding.near_seeds(shell(spark), seed_table(spark, [(2, 1, 12, 12), (3, 20, 12, 12)]), 9, (24, 24, 24), seed=5).drop("grid_id")
+    return seeding.near_seeds(shell(spark, sf), seed_table(spark, [(2, 1, 12, 12), (3, 20, 12, 12)]), 9, (24, 24, 24), seed=5).drop("grid_id")
 
 
 @query(
     "SELECT i AS id, "
-    + ", ".join("round(" + " + ".join(f"((i // {b ** k}) % {b}) / {float(b ** (k + 1))}" for k in range(12)) + f", 9) AS h{b}" for b in (2, 3, 5))
-    + " FROM range(1000) t(i)"
+    + ", ".join("round(" + " + ".join(f"((i // {b ** k}) % {b}) / {float(b ** (k + 1))}" for k in range(20)) + f", 9) AS h{b}" for b in (2, 3, 5))
+    + " FROM (SELECT vec_id AS i FROM embeddings)"
 )
 def halton_points(spark, sf):
     """SMP9, SMP10."""
-    return spark.range(1000).select("id", *[F.round(K.halton(F.col("id"), b, 12), 9).alias(f"h{b}") for b in (2, 3, 5)])
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.round(K.halton(F.col("vec_id"), b, 20), 9).alias(f"h{b}") for b in (2, 3, 5)])
 
 
 @query(f"WITH {grid_sql()} SELECT x, y, z, round({K.noise_sql('x', 'y', 'z', 9)}, 9) AS u FROM g")

@@ -123,12 +123,12 @@ def box_parts(spark, sf):
     return b.select("cloud_id", F.posexplode(parts).alias("part", "p")).select("cloud_id", F.col("part").cast("long").alias("part"), *R(("lo_x", F.col("p.lo.x")), ("hi_y", F.col("p.hi.y")), ("lo_z", F.col("p.lo.z"))))
 
 
-@query("SELECT i AS id, round(a + (c - b * 3 - a * 3 + b * 0) * 0 + t * ((b - z) / 2) + t * t * (z * 2 - a * 5 + b * 4 - c) / 2 + t * t * t * (a * 3 - z - b * 3 + c) / 2, 6) AS catmull, round(z * s * s * s + a * 3 * s * s * t + b * 3 * s * t * t + c * t * t * t, 6) AS bezier, round(z + (a - z) * t, 6) AS linear FROM (SELECT i, i / 100.0::DOUBLE AS t, 1 - i / 100.0::DOUBLE AS s, 0.0::DOUBLE AS z, 1.0::DOUBLE AS a, 3.0::DOUBLE AS b, 2.0::DOUBLE AS c FROM range(101) r(i))")
+@query("SELECT i AS id, round(a + (c - b * 3 - a * 3 + b * 0) * 0 + t * ((b - z) / 2) + t * t * (z * 2 - a * 5 + b * 4 - c) / 2 + t * t * t * (a * 3 - z - b * 3 + c) / 2, 6) AS catmull, round(z * s * s * s + a * 3 * s * s * t + b * 3 * s * t * t + c * t * t * t, 6) AS bezier, round(z + (a - z) * t, 6) AS linear FROM (SELECT vec_id AS i, (vec_id % 101) / 100.0::DOUBLE AS t, 1 - (vec_id % 101) / 100.0::DOUBLE AS s, embedding[1]::DOUBLE AS z, embedding[2]::DOUBLE AS a, embedding[3]::DOUBLE AS b, embedding[4]::DOUBLE AS c FROM embeddings)", zeros=("catmull", "bezier", "linear"))
 def curve_points(spark, sf):
     """FN12, FN13."""
-    p = [Vec.of(float(v), 0.0, 0.0) for v in (0, 1, 3, 2)]
-    t = F.col("id") / 100
-    return spark.range(101).select("id", *R(("catmull", G.catmull_rom(*p, t).x), ("bezier", G.bezier(*p, t).x), ("linear", G.linear_path(p[0], p[1], t).x)))
+    p = [Vec(F.element_at("embedding", k).cast("double"), F.lit(0.0), F.lit(0.0)) for k in (1, 2, 3, 4)]
+    t = (F.col("vec_id") % 101) / 100
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *R(("catmull", G.catmull_rom(*p, t).x), ("bezier", G.bezier(*p, t).x), ("linear", G.linear_path(p[0], p[1], t).x)))
 
 
 @query("SELECT regexp_extract(url, '([^/\\\\]*?)(\\.[^./\\\\]*)?$', 1) AS base, 'm' || page_id || '_4f_32r_2it_' || (page_id % 3) || '_500t.obj' AS name, '32x' || (page_id % 7) || 'x16' AS size FROM pages")
@@ -249,7 +249,7 @@ def _grid_rays(spark, sf):
 )
 def first_voxels(spark, sf):
     """JN12."""
-    return spatial.first_voxel(_grid_rays(spark, sf), shell(spark), (24, 24, 24)).select("ray_id", "x", "y", "z", *R(("t", F.col("t"))))
+    return spatial.first_voxel(_grid_rays(spark, sf), shell(spark, sf), (24, 24, 24)).select("ray_id", "x", "y", "z", *R(("t", F.col("t"))))
 
 
 @query(f"WITH {POINTS_SQL} SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON a.point_id < b.point_id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 0.3 AND a.cloud_id <> b.cloud_id")
@@ -584,16 +584,16 @@ def padded_clouds(spark, sf):
     return seeding.pad_to_power_of_two(points(spark, sf)).select("cloud_id", "point_id", "copy")
 
 
-@query(f"SELECT i AS point_id, round({noise_sql('i', '0', '7', 2)} * 2 - 1, 6) AS x, round({noise_sql('i', '1', '7', 2)} * 3, 6) AS y, round({noise_sql('i', '2', '7', 2)}, 6) AS z FROM range(500) t(i)")
+@query(f"SELECT i AS point_id, round({noise_sql('i', '0', '7', 2)} * 2 - 1, 6) AS x, round({noise_sql('i', '1', '7', 2)} * 3, 6) AS y, round({noise_sql('i', '2', '7', 2)}, 6) AS z FROM range((SELECT count(*) FROM embeddings)) t(i)")
 def random_box_points(spark, sf):
-    """SRC13."""
-    return seeding.random_points(spark, 500, (-1.0, 0.0, 0.0), (1.0, 3.0, 1.0), seed=2).select("point_id", *R(*[(k, F.col(k)) for k in "xyz"]))
+    """SRC13: as many points in a box as there are embeddings."""
+    return seeding.random_points(spark, table(spark, sf, "embeddings").count(), (-1.0, 0.0, 0.0), (1.0, 3.0, 1.0), seed=2).select("point_id", *R(*[(k, F.col(k)) for k in "xyz"]))
 
 
-@query("SELECT (i * 5 + j) * 2 + k AS face_id, CASE k WHEN 0 THEN i * 6 + j ELSE i * 6 + j + 1 END AS v0, CASE k WHEN 0 THEN i * 6 + j + 1 ELSE (i + 1) * 6 + j + 1 END AS v1, (i + 1) * 6 + j AS v2 FROM range(7) a(i), range(5) b(j), range(2) c(k)")
+@query("SELECT (i * 5 + j) * 2 + k AS face_id, CASE k WHEN 0 THEN i * 6 + j ELSE i * 6 + j + 1 END AS v0, CASE k WHEN 0 THEN i * 6 + j + 1 ELSE (i + 1) * 6 + j + 1 END AS v1, (i + 1) * 6 + j AS v2 FROM range((SELECT count(*) FROM supplier)) a(i), range(5) b(j), range(2) c(k)")
 def planar_faces(spark, sf):
-    """SRC14."""
-    return M.planar_mesh(spark, 7, 5)[1].drop("mesh_id")
+    """SRC14: a strip of quads, one for each supplier and five across."""
+    return M.planar_mesh(spark, table(spark, sf, "supplier").count(), 5)[1].drop("mesh_id")
 
 
 # labels on faces
