@@ -303,6 +303,37 @@ def run_lengths(spark, sf):
     return encode.run_lengths(labelled(spark, sf), D).drop("grid_id")
 
 
+def _source_folder(spark) -> str:
+    import uuid
+
+    from cellforge.lineage import checkpoint_folder, passing
+    from cellforge.sources.formats import register
+
+    register(spark)
+    return passing(spark, f"{checkpoint_folder(spark)}/source-{uuid.uuid4().hex}")
+
+
+@query(_rle_sql(N))
+def rle_source(spark, sf):
+    """SNK1, SNK2, SRC6, EXT6: run lengths written and read as a data source, in parts by records; starts by a scan of the lengths."""
+    from cellforge.operators.scan import global_scan
+
+    at = _source_folder(spark)
+    runs = encode.run_lengths(labelled(spark, sf), D).select("start", "value", "length")
+    runs.coalesce(1).sortWithinPartitions("start").select("value", "length").write.format("cellforge_rle").option("dims", f"{N},{N},{N}").mode("append").save(at)
+    back = spark.read.format("cellforge_rle").option("partBytes", 4096).load(at)
+    return global_scan(back.select("record", "value", "length"), ["record"], value="length").select(F.col("before").alias("start"), "value", "length")
+
+
+@query(f"WITH {POINTS_SQL} SELECT round(x::FLOAT, 5)::DOUBLE AS x, round(y::FLOAT, 5)::DOUBLE AS y, round(z::FLOAT, 5)::DOUBLE AS z FROM p")
+def ply_source(spark, sf):
+    """SRC9, SRC11, SNK10, SNK1: points written and read as a data source, a file from each task."""
+    at = _source_folder(spark)
+    points(spark, sf).repartition(3, "point_id").select("x", "y", "z").write.format("cellforge_ply").mode("append").save(at)
+    back = spark.read.format("cellforge_ply").load(at)
+    return back.select(*[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
 @query(f"WITH {labelled_sql()} SELECT * FROM lab")
 def run_length_round_trip(spark, sf):
     """SNK2, SRC6: to run-length files and back."""
