@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellforge.functions import geometry as G
 from cellforge.functions.cells import noise, noise_sql
 from cellforge.functions.vec import Vec, chebyshev, euclid, manhattan
-from cellforge.operators import clusters, mesh as M, metadata, seeding, simplify, spatial, surface, tree
+from cellforge.operators import clusters, halfedges, mesh as M, metadata, seeding, simplify, spatial, surface, tree
 from cellforge.operators.scan import global_scan
 from cellforge.lineage import checkpoint_folder, passing
 
@@ -655,6 +655,45 @@ def border_walks(spark, sf):
     return clusters.border_walk(pairs.join(near.select("mesh_id", F.col("label").alias("cluster"), F.col("face_id").alias("a")).distinct(), ["mesh_id", "a"]).join(near.select("mesh_id", F.col("label").alias("cluster"), F.col("face_id").alias("b")).distinct(), ["mesh_id", "cluster", "b"]))
 
 
+_HALF_EDGES = (
+    "s AS (SELECT mesh_id, face_id * 3 + k AS h, face_id, CASE k WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END AS v, CASE k WHEN 0 THEN v1 WHEN 1 THEN v2 ELSE v0 END AS u, face_id * 3 + (k + 1) % 3 AS next FROM f, range(3) t(k)), "
+    "he AS (SELECT s.*, w.h AS twin FROM s LEFT JOIN s w ON w.mesh_id = s.mesh_id AND w.v = s.u AND w.u = s.v)"
+)
+
+
+@query(f"WITH {MESH_SQL}, {_HALF_EDGES} SELECT mesh_id, h, face_id, v, u, next, twin, true AS manifold FROM he")
+def half_edge_table(spark, sf):
+    """MSH25: sides of faces with their next and twin."""
+    return halfedges.half_edges(mesh(spark, sf)[1])
+
+
+@query(f"WITH {MESH_SQL} SELECT mesh_id, face_id, v0, v1, v2 FROM f")
+def half_edge_round_trip(spark, sf):
+    """MSH25: faces to half edges and back."""
+    return halfedges.faces_of(halfedges.half_edges(mesh(spark, sf)[1]))
+
+
+_CLUSTERS = "(v0 % 24 // 6 + CASE WHEN face_id % 11 = 0 THEN 1 ELSE 0 END)::INT"
+
+
+@query(
+    f"WITH RECURSIVE {MESH_SQL}, {_HALF_EDGES}, c AS (SELECT mesh_id, face_id, {_CLUSTERS} AS cluster FROM f), "
+    "e AS (SELECT he.*, c.cluster, d.cluster IS DISTINCT FROM c.cluster AS rim, w.next AS after_twin FROM he JOIN c USING (mesh_id, face_id) LEFT JOIN he w ON w.mesh_id = he.mesh_id AND w.h = he.twin LEFT JOIN c d ON d.mesh_id = w.mesh_id AND d.face_id = w.face_id), "
+    "turn AS (SELECT a.mesh_id, a.h AS start, b.h AS ended, b.rim, b.after_twin FROM e a JOIN e b ON b.mesh_id = a.mesh_id AND b.h = a.next WHERE a.rim "
+    "UNION ALL SELECT t.mesh_id, t.start, b.h, b.rim, b.after_twin FROM turn t JOIN e b ON b.mesh_id = t.mesh_id AND b.h = t.after_twin WHERE NOT t.rim), "
+    "line AS (SELECT mesh_id, start AS h, ended AS after FROM turn WHERE rim), "
+    "reach AS (SELECT mesh_id, h, after, h AS least, h AS start FROM line UNION ALL SELECT r.mesh_id, l.h, l.after, least(r.least, l.h), r.start FROM reach r JOIN line l ON l.mesh_id = r.mesh_id AND l.h = r.after WHERE l.h <> r.start), "
+    "head AS (SELECT mesh_id, start, min(least) AS loop FROM reach GROUP BY ALL), "
+    "walk AS (SELECT l.mesh_id, l.h, l.after, d.loop, 0::BIGINT AS position FROM line l JOIN head d ON d.mesh_id = l.mesh_id AND d.start = l.h AND d.loop = l.h UNION ALL SELECT w.mesh_id, l.h, l.after, w.loop, w.position + 1 FROM walk w JOIN line l ON l.mesh_id = w.mesh_id AND l.h = w.after WHERE l.h <> w.loop) "
+    "SELECT w.mesh_id, e.cluster, w.loop, w.position, e.v AS vertex_id, w.h FROM walk w JOIN e ON e.mesh_id = w.mesh_id AND e.h = w.h"
+)
+def border_loops(spark, sf):
+    """ITR11: border lines of each cluster, by list ranking."""
+    v, f = mesh(spark, sf)
+    labels = f.select("mesh_id", "face_id", (F.floor(F.col("v0") % 24 / 6) + (F.col("face_id") % 11 == 0).cast("int")).cast("int").alias("cluster"))
+    return halfedges.border_loops(halfedges.half_edges(f), labels)
+
+
 _FACE_SAMPLES = (
     f"WITH {labelled_sql()}, {TRIANGLES_SQL.replace('p AS', 'pp AS').replace('FROM p a', 'FROM pp a').replace('JOIN p ', 'JOIN pp ')}, "
     + f"e AS (SELECT *, unnest(range(0, 8)) AS k FROM t), u AS (SELECT *, {noise_sql('tri_id', 'k', '1', 0)} AS u0, {noise_sql('tri_id', 'k', '2', 0)} AS v0 FROM e), "
