@@ -125,3 +125,21 @@ def halton(index: Column, base: int, digits: int = 32) -> Column:
     start = F.struct(index.cast("long").alias("i"), F.lit(1.0).alias("f"), F.lit(0.0).alias("r"))
     step = lambda s, _: F.struct(F.floor(s["i"] / base).alias("i"), (s["f"] / base).alias("f"), (s["r"] + s["f"] / base * (s["i"] % base)).alias("r"))
     return F.aggregate(steps, start, step, lambda s: s["r"])
+
+
+def reversed_digits(c: Column, base: int, digits: int) -> Column:
+    """A whole number with its first `digits` digits in a base in reverse order."""
+    c = c.cast("long")
+    return sum((F.floor(c / base**k) % base * base ** (digits - 1 - k) for k in range(digits)), F.lit(0).cast("long"))
+
+
+def halton_indices(cx: Column, cy: Column, digits2: int, digits3: int, k: int) -> Column:
+    """The first k indices of the two-dimensional Halton sequence (bases 2 and 3) whose points lie in a cell of a grid of 2^digits2
+    by 3^digits3 cells of the unit square.
+
+    The cell's column fixes the index modulo 2^digits2, as it is that many digits of the index in reverse, and its row modulo
+    3^digits3; both together fix it modulo their product (Chinese remainders), and further points come at that distance.
+    """
+    m, n = 2**digits2, 3**digits3
+    first = F.pmod(reversed_digits(cx, 2, digits2) * (n * pow(n, -1, m)) + reversed_digits(cy, 3, digits3) * (m * pow(m, -1, n)), F.lit(m * n))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: first + j * (m * n))

@@ -475,6 +475,17 @@ def halton_points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[F.round(K.halton(F.col("vec_id"), b, 20), 9).alias(f"h{b}") for b in (2, 3, 5)])
 
 
+@query(
+    "WITH c AS (SELECT DISTINCT (l_orderkey % 32)::INT AS cx, (l_partkey % 27)::INT AS cy FROM lineitem), "
+    f"h AS (SELECT i, {' + '.join(f'((i // {2 ** k}) % 2) * {2 ** (4 - k)}' for k in range(5))} AS cx, {' + '.join(f'((i // {3 ** k}) % 3) * {3 ** (2 - k)}' for k in range(3))} AS cy FROM range({3 * 32 * 27}) t(i)) "
+    "SELECT c.cx, c.cy, (row_number() OVER (PARTITION BY c.cx, c.cy ORDER BY i) - 1)::INT AS n, i AS halton_index FROM c JOIN h ON h.cx = c.cx AND h.cy = c.cy"
+)
+def halton_cells(spark, sf):
+    """SMP10: for each occupied cell the first three indices of the Halton sequence that fall into it."""
+    c = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 32).cast("int").alias("cx"), (F.col("l_partkey") % 27).cast("int").alias("cy")).distinct()
+    return c.select("cx", "cy", F.posexplode(K.halton_indices(F.col("cx"), F.col("cy"), 5, 3, 3)).alias("n", "halton_index"))
+
+
 @query(f"WITH {grid_sql()} SELECT x, y, z, round({K.noise_sql('x', 'y', 'z', 9)}, 9) AS u FROM g")
 def cell_noise(spark, sf):
     """SMP11, SMP13, FN18."""

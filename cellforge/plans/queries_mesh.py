@@ -794,6 +794,22 @@ def event_samples(spark, sf):
     return samples(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"), "largest")
 
 
+@query(
+    "WITH p AS (SELECT coalesce(html, '') AS html, regexp_matches(url, '[02468]$') AS even FROM pages) "
+    "SELECT 'read' AS place, count(*) AS rows, coalesce(sum(strlen(html)), 0)::BIGINT AS bytes FROM p UNION ALL "
+    "SELECT 'kept', count(*), coalesce(sum(strlen(html)), 0)::BIGINT FROM p WHERE even UNION ALL SELECT 'grouped', count(DISTINCT strlen(html) // 1000), 0 FROM p WHERE even"
+)
+def run_accounts(spark, sf):
+    """AGG19: rows and bytes at three places of a run, counted by the run itself."""
+    from cellforge.streaming.telemetry import RunAccount
+
+    account = RunAccount()
+    pages = account.watch("read", table(spark, sf, "pages").select("url", F.coalesce("html", F.lit("")).alias("html")), "html")
+    kept = account.watch("kept", pages.where(F.col("url").rlike("[02468]$")), "html")
+    account.watch("grouped", kept.groupBy(F.floor(F.octet_length("html") / 1000).alias("k")).agg(F.count("*").alias("n"))).write.format("noop").mode("overwrite").save()
+    return account.table(spark)
+
+
 def _arrivals(spark, sf):
     """(stream of the events in the order of their arrival, a folder for what comes of it)."""
     import uuid

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -132,6 +132,26 @@ def record_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True
         conf.unset(STORE_SETTING) if before is None else conf.set(STORE_SETTING, before)
 
 
+class RunAccount:
+    """What passes through the marked places of a run: rows, and bytes of chosen columns, counted while the run goes on."""
+
+    def __init__(self):
+        self._places: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame, sized: str | None = None) -> DataFrame:
+        """The same rows; those that pass count under `name`, and with `sized` the bytes of that text or binary column."""
+        if name in self._places:
+            raise ValueError(f"place {name} is watched already")
+        self._places[name] = Observation()
+        size = F.coalesce(F.sum(F.octet_length(sized)), F.lit(0)) if sized else F.lit(0)
+        return df.observe(self._places[name], F.count(F.lit(1)).alias("rows"), size.cast("long").alias("bytes"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(place, rows, bytes) of all places, after the run's action has ended; waits for it if it has not."""
+        rows = [(n, o.get["rows"], o.get["bytes"]) for n, o in self._places.items()]
+        return spark.createDataFrame(rows, "place string, rows long, bytes long")
+
+
 def record_events(events: DataFrame, path: str) -> None:
     """Appends events to the event table."""
     events.write.mode("append").parquet(path)
