@@ -32,6 +32,27 @@ def global_scan(rows: DataFrame, order: list[str | Column], value: str | None =
     return out.select(*rows.columns, (F.col(place) + F.col("__n0")).alias(place), *([(F.col(before) + F.col("__s0")).alias(before)] if value else []))
 
 
+def carried_scan(rows: DataFrame, by: str, order: list[str], sums: list[str] = [], lasts: list[str] = []) -> DataFrame:
+    """Rows with each of `sums` replaced by its sum up to and with the row, and each of `lasts` by its last value that is not null,
+    in the order of the rows of the same `by`.
+
+    As global_scan: ranges of the whole order are scanned by tasks of their own, and what a range hands on, its sums and its
+    last values, is one row for each range and value of `by` in it. So a single `by` may hold the whole table. Nulls count as zero in sums.
+    """
+    if "__range" in rows.columns:
+        raise ValueError("the columns of the scan are taken")
+    dealt = cut(rows.repartitionByRange(by, *order).withColumn("__range", F.spark_partition_id()))
+    w = Window.partitionBy("__range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = dealt.select(*[c for c in dealt.columns if c not in (*sums, *lasts)], *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in lasts])
+    place = F.struct(*order)
+    own = dealt.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__{c}") for c in sums], *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__{c}") for c in lasts])
+    ahead = Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.select("__by", "__r", *[F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__{c}") for c in sums], *[F.last(f"__{c}", ignorenulls=True).over(ahead).alias(f"__{c}") for c in lasts])
+    out = inner.join(before, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r")))
+    changed = {**{c: F.col(c) + F.col(f"__{c}") for c in sums}, **{c: F.coalesce(c, f"__{c}") for c in lasts}}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns])
+
+
 #: Parts of [0, 1) that numbers are counted in to find the n least of a group.
 PARTS = 4096
 

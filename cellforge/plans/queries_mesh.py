@@ -885,6 +885,18 @@ def obj_vertices(spark, sf):
     return parse_obj(text)[0].select("mesh", F.col("vertex_id").cast("long").alias("vertex_id"), "x", "y", "z")
 
 
+@query(f"WITH {MESH_SQL} SELECT mesh_id::VARCHAR AS mesh, face_id, v0, v1, v2, 'part ' || (face_id // 250) AS \"group\", 'paint ' || (face_id // 100) AS material FROM f")
+def obj_materials(spark, sf):
+    """SRC4, SRC10: OBJ text with groups and materials, which hold from their line on."""
+    from cellforge.sources.obj import obj_lines, parse_obj
+
+    v, f = mesh(spark, sf)
+    text = obj_lines(v, f).select("mesh_id", F.struct("part", "n", F.lit(1).alias("k")).alias("line_no"), "line")
+    mark = lambda every, k, head: f.where(F.col("face_id") % every == 0).select("mesh_id", F.struct(F.lit(1).alias("part"), F.col("face_id").alias("n"), F.lit(k).alias("k")).alias("line_no"), F.concat(F.lit(head), F.floor(F.col("face_id") / every)).alias("line"))
+    lines = text.union(mark(100, 0, "usemtl paint ")).union(mark(250, -1, "g part "))
+    return parse_obj(lines.select(F.col("mesh_id").cast("string").alias("mesh"), "line_no", "line"), marks=True)[1].select("mesh", "face_id", "v0", "v1", "v2", "group", "material")
+
+
 _OBJ = "d AS (SELECT p_partkey AS k, p_size AS s FROM part)"
 
 
