@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellforge.lineage import FILE_ROWS
+
 from .common import cut, settled, small_batches, table, written
 from .components import connected_components
 
@@ -240,7 +242,7 @@ STAR_ROUNDS = 8
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
     """Links (a, b) between documents, each named by xxhash64 of its id and text hash, at Jaccard similarity `least` or more.
 
-    Candidates share a MinHash band; each is checked on its whole sets of shingles. The components of the links are those
+    Candidates share a MinHash band; each is checked on its whole set of shingles, which is made once for each text. The components of the links are those
     of all candidate pairs that pass, but no group is expanded into its pairs: in each round a group of texts that share a
     band has one centre, each text is checked against the first centre of its groups, and texts that links have led to
     one text need no check with each other. When a round links less than a tenth of its pairs, or few pairs are open, the
@@ -252,9 +254,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def banded(texts: pd.Series) -> pd.Series:
         return pd.Series([bands(t, shingle) for t in texts], dtype=object)
 
+    @F.pandas_udf("array<long>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, shingle).view(np.int64) for t in texts], dtype=object)
+
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingles(x, shingle), shingles(y, shingle)) >= least for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([jaccard(x, y) >= least for x, y in zip(a, b)], dtype=bool)
 
     docs = small_batches(docs)
     named = docs.select(node(docs, id_col, text_col).alias("node"), F.col(text_col).alias("text"))
@@ -262,13 +268,16 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a second key makes the small side be dealt again, so that Spark can split a band that very many texts share
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.xxhash64("k").alias("k2"))
     rows = written(keys.withColumn("k2", F.xxhash64("k")).join(shared, ["k", "k2"]).select("k", "k2", "node").distinct()).withColumn("root", F.col("node"))
-    texts = written(named.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sets = written(named.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", shingled("text").alias("set")))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return cut(pairs.join(of("a"), "a").join(of("b"), "b").where(close("text_a", "text_b")).select(*pairs.columns))
+    def checked(pairs: DataFrame, most: int | None = None) -> DataFrame:
+        """The pairs that pass. Where there are `most` pairs at most, they are dealt anew to the files that so many rows need; the
+        checks themselves run in all partitions."""
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+        found = pairs.join(of("a"), "a").join(of("b"), "b").where(close("set_a", "set_b")).select(*pairs.columns)
+        return cut(found if most is None else found.repartition(most // FILE_ROWS + 1))
 
-    links, held, nodes = None, rows.count(), texts.count()
+    links, held, nodes = None, rows.count(), sets.count()
     for r in range(STAR_ROUNDS):
         if links is not None:
             each = rows.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
@@ -279,7 +288,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         star = rows.groupBy("k", "k2").agg(F.min(centre).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "c", F.xxhash64("k2").alias("k3"))
         first = rows.withColumn("k3", F.xxhash64("k2")).join(star, ["k", "k3"]).where("root <> c.a_root").groupBy("node").agg(F.min(F.struct("c", "root")).alias("x"))
         first = cut(first, nodes)
-        found = checked(first.select(F.col("x.c.a").alias("a"), F.col("node").alias("b"), F.col("x.c.a_root").alias("ra"), F.col("x.root").alias("rb")))
+        found = checked(first.select(F.col("x.c.a").alias("a"), F.col("node").alias("b"), F.col("x.c.a_root").alias("ra"), F.col("x.root").alias("rb")), nodes)
         paid = 10 * found.count() >= first.count()
         links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
         # the least root within two steps, which joins all texts that one centre has linked
