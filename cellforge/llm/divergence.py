@@ -18,6 +18,8 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 GATHERED, GATHERED_BYTES = 1 << 19, 1 << 30
 #: (source, term) counts that a block of terms holds on average.
 BLOCK_COUNTS = 1 << 16
+#: Rows of groups, or of pairs of groups, that may go to all tasks; more of them are joined by a shuffle.
+SENT_ROWS = 1 << 15
 #: Bytes as terms see them: A-Z lowered, other ASCII that is no letter a space, all else as it is.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE = 1_000_000_000
@@ -101,17 +103,25 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     by_term = written(by_term.where(F.col("term").isNull() | (F.col("docs") >= least_docs)).select("lang", "term", "cells"))
     groups = by_term.where("term is null").select("lang", F.explode("cells.source").alias("source"))
     terms = by_term.where("term is not null")
-    cells = terms.select("lang", "term", F.explode("cells").alias("cell")).select("lang", "term", "cell.source", "cell.n")
+    lang_n = F.expr("aggregate(cells, 0L, (s, c) -> s + c.n)")
+    cells = terms.select("lang", "term", lang_n.alias("lang_n"), F.explode("cells").alias("cell")).select("lang", "term", "lang_n", "cell.source", "cell.n")
 
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    whole = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(F.expr("aggregate(cells, 0L, (s, c) -> s + c.n)")).alias("lang_total"), F.sum(F.size("cells")).alias("rows"))
+    whole = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(lang_n).alias("lang_total"), F.sum(F.size("cells")).alias("rows"))
     totals = groups.join(sums, ["lang", "source"], "left").join(whole, "lang", "left").select("lang", "source", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "lang_total", "rows")))
     totals = cut(totals)
-    rows = totals.groupBy("lang").agg(F.max("rows").alias("rows")).agg(F.sum("rows")).first()[0] or 0
-    return _pairs(terms, cells, totals, 1 + rows // BLOCK_COUNTS).union(_top_terms(cells, totals, top))
+    n = F.count("*")
+    rows, sources, couples = (x or 0 for x in totals.groupBy("lang").agg(F.max("rows").alias("rows"), n.alias("n"), (n * n).alias("n2")).agg(F.sum("rows"), F.sum("n"), F.sum("n2")).first())
+    return _pairs(terms, cells, totals, 1 + rows // BLOCK_COUNTS, couples).union(_top_terms(cells, totals, top, sources))
 
 
-def _pairs(terms: DataFrame, cells: DataFrame, totals: DataFrame, blocks: int) -> DataFrame:
+def _beside(small: DataFrame, rows: int) -> DataFrame:
+    """A side of a join with so many rows. Said here, as Spark takes the other side, counts unfolded from compressed arrays, for
+    no larger than their file, and would send that through the driver."""
+    return F.broadcast(small) if rows <= SENT_ROWS else small.hint("merge")
+
+
+def _pairs(terms: DataFrame, cells: DataFrame, totals: DataFrame, blocks: int, couples: int) -> DataFrame:
     """The part `pair`.
 
     With f(0, 0) for all terms as the start, a count of one source alone adds f(c, 0) - f(0, 0), and one that both have adds
@@ -120,6 +130,7 @@ def _pairs(terms: DataFrame, cells: DataFrame, totals: DataFrame, blocks: int) -
     side = lambda x: totals.select("lang", F.col("source").alias(x), F.col("total").alias(f"{x}_total"))
     kept = totals.groupBy("lang").agg(F.max("terms").alias("terms"))
     pairs = side("a").join(side("b"), "lang").where("a < b").join(kept, "lang")
+    beside = _beside(pairs, couples)
     p = lambda n, x: probability(n, f"{x}_total", "terms")
     f_none = divergence(p(0, "a"), p(0, "b"))
 
@@ -127,23 +138,22 @@ def _pairs(terms: DataFrame, cells: DataFrame, totals: DataFrame, blocks: int) -
     first = dealt.select("lang", "block", "cells", F.posexplode("cells").alias("i", "cell_a"))
     both = first.select("lang", "block", "cell_a", F.explode(F.expr("slice(cells, i + 2, size(cells))")).alias("cell_b"))
     tally = both.groupBy("lang", "block", F.col("cell_a.source").alias("a"), F.col("cell_b.source").alias("b"), F.col("cell_a.n").alias("c"), F.col("cell_b.n").alias("d")).agg(F.count("*").alias("times"))
-    joint = tally.join(pairs, ["lang", "a", "b"])
+    joint = tally.join(beside, ["lang", "a", "b"])
     extra = divergence(p(F.col("c"), "a"), p(F.col("d"), "b")) - divergence(p(F.col("c"), "a"), p(0, "b")) - divergence(p(0, "a"), p(F.col("d"), "b")) + f_none
     joint = joint.groupBy("lang", "a", "b").agg(F.sum(extra * F.col("times")).alias("part"))
 
     own = cells.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
-    alone_a = own.withColumnRenamed("source", "a").join(pairs, ["lang", "a"]).groupBy("lang", "a", "b").agg(F.sum((divergence(p(F.col("n"), "a"), p(0, "b")) - f_none) * F.col("times")).alias("part"))
-    alone_b = own.withColumnRenamed("source", "b").join(pairs, ["lang", "b"]).groupBy("lang", "a", "b").agg(F.sum((divergence(p(0, "a"), p(F.col("n"), "b")) - f_none) * F.col("times")).alias("part"))
+    alone_a = own.withColumnRenamed("source", "a").join(beside, ["lang", "a"]).groupBy("lang", "a", "b").agg(F.sum((divergence(p(F.col("n"), "a"), p(0, "b")) - f_none) * F.col("times")).alias("part"))
+    alone_b = own.withColumnRenamed("source", "b").join(beside, ["lang", "b"]).groupBy("lang", "a", "b").agg(F.sum((divergence(p(0, "a"), p(F.col("n"), "b")) - f_none) * F.col("times")).alias("part"))
     start = pairs.select("lang", "a", "b", F.when(F.col("terms") == 0, F.lit(0).cast("long")).otherwise(F.when(F.col("terms") > 0, f_none) * F.col("terms")).alias("part"))
     value = start.unionByName(joint).unionByName(alone_a).unionByName(alone_b).groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
     way = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     return _ranked(value.select("lang", "value", way.alias("w")).select("lang", "w.source", F.lit("pair").alias("part"), "w.item", "value"))
 
 
-def _top_terms(cells: DataFrame, totals: DataFrame, top: int) -> DataFrame:
+def _top_terms(cells: DataFrame, totals: DataFrame, top: int, sources: int) -> DataFrame:
     """The part `term`; only the first `top` of a group on each side of the shuffle are ranked further."""
-    of_lang = cells.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    rows = cells.join(of_lang, ["lang", "term"]).join(totals, ["lang", "source"])
+    rows = cells.join(_beside(totals.drop("rows"), sources), ["lang", "source"])
     rows = rows.withColumn("p", probability(F.col("n"), "total", "terms")).withColumn("q", probability(F.col("lang_n"), "lang_total", "terms")).where("p > q")
     rows = rows.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     return _ranked(rows).where(F.col("rank") <= top)

@@ -119,6 +119,29 @@ def test_audit_equals_its_definition(spark, monkeypatch, blocks):
     assert divergence.audit_sources(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, divergence.SENT_ROWS])
+def test_audit_sends_no_counts_through_the_driver(spark, sf, monkeypatch, sent):
+    """Counts lie in a small file of compressed arrays, so their estimated size is far below what they unfold to."""
+    monkeypatch.setattr(divergence, "SENT_ROWS", sent)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = divergence.op12_source_divergence(spark, sf)
+        joins, open_ = [], [got._jdf.queryExecution().sparkPlan()]
+        while open_:
+            node = open_.pop()
+            children = node.children()
+            open_ += [children.apply(i) for i in range(children.size())]
+            if node.nodeName() == "BroadcastHashJoin":
+                joins.append((node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [j for j in joins if "FileScan" in j] and (sent == 0 or len(joins) >= 4)
+    with monkeypatch.context() as m:
+        m.setattr(divergence, "SENT_ROWS", 1 << 15)
+        assert set(got.collect()) == set(divergence.op12_source_divergence(spark, sf).collect())
+
+
 def plain_negatives(rows, positives=5, negatives=10):
     """The result for (vec_id, vector, label) rows, all pairs by themselves."""
     fit = [(i, [math.floor(256 * x) for x in v], y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
