@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -78,8 +81,18 @@ def traversed_cells(rays: DataFrame, lo: tuple[float, float, float], size: tuple
     return out
 
 
-def _tested(met: DataFrame, low: Vec, cell: list[float], last: int, carry: tuple[str, ...] = (), eps: float = EPSILON) -> DataFrame:
-    """(ray_id, tri_id, t, u, v) and the columns of `carry` of the pairs of rays and triangles whose hit lies in the cell (kx, ky, kz) where they met.
+def in_cell(low: Vec, cell: list[float], last: int) -> Callable[[Column], Column]:
+    """Whether the point at a parameter of a ray lies in the cell (kx, ky, kz)."""
+
+    def lies(t: Column) -> Column:
+        at = (F.least(F.greatest(F.floor((o + d * t - l) / size), F.lit(0)), F.lit(last)) == F.col(f"k{c}") for o, d, l, size, c in zip(O, D, low, cell, "xyz"))
+        return reduce(and_, at)
+
+    return lies
+
+
+def _tested(met: DataFrame, where: Callable[[Column], Column], carry: tuple[str, ...] = (), eps: float = EPSILON) -> DataFrame:
+    """(ray_id, tri_id, t, u, v) and the columns of `carry` of the pairs of rays and triangles that hit where `where` allows the parameter.
 
     As ray_triangle(), in steps that Spark keeps apart, so that each product is computed once a pair; the explosion of a
     hit keeps the test from being computed again as a condition of the join.
@@ -96,9 +109,7 @@ def _tested(met: DataFrame, low: Vec, cell: list[float], last: int, carry: tuple
     inv = F.col("__inv")
     met = put(met, t=e2.dot(q) * inv, u=s.dot(p) * inv, v=D.dot(q) * inv)
     t, u, v = (F.col(f"__{n}") for n in "tuv")
-    ok = (u >= 0) & (v >= 0) & (u + v <= 1) & (t > eps)
-    for o, d, l, size, c in zip(O, D, low, cell, "xyz"):
-        ok = ok & (F.least(F.greatest(F.floor((o + d * t - l) / size), F.lit(0)), F.lit(last)) == F.col(f"k{c}"))
+    ok = (u >= 0) & (v >= 0) & (u + v <= 1) & (t > eps) & where(t)
     return met.select("ray_id", "tri_id", *carry, F.explode(F.when(ok, F.array(F.struct(t.alias("t"), u.alias("u"), v.alias("v"))))).alias("h")).select("ray_id", "tri_id", "h.t", "h.u", "h.v", *carry)
 
 
@@ -129,7 +140,7 @@ def _halves(rows: DataFrame) -> DataFrame:
     return out.drop("__h")
 
 
-def _cut_up(triangles: DataFrame, low: Vec, side: list[float], levels: int) -> DataFrame:
+def cut_up(triangles: DataFrame, low: Vec, side: list[float], levels: int) -> DataFrame:
     """Triangles with each cell (kx, ky, kz) that their box and their plane meet after so many halvings, a hair wide."""
     e, f = B - A, C - A
     length = lambda v: sum((F.abs(c) for c in v), F.lit(0.0))
@@ -173,7 +184,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, levels: int | None = None, r
         tri = tri.withColumn(f"k{name}", F.explode(F.sequence(first, last)))
     tri = tri.drop("__n")
     if coarse:
-        tri = tri.unionByName(_cut_up(levelled.where(F.col("level") < coarse), low, side, coarse).withColumn("level", F.lit(coarse)))
+        tri = tri.unionByName(cut_up(levelled.where(F.col("level") < coarse), low, side, coarse).withColumn("level", F.lit(coarse)))
 
     def passes(way: DataFrame, level: int) -> DataFrame:
         cell = [s / (1 << level) for s in side]
@@ -189,7 +200,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, levels: int | None = None, r
     out = None
     for level in range(max(held) + 1):
         if level in held:
-            met = _tested(way.join(tri.where(F.col("level") == level), ["kx", "ky", "kz"]), low, [s / (1 << level) for s in side], (1 << level) - 1, carry)
+            met = _tested(way.join(tri.where(F.col("level") == level), ["kx", "ky", "kz"]), in_cell(low, [s / (1 << level) for s in side], (1 << level) - 1), carry)
             out = met if out is None else out.union(met)
         if level < max(held):
             way = passes(_halves(way), level + 1)
