@@ -462,3 +462,19 @@ def test_hits_carry_columns_of_triangles(spark):
     plain = spatial.interpolate(spatial.ray_hits(rays, tri), tri.select("tri_id", "q0", "q1", "q2"), ["q"])
     assert [r.q for r in plain.collect()] == [1.75]
     assert spatial.ray_hits(rays, tri.limit(0), carry=("q0",)).columns == ["ray_id", "tri_id", "t", "u", "v", "q0"]
+
+
+def test_nearest_hits_meet_no_more_hits_among_more_triangles(spark, monkeypatch):
+    """Rounds over more and more triangles: of 8000, whose hits before were some 8000 / FIRST for each ray in one round."""
+    monkeypatch.setattr(spatial, "FIRST", 16)
+    rng = np.random.default_rng(5)
+    tri = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(8000, 9)))], "tri_id long, " + ", ".join(f"{v}{k} double" for v in "abc" for k in "xyz"))
+    rays = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(60, 6)))], "ray_id long, " + ", ".join(f"{v}{k} double" for v in "od" for k in "xyz"))
+    found, plain = [], spatial.ray_hits
+    all_hits = {}
+    for r in plain(rays, tri).collect():
+        all_hits[r.ray_id] = min(all_hits.get(r.ray_id, (r.t, r.tri_id)), (r.t, r.tri_id))
+    monkeypatch.setattr(spatial, "ray_hits", lambda *a, **k: found.append(plain(*a, **k)) or found[-1])
+    got = {r.ray_id: (r.t, r.tri_id) for r in spatial.nearest_hit(rays, tri).collect()}
+    assert got == all_hits
+    assert max(f.count() for f in found) < 60 * 4 * 16
