@@ -131,17 +131,25 @@ def octahedra(spark: SparkSession, sf: str, c: float = 16.25) -> DataFrame:
 
 #: Parts of the event table that arrive one after the other, and how much later than in order an event comes at most, in seconds.
 ARRIVALS, DELAY = 5, 3 * 3600
+#: Events of a file on average; each part is dealt to as many files, so that a part is a batch of the stream and no file is a task of its own.
+ARRIVING_ROWS = 250_000
 
 
-def arriving_events(spark: SparkSession, sf: str, path: str) -> None:
+def arriving_events(spark: SparkSession, sf: str, path: str) -> int:
     """Writes the events to files in the order in which they might arrive, which is not that of their times: each is up to DELAY
-    late, by its id. A last event without a user, far in the future, moves the watermark past all others."""
+    late, by its id. A last event without a user, far in the future, moves the watermark past all others. Returns the files of a
+    part, which a stream must read together, as a later one of them would be behind the watermark of the first."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     seconds = F.unix_seconds("ts")
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
     width = (last + DELAY - first) // ARRIVALS + 1
     part = F.floor((seconds - first + F.pmod(F.col("event_id") * 7919, F.lit(DELAY))) / width)
     dealt = cut(events.withColumn("part", part))
+    sizes = dict(dealt.groupBy("part").count().collect())  # ARRIVALS rows
+    files = max(1, min(sizes.get(n, 0) for n in range(ARRIVALS)) // ARRIVING_ROWS)
     for n in range(ARRIVALS):
-        dealt.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+        rows = dealt.where(F.col("part") == n).drop("part")
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").parquet(path)
     events.limit(1).withColumn("user_id", F.lit(None).cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(last + 400 * 24 * 3600))).coalesce(1).write.mode("append").parquet(path)
+    return files

@@ -60,3 +60,18 @@ def test_a_silent_key_is_forgotten(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
     record_stream(stage_stream(stream, idle=3600), out, state).awaitTermination()
     assert read(spark, out) == {(1, 1, "a", START, None, 2), (2, 1, "b", rows[2][1], None, 1), (1, 1, "a", rows[3][1], None, 1)}
+
+
+def test_a_part_of_the_arrivals_is_several_files_and_one_batch(spark, monkeypatch):
+    """Files of a part are written by tasks of their own; a stream that reads them together drops none of their events."""
+    from cellforge.plans import fixtures
+    from cellforge.plans.catalog import QUERIES
+
+    monkeypatch.setattr(fixtures, "ARRIVING_ROWS", 400)
+    read, sf = [], "/root/testdata/sf0.01"
+    plain = fixtures.arriving_events
+    monkeypatch.setattr("cellforge.plans.queries_mesh.arriving_events", lambda spark, sf, path: read.append(path) or plain(spark, sf, path))
+    got = QUERIES["event_stream"](spark, sf).collect()
+    files = [f.rsplit("/", 1)[1] for f in spark.read.parquet(read[0]).inputFiles()]
+    assert len(files) > fixtures.ARRIVALS + 1 and (len(files) - 1) % fixtures.ARRIVALS == 0
+    assert len(got) == len(set(got)) and set(got) == set(QUERIES["event_samples"](spark, sf).collect())
