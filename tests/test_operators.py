@@ -478,3 +478,47 @@ def test_nearest_hits_meet_no_more_hits_among_more_triangles(spark, monkeypatch)
     got = {r.ray_id: (r.t, r.tri_id) for r in spatial.nearest_hit(rays, tri).collect()}
     assert got == all_hits
     assert max(f.count() for f in found) < 60 * 4 * 16
+
+
+def test_large_triangles_are_tested_in_blocks(spark, monkeypatch):
+    """Few and many large triangles, none of them cut up, beside small ones, with rays that lack a number: the hits of all pairs."""
+    rng = np.random.default_rng(11)
+    tri = [(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(300, 9)))]
+    tri += [(300 + i, *map(float, np.tile(rng.normal(size=3), 3) + rng.normal(size=9) * 1e-3)) for i in range(40)]
+    tri.append((900, None, *tri[0][2:]))
+    rays = [(i, *map(float, c)) for i, c in enumerate(rng.normal(size=(90, 6)))]
+    for i in range(40):  # at small ones, from the corner of the scene
+        at = np.reshape(tri[300 + i][1:], (3, 3)).mean(0)
+        rays.append((100 + i, 9.0, 9.0, 9.0, *map(float, at - 9.0)))
+    rays += [(990, None, *rays[0][2:]), (991, *rays[0][1:4], 0.0, 0.0, 0.0)]
+    td = spark.createDataFrame(tri, "tri_id long, " + ", ".join(f"{v}{k} double" for v in "abc" for k in "xyz"))
+    rd = spark.createDataFrame(rays, "ray_id long, " + ", ".join(f"{v}{k} double" for v in "od" for k in "xyz"))
+    t = spatial.ray_triangle(spatial.O, spatial.D, spatial.A, spatial.B, spatial.C)[0]
+    want = {(r.ray_id, r.tri_id): r.t for r in rd.crossJoin(td).withColumn("t", t).where("t is not null").collect()}
+    assert len(want) > 1500 and sum(k[1] >= 300 for k in want) >= 40
+    cuts, cut_up = [], spatial.cut_up
+    monkeypatch.setattr(spatial, "cut_up", lambda *a: cuts.append(a) or cut_up(*a))
+    for sent in (spatial.SENT_PIECES, 0):
+        monkeypatch.setattr(spatial, "SENT_PIECES", sent)
+        monkeypatch.setattr(spatial, "BLOCK", 64)
+        hits = spatial.ray_hits(rd, td)
+        got = [((r.ray_id, r.tri_id), r.t) for r in hits.collect()]
+        assert len(got) == len(want) and set(dict(got)) == set(want)
+        assert all(abs(x - want[k]) < 1e-9 * max(1, abs(x)) for k, x in got)
+    assert not cuts
+
+
+def test_level_of_large_triangles():
+    assert 1 <= spatial._wide({0: 3, 6: 5000}, 4) <= 6  # the three, but not the many small ones
+    assert spatial._wide({1: 900, 2: 300, 4: 20}, 4) == 5  # nearly all large: the few small ones beside them
+    assert spatial._wide({5: 900}, 3) == 0 and spatial._wide({0: 1}, 0) == 0
+
+
+def test_quick_rounding_is_that_of_spark(spark):
+    from cellforge.plans.queries_mesh import R, quick
+
+    rng = np.random.default_rng(3)
+    x = [*(rng.normal(size=3000) * 10.0 ** rng.integers(-8, 13, 3000)), *((rng.integers(-10**7, 10**7, 2000) + 0.5) / 1e6), *((rng.integers(-10**6, 10**6, 500) + 0.4995) / 1e6)]
+    rows = [(float(v),) for v in x] + [(v,) for v in (None, 0.0, -0.0, -1e-9, float("nan"), float("inf"), -1e300, 5e-7, -5e-7)]
+    df = spark.createDataFrame(rows, "x double").select(*R(("a", F.col("x"))), *quick(("b", F.col("x"))))
+    assert [r for r in df.collect() if repr(r.a) != repr(r.b)] == []
