@@ -522,3 +522,16 @@ def test_quick_rounding_is_that_of_spark(spark):
     rows = [(float(v),) for v in x] + [(v,) for v in (None, 0.0, -0.0, -1e-9, float("nan"), float("inf"), -1e300, 5e-7, -5e-7)]
     df = spark.createDataFrame(rows, "x double").select(*R(("a", F.col("x"))), *quick(("b", F.col("x"))))
     assert [r for r in df.collect() if repr(r.a) != repr(r.b)] == []
+
+
+def test_hits_in_blocks_carry_columns(spark, sf, monkeypatch):
+    """The query's hits in blocks that are shuffled, and none by way of cut pieces."""
+    from cellforge.plans.catalog import QUERIES
+
+    rows = lambda: sorted(map(tuple, QUERIES["interpolated_hits"](spark, sf).collect()))
+    want = rows()
+    assert len(want) > 5000
+    monkeypatch.setattr(spatial, "SENT_PIECES", 0)
+    monkeypatch.setattr(spatial, "BLOCK", 32)
+    monkeypatch.setattr(spatial, "cut_up", None)
+    assert rows() == want
