@@ -535,3 +535,24 @@ def test_hits_in_blocks_carry_columns(spark, sf, monkeypatch):
     monkeypatch.setattr(spatial, "BLOCK", 32)
     monkeypatch.setattr(spatial, "cut_up", None)
     assert rows() == want
+
+
+def test_close_points_of_a_crowded_cell_are_shared_by_tasks(spark, monkeypatch):
+    """All in one cell, beside a few around it, with unknown numbers: the pairs of all pairs, from several tasks."""
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = np.random.default_rng(2)
+    pts = [(i, i % 3, *map(float, rng.random(3) * 0.29 + 0.305)) for i in range(150)] + [(i, i % 3, *map(float, rng.normal(size=3) * 0.5)) for i in range(150, 200)]
+    want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and a[1] != b[1] and sum((x - y) * (x - y) for x, y in zip(a[2:], b[2:])) ** 0.5 < 0.3}
+    pts += [(300, None, 0.4, 0.4, 0.4), (301, 0, None, 0.4, 0.4), (None, 1, 0.4, 0.4, 0.4)]
+    df = spark.createDataFrame(pts, "point_id long, g int, x double, y double, z double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(r) for r in spatial.close_vertices(df, 0.3, "g").select("a", "b", F.spark_partition_id()).collect()]
+        every = spatial.close_vertices(df, 0.3).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(got) == len(want) and {r[:2] for r in got} == want
+    shares = [sum(r[2] == k for r in got) for k in {r[2] for r in got}]
+    assert len(shares) >= 3 and max(shares) < 0.8 * len(got)
+    assert every == sum(a[0] < b[0] and sum((x - y) * (x - y) for x, y in zip(a[2:], b[2:])) ** 0.5 < 0.3 for a in pts[:200] + [pts[200]] for b in pts[:200] + [pts[200]])
