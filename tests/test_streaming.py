@@ -75,3 +75,25 @@ def test_a_part_of_the_arrivals_is_several_files_and_one_batch(spark, monkeypatc
     files = [f.rsplit("/", 1)[1] for f in spark.read.parquet(read[0]).inputFiles()]
     assert len(files) > fixtures.ARRIVALS + 1 and (len(files) - 1) % fixtures.ARRIVALS == 0
     assert len(got) == len(set(got)) and set(got) == set(QUERIES["event_samples"](spark, sf).collect())
+
+
+def test_state_is_held_and_called_for_buckets_not_for_keys(spark, tmp_path):
+    """Many keys, ids that floats do not hold and unknown kinds: the stages of stages(), with a few rows of state."""
+    random.seed(3)
+    rows = [(i, START + datetime.timedelta(seconds=random.randrange(9000)), 2**60 + random.randrange(300), random.choice(["a", "b", None])) for i in range(3000)]
+    end = (10_000, START + datetime.timedelta(days=90), None, "z")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    for part in (rows[:1500], rows[1500:], [end]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = record_stream(stage_stream(stream, late="3 hours", idle=10**6), out, state, parts=2)
+    query.awaitTermination()
+    want = plain(spark.createDataFrame(rows, schema))
+    assert len(want) > 1500 and read(spark, out) == want
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    few = record_stream(stage_stream(stream, late="3 hours", idle=10**6, buckets=8), f"{out}-8", f"{state}-8", parts=2)
+    few.awaitTermination()
+    assert read(spark, f"{out}-8") == want
+    states = [s for p in few.recentProgress for s in p["stateOperators"]]
+    assert states and {s["numShufflePartitions"] for s in states} == {2} and 8 <= max(s["numRowsTotal"] for s in states) < 100
